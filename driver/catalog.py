@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from driver import history_queries  # noqa: F401
+from driver import history_queries, scan_queries  # noqa: F401
