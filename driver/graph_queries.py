@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driver import corpus
-from driver.base import query, table, view
+from driver.base import query, texts, view
 from driver.scan_queries import LATEST_SECTIONS
 from driver.sqltext import quoted
 from ledgerline.functions import diff as D
@@ -314,7 +314,7 @@ def late_scope_outliers(spark, sf_dir):
 )
 def document_outliers(spark, sf_dir):
     """Documents unlike the others of their source; every character outside ASCII parts words."""
-    documents = table(spark, sf_dir, "documents").select(
+    documents = texts(spark, sf_dir, "documents").select(
         F.col("source").alias("bill_id"), F.col("doc_id").alias("section_id"),
         F.lit("1").alias("section_number"), F.lit("").alias("heading"),
         F.regexp_replace("text", "[^ -~]", " ").alias("section_text"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driver import corpus
-from driver.base import query, table, view
+from driver.base import query, table, texts, view
 from ledgerline.functions import text as T
 from ledgerline.operators import history, lineage, ordered, sections as S
 
@@ -24,7 +24,7 @@ from ledgerline.operators import history, lineage, ordered, sections as S
 def version_append(spark, sf_dir):
     """Labelled documents are stored versions, the others arrive."""
     labelled = table(spark, sf_dir, "labels").select("doc_id")
-    named = table(spark, sf_dir, "documents").select(
+    named = texts(spark, sf_dir, "documents").select(
         F.col("source").alias("bill_id"), F.col("lang").alias("version_code"),
         F.col("doc_id").alias("version_id"), "text", "doc_id",
     )

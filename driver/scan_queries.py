@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driver import corpus
-from driver.base import query, table, view
+from driver.base import query, table, texts, view
 from driver.sqltext import distinct_in_order, excerpt, matches, quoted, strip
 from ledgerline.functions import rules as R
 from ledgerline.functions import text as T
@@ -114,7 +114,7 @@ PROSE_PACK = [
 )
 def document_rules(spark, sf_dir):
     """A rule pack of one's own over every whole document."""
-    rows = scan.first_match_findings(table(spark, sf_dir, "documents"), ["doc_id"], "text", PROSE_PACK)
+    rows = scan.first_match_findings(texts(spark, sf_dir, "documents"), ["doc_id"], "text", PROSE_PACK)
     return rows.drop("label")
 
 
@@ -129,7 +129,7 @@ def document_rules(spark, sf_dir):
 )
 def document_rule_counts(spark, sf_dir):
     rows = scan.first_match_findings(
-        table(spark, sf_dir, "documents"), ["source"], "text", PROSE_PACK
+        texts(spark, sf_dir, "documents"), ["source"], "text", PROSE_PACK
     )
     return scan.counts_by(rows, ["source"])
 
@@ -147,7 +147,7 @@ PROSE_MATCH = r"(?i)(?:that|with|from) [a-z]+"
 )
 def all_match_excerpts(spark, sf_dir):
     rows = scan.match_excerpts(
-        table(spark, sf_dir, "documents"), ["doc_id"], "text", PROSE_MATCH, 140, 180
+        texts(spark, sf_dir, "documents"), ["doc_id"], "text", PROSE_MATCH, 140, 180
     )
     return rows.withColumn("evidence", F.sha2("evidence", 256))
 
@@ -164,7 +164,7 @@ def all_match_excerpts(spark, sf_dir):
 def ordered_distinct(spark, sf_dir):
     """Mentions per document: how many, how many different, and the first 25 of those."""
     hits = F.regexp_extract_all("text", F.lit(PROSE_MATCH), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", hits.alias("hits"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", hits.alias("hits"))
     distinct = F.array_distinct("hits")
     return rows.select(
         "doc_id",
@@ -400,7 +400,7 @@ def citation_audit(spark, sf_dir):
     text = F.concat(
         F.lit("Seen in [S1] and [Q"), "quality", F.lit("], also [D"), "toxic", F.lit("] and [S1].")
     )
-    rows = table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
+    rows = texts(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
     rows = rows.withColumn("narrative", F.coalesce(text, F.lit("Nothing cited."))).withColumn(
         "valid_ids",
         F.array(F.lit("D1"), F.lit("S1"), F.concat(F.lit("Q"), F.coalesce("quality", F.lit(9)))),

@@ -78,8 +78,8 @@ def all_matches(text: Column, pattern: str, limit: int | None = None) -> Column:
         gaps = F.split(text, pattern, limit + 1)
     else:
         gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
     none = F.array().cast(MATCH)
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(seen: Column, pair: Column) -> Column:
         start = seen["at"] + F.length(pair["gap"])
@@ -87,18 +87,29 @@ def all_matches(text: Column, pattern: str, limit: int | None = None) -> Column:
         found = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("text"))
         return F.struct(end.alias("at"), F.concat(seen["out"], F.array(found)).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(
-        F.size(hits) > 0, F.aggregate(pairs, zero, step, lambda seen: seen["out"])
-    ).otherwise(none)
+    def placed(cut: Column) -> Column:
+        before = F.slice(cut["gaps"], F.lit(1), F.size(cut["hits"]))
+        pairs = F.arrays_zip(before.alias("gap"), cut["hits"].alias("hit"))
+        return F.aggregate(pairs, zero, step, lambda seen: seen["out"])
+
+    found = let(F.struct(hits.alias("hits"), gaps.alias("gaps")), placed)
+    return F.when(text.rlike(pattern), found).otherwise(none)
+
+
+def let(value: Column, use) -> Column:
+    """`use` of `value`, which is worked out once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def first_match(text: Column, pattern: str) -> Column:
     """The first match as ``struct(start, end)``; NULL when there is none."""
-    parts = F.split(text, pattern, 2)
-    start = F.length(F.get(parts, F.lit(0)))
-    end = F.length(text) - F.length(F.get(parts, F.lit(1)))
-    return F.when(F.size(parts) == 2, F.struct(start.alias("start"), end.alias("end")))
+
+    def placed(parts: Column) -> Column:
+        start = F.length(F.get(parts, F.lit(0)))
+        end = F.length(text) - F.length(F.get(parts, F.lit(1)))
+        return F.when(F.size(parts) == 2, F.struct(start.alias("start"), end.alias("end")))
+
+    return let(F.split(text, pattern, 2), placed)
 
 
 def matched_text(text: Column, match: Column) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import difflib
 import sys
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline import session
 from ledgerline.functions import diff as D
 from ledgerline.functions import text as T
 from ledgerline.operators import ordered, sections as S
@@ -82,7 +83,15 @@ def section_changes(sections: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.withColumn("event_type", kind)
 
 
-RENUMBERED = "bill_id long, version_id long, old_number string, new_number string, similarity double"
+RENUMBERED = pa.schema(
+    [
+        ("bill_id", pa.int64()),
+        ("version_id", pa.int64()),
+        ("old_number", pa.string()),
+        ("new_number", pa.string()),
+        ("similarity", pa.float64()),
+    ]
+)
 
 
 def _ratio_at_least(old: str, new: str, floor: float) -> float:
@@ -98,29 +107,36 @@ def _ratio_at_least(old: str, new: str, floor: float) -> float:
     return matcher.ratio()
 
 
-def _renumber(group: pd.DataFrame) -> pd.DataFrame:
+def _renumber(group: pa.Table) -> pa.Table:
     """Each vanished section, in number order, takes the closest free new section."""
-    gone = group[group["event_type"] == "removed"].sort_values("section_number")
-    free = group[group["event_type"] == "introduced"].sort_values("section_number")
-    candidates = list(zip(free["section_number"], free["section_text"]))
+    rows = sorted(
+        zip(
+            group["section_number"].to_pylist(),
+            group["section_text"].to_pylist(),
+            group["event_type"].to_pylist(),
+        )
+    )
+    free = [(number, text) for number, text, event in rows if event == "introduced"]
     known: dict[tuple[str, str], float] = {}
-    rows = []
-    for number, text in zip(gone["section_number"], gone["section_text"]):
+    taken = []
+    for number, text, event in rows:
+        if event != "removed":
+            continue
         best = None
-        for at, (other, body) in enumerate(candidates):
+        for at, (_, body) in enumerate(free):
             pair = (text, body)
             if pair not in known:
                 known[pair] = _ratio_at_least(text, body, RENUMBERED_RATIO)
-            score = known[pair]
-            if score >= RENUMBERED_RATIO and (best is None or score > best[1]):
-                best = (at, score, other)
+            if known[pair] >= RENUMBERED_RATIO and (best is None or known[pair] > best[1]):
+                best = (at, known[pair])
         if best:
-            candidates.pop(best[0])
-            rows.append((number, best[2], round(best[1], 4)))
-    out = pd.DataFrame(rows, columns=["old_number", "new_number", "similarity"])
-    out.insert(0, "version_id", group["version_id"].iloc[0])
-    out.insert(0, "bill_id", group["bill_id"].iloc[0])
-    return out
+            taken.append((number, free.pop(best[0])[0], round(best[1], 4)))
+    keys = {name: [group[name][0].as_py()] * len(taken) for name in ("bill_id", "version_id")}
+    found = {
+        name: [row[i] for row in taken]
+        for i, name in enumerate(("old_number", "new_number", "similarity"))
+    }
+    return pa.table({**keys, **found}, schema=RENUMBERED)
 
 
 def renumbered(changes: DataFrame, sections: DataFrame) -> DataFrame:
@@ -149,7 +165,9 @@ def renumbered(changes: DataFrame, sections: DataFrame) -> DataFrame:
         )
         .select("bill_id", "version_id", "event_type", "section_number", "section_text")
     )
-    return rows.groupBy("bill_id", "version_id").applyInPandas(_renumber, RENUMBERED)
+    ddl = "bill_id long, version_id long, old_number string, new_number string, similarity double"
+    spread = session.spread(rows, "bill_id", "version_id")
+    return spread.groupBy("bill_id", "version_id").applyInArrow(_renumber, ddl)
 
 
 def _texts(sections: DataFrame) -> DataFrame:
@@ -199,7 +217,7 @@ def lineage_events(
     )
     compared = F.col("event_type").isin("modified", "renumbered")
     name = lambda code, number: F.concat(code, F.lit(":section-"), number)
-    changed = full.filter(compared).withColumns(
+    changed = session.spread(full.filter(compared), "bill_id", "version_id", "section_number").withColumns(
         {
             "similarity": F.round(D.similarity("old_text", "new_text"), 4),
             "diff": F.when(

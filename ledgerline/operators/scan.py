@@ -9,6 +9,9 @@ from ledgerline.functions import rules as R
 from ledgerline.functions import text as T
 
 
+HITS = "array<struct<kind:string,severity:double,label:string,evidence:string,detail:string>>"
+
+
 def _hit(kind: str, weight: float, label: str, evidence: Column, detail: Column) -> Column:
     return F.struct(
         F.lit(kind).alias("kind"),
@@ -75,18 +78,22 @@ def section_findings(sections: DataFrame, keys: list[str], text: str = "section_
     references = F.array_distinct(
         F.regexp_extract_all(body, F.lit(T.flagged(R.REFERENCE_RULE.pattern)), F.lit(0))
     )
-    dense = F.when(
-        F.size(references) >= 2,
-        F.array(
-            _hit(
-                R.REFERENCE_RULE.kind,
-                R.REFERENCE_RULE.weight,
-                R.REFERENCE_RULE.label,
-                F.array_join(F.slice(references, 1, 12), "; "),
-                F.array_join(F.slice(references, 1, 25), "; "),
-            )
-        ),
-    ).otherwise(F.array().cast("array<struct<kind:string,severity:double,label:string,evidence:string,detail:string>>"))
+    none = F.array().cast(HITS)
+    dense = T.let(
+        references,
+        lambda found: F.when(
+            F.size(found) >= 2,
+            F.array(
+                _hit(
+                    R.REFERENCE_RULE.kind,
+                    R.REFERENCE_RULE.weight,
+                    R.REFERENCE_RULE.label,
+                    F.array_join(F.slice(found, 1, 12), "; "),
+                    F.array_join(F.slice(found, 1, 25), "; "),
+                )
+            ),
+        ).otherwise(none),
+    )
     hits = F.concat(_first_hits(body, R.SECTION_RULES, 180, 260), money, dense)
     return (
         sections.select(*keys, F.posexplode(hits).alias("finding_no", "hit"))

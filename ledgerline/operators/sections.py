@@ -17,18 +17,23 @@ def split_sections(versions: DataFrame, text: str = "text") -> DataFrame:
     text between them alternate, so each section is a marker and what follows it.
     """
     body = F.col(text)
-    marks = F.regexp_extract_all(body, F.lit(R.SECTION_MARKER), F.lit(0))
-    rest = F.split(body, R.SECTION_MARKER, -1)
-    pairs = F.arrays_zip(marks.alias("mark"), F.slice(rest, F.lit(2), F.size(marks)).alias("rest"))
-    heading = lambda mark: T.strip(F.regexp_extract(mark, R.SECTION_MARKER, 2))
-    found = F.transform(
-        pairs,
-        lambda pair: F.struct(
-            F.regexp_extract(pair["mark"], R.SECTION_MARKER, 1).alias("section_number"),
-            F.nullif(heading(pair["mark"]), F.lit("")).alias("heading"),
-            T.strip(F.concat(pair["mark"], pair["rest"])).alias("section_text"),
-        ),
+    cut = F.struct(
+        F.regexp_extract_all(body, F.lit(R.SECTION_MARKER), F.lit(0)).alias("marks"),
+        F.split(body, R.SECTION_MARKER, -1).alias("rest"),
     )
+    heading = lambda mark: T.strip(F.regexp_extract(mark, R.SECTION_MARKER, 2))
+
+    def sections(cut: Column) -> Column:
+        after = F.slice(cut["rest"], F.lit(2), F.size(cut["marks"]))
+        return F.transform(
+            F.arrays_zip(cut["marks"].alias("mark"), after.alias("rest")),
+            lambda pair: F.struct(
+                F.regexp_extract(pair["mark"], R.SECTION_MARKER, 1).alias("section_number"),
+                F.nullif(heading(pair["mark"]), F.lit("")).alias("heading"),
+                T.strip(F.concat(pair["mark"], pair["rest"])).alias("section_text"),
+            ),
+        )
+
     root = F.array(
         F.struct(
             F.lit("ROOT").alias("section_number"),
@@ -36,9 +41,10 @@ def split_sections(versions: DataFrame, text: str = "text") -> DataFrame:
             body.alias("section_text"),
         )
     )
+    found = F.when(body.rlike(R.SECTION_MARKER), T.let(cut, sections)).otherwise(root)
     others = [c for c in versions.columns if c != text]
     return versions.select(
-        *others, F.posexplode(F.when(F.size(marks) > 0, found).otherwise(root))
+        *others, F.posexplode(found)
     ).select(*others, F.col("pos").alias("ordinal"), "col.*")
 
 

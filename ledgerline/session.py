@@ -62,3 +62,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` over all shuffle partitions, for work that is slow per row.
+
+    Adaptive execution sizes partitions by bytes; a few megabytes of text can
+    still be hours of comparing. A named partition count is left alone.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys) if keys else df.repartition(parts)
