@@ -13,6 +13,7 @@ from ledgerline.functions import rules as R
 from ledgerline.functions import text as T
 from ledgerline.operators import classify, entities, facts, sections as S
 from ledgerline.plans import civic, weekly
+from ledgerline.session import checkpointed
 from ledgerline.sources import catalog
 
 
@@ -111,8 +112,9 @@ def agenda_items(spark, sf_dir):
 )
 def section_recovery(spark, sf_dir):
     """Sections are dropped from stored items and found again in the raw text."""
-    stored = items(spark, sf_dir).withColumn("agenda_section", F.lit(None).cast("string"))
-    rows = S.recover_sections(stored, agendas(spark, sf_dir), KEY)
+    agenda = checkpointed(agendas(spark, sf_dir))
+    rows = S.agenda_items(agenda, KEY).withColumn("agenda_section", F.lit(None).cast("string"))
+    rows = S.recover_sections(checkpointed(rows), agenda, KEY)
     return rows.select("document_id", "ordinal", "recovered_section", "is_header")
 
 
@@ -176,7 +178,8 @@ def civic_organizations(spark, sf_dir):
 @query("civic_view")
 def civic_view(spark, sf_dir):
     """Everything known about a record in one row."""
-    agenda, rows = agendas(spark, sf_dir), items(spark, sf_dir)
+    agenda = checkpointed(agendas(spark, sf_dir))
+    rows = checkpointed(S.agenda_items(agenda, KEY))
     found = civic.signal_findings(agenda, rows, KEY)
     named = civic.organization_links(entities.civic_mentions(agenda, KEY), rows, KEY)
     heads = view(spark, sf_dir, CIVIC_HEADS).select("document_id", "source_key", "title")
@@ -412,10 +415,13 @@ FROM w WHERE category NOT IN ('other_civic', 'vote_action', 'public_hearing') AN
 
 
 def week_items(spark, sf_dir):
-    docs, rows = documents(spark, sf_dir), items(spark, sf_dir)
-    found = civic.signal_findings(docs.select("document_id", "text").filter("text IS NOT NULL"), rows, KEY)
-    known = S.recover_sections(rows, agendas(spark, sf_dir), KEY)
-    return weekly.civic_items(docs, known, found)
+    """The record and item tables are written first, as they are stored in use."""
+    docs = checkpointed(documents(spark, sf_dir))
+    texts_only = docs.select("document_id", "text").filter("text IS NOT NULL")
+    rows = checkpointed(S.agenda_items(texts_only, KEY))
+    found = civic.signal_findings(texts_only, rows, KEY)
+    known = S.recover_sections(rows, texts_only, KEY)
+    return weekly.civic_items(docs, checkpointed(known), checkpointed(found))
 
 
 @query("weekly_civic", CIVIC_SQL)

@@ -101,6 +101,15 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def kept(value: Column, condition) -> Column:
+    """A generator of `value` where it meets the condition.
+
+    A filter after a projection would be pushed below it and repeat every
+    expression the condition names; a generator works each out once.
+    """
+    return F.explode(F.filter(F.array(value), condition))
+
+
 def first_match(text: Column, pattern: str) -> Column:
     """The first match as ``struct(start, end)``; NULL when there is none."""
 
@@ -160,12 +169,15 @@ GENERIC_SUBJECTS = ["agenda", "minutes", "meeting packet", "discussion and possi
 
 
 def issue_key(title: Column, synopsis: Column) -> Column:
-    subject = heading_words(title)
-    vague = (F.length(subject) < 25) | subject.isin(GENERIC_SUBJECTS)
-    subject = F.when(vague, heading_words(synopsis)).otherwise(subject)
-    for _ in range(2):
-        subject = F.regexp_replace(subject, LEAD_VERB, "")
-    return subject
+    """Words that identify an issue: the title's, or the synopsis' if the title is vague."""
+
+    def chosen(words: Column) -> Column:
+        vague = (F.length(words["title"]) < 25) | words["title"].isin(GENERIC_SUBJECTS)
+        subject = F.when(vague, words["synopsis"]).otherwise(words["title"])
+        return F.regexp_replace(F.regexp_replace(subject, LEAD_VERB, ""), LEAD_VERB, "")
+
+    words = F.struct(heading_words(title).alias("title"), heading_words(synopsis).alias("synopsis"))
+    return let(words, chosen)
 
 
 # Money in bill text and in local records.

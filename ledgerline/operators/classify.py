@@ -63,16 +63,16 @@ def substantive(category: Column) -> Column:
     return ~category.isin(R.NOT_SUBSTANTIVE)
 
 
-def routine_agenda(heading: Column) -> Column:
-    subject = T.heading_words(heading)
+def routine_subject(subject: Column) -> Column:
+    """True for the heading words of meeting procedure."""
     procedure = subject.rlike(R.ROUTINE_AGENDA) | subject.rlike(R.ROUTINE_MINUTES)
     return procedure & ~subject.rlike(R.SUBSTANTIVE_HINT)
 
 
-def contact_heading(heading: Column, body: Column) -> Column:
-    subject = T.heading_words(heading)
+def contact_subject(subject: Column, body_words: Column) -> Column:
+    """True for the heading words of contact details."""
     return subject.rlike(R.CONTACT_HEADING) | (
-        F.contains(T.heading_words(body), F.lit(R.CONTACT_BODY)) & subject.isin(R.CONTACT_SUBJECTS)
+        F.contains(body_words, F.lit(R.CONTACT_BODY)) & subject.isin(R.CONTACT_SUBJECTS)
     )
 
 

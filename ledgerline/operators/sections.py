@@ -51,15 +51,14 @@ def split_sections(versions: DataFrame, text: str = "text") -> DataFrame:
 def section_label(item_number: Column, heading: Column) -> Column:
     """Name of an agenda part: a single letter or roman number before a known heading."""
     number = F.regexp_replace(T.strip(F.coalesce(item_number, F.lit(""))), r"^\.+|\.+$", "")
-    label = T.collapse(
-        F.regexp_replace(F.coalesce(heading, F.lit("")), r"^[ .:-]+|[ .:-]+$", "")
-    )
-    return F.when(
-        number.rlike(r"(?i)^(?:[A-Z]|[IVXLCDM]+)$"),
-        F.when(label.rlike(R.CONSENT_AGENDA), F.lit("Consent Agenda")).when(
+    title = F.regexp_replace(F.coalesce(heading, F.lit("")), r"^[ .:-]+|[ .:-]+$", "")
+    named = T.let(
+        T.collapse(title),
+        lambda label: F.when(label.rlike(R.CONSENT_AGENDA), F.lit("Consent Agenda")).when(
             label.rlike(R.AGENDA_SECTION), label
         ),
     )
+    return F.when(number.rlike(r"(?i)^(?:[A-Z]|[IVXLCDM]+)$"), named)
 
 
 def _opens_item(line: Column) -> Column:
@@ -103,28 +102,31 @@ def agenda_items(
 
     def described(body: Column) -> Column:
         first = F.get(body, F.lit(0))
-        pattern = (
-            F.when(first.rlike(R.AGENDA_ITEM), F.regexp_extract(first, R.AGENDA_ITEM, 1))
-            .when(
-                first.rlike(R.AGENDA_NUMBERED_ACTION),
-                F.regexp_extract(first, R.AGENDA_NUMBERED_ACTION, 1),
-            )
-        )
-        title = (
-            F.when(first.rlike(R.AGENDA_ITEM), F.regexp_extract(first, R.AGENDA_ITEM, 2))
-            .when(
-                first.rlike(R.AGENDA_NUMBERED_ACTION),
-                F.regexp_extract(first, R.AGENDA_NUMBERED_ACTION, 2),
-            )
-            .otherwise(first)
+        kind = (
+            F.when(first.rlike(R.AGENDA_ITEM), 1)
+            .when(first.rlike(R.AGENDA_NUMBERED_ACTION), 2)
+            .otherwise(3)
         )
-        heading = F.substring(title, 1, 500)
-        return F.struct(
-            pattern.alias("item_number"),
-            heading.alias("heading"),
-            F.substring(F.array_join(body, "\n"), 1, 12000).alias("item_text"),
-            section_label(pattern, heading).alias("label"),
-            F.length(F.array_join(body, " ")).alias("size"),
+
+        def part(head: Column, group: int) -> Column:
+            return F.when(
+                head["kind"] == 1, F.regexp_extract(head["line"], R.AGENDA_ITEM, group)
+            ).when(head["kind"] == 2, F.regexp_extract(head["line"], R.AGENDA_NUMBERED_ACTION, group))
+
+        def named(head: Column) -> Column:
+            title = F.substring(F.coalesce(part(head, 2), head["line"]), 1, 500)
+            return F.struct(part(head, 1).alias("item_number"), title.alias("heading"))
+
+        head = F.struct(first.alias("line"), kind.alias("kind"))
+        return T.let(
+            T.let(head, named),
+            lambda item: F.struct(
+                item["item_number"].alias("item_number"),
+                item["heading"].alias("heading"),
+                F.substring(F.array_join(body, "\n"), 1, 12000).alias("item_text"),
+                section_label(item["item_number"], item["heading"]).alias("label"),
+                F.length(F.array_join(body, " ")).alias("size"),
+            ),
         )
 
     kept = F.slice(
