@@ -166,3 +166,9 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], count: int =
     """
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= count).drop("_rank")
+
+
+def leading_bytes(value: Column) -> Column:
+    """A number that orders texts like their first seven bytes, to slice text orders by."""
+    head = F.rpad(F.substring(F.hex(F.coalesce(value, F.lit(""))), 1, 14), 14, "0")
+    return F.conv(head, 16, 10).cast("long")
