@@ -136,18 +136,19 @@ QUEUE_STATUSES = ["new", "reviewing", "needs_evidence", "completed", "archived",
 def watch_problem(rule: dict[str, Column]) -> Column:
     """Why a watch rule is not valid; NULL if it is."""
     kind, place = rule["target_type"], F.upper(rule["jurisdiction"])
-    blank = lambda c: F.coalesce(c.cast("string"), F.lit("")).isin("", "0")
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit("")) == ""
+    no_congress = F.coalesce(rule["congress"], F.lit(0)) == 0
     return (
         F.when(~kind.isin("bill", "congress", "session"), "target_type must be bill, congress, or session")
         .when((kind == "congress") & (place != "US"), "congress watches apply to US federal legislation")
         .when((kind == "session") & (place == "US"), "US federal monitoring uses congress watches")
         .when(
-            (kind == "bill") & (blank(rule["congress"]) | blank(rule["bill_type"]) | blank(rule["bill_number"])),
+            (kind == "bill") & (no_congress | blank(rule["bill_type"]) | blank(rule["bill_number"])),
             "bill watches require congress, bill_type, and bill_number",
         )
-        .when((kind == "congress") & blank(rule["congress"]), "congress watches require congress")
+        .when((kind == "congress") & no_congress, "congress watches require congress")
         .when(
-            (kind == "session") & (blank(rule["congress"]) | blank(rule["session"])),
+            (kind == "session") & (no_congress | blank(rule["session"])),
             "session watches require congress/session number and session",
         )
     )
