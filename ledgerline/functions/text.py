@@ -6,7 +6,7 @@ all of Unicode) and ``d`` (only a line feed ends a line).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s+"
@@ -101,13 +101,26 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def kept(value: Column, condition) -> Column:
-    """A generator of `value` where it meets the condition.
+def rows(df: DataFrame, keep: list, array: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per element of `array` beside the kept columns; elements are never NULL.
+
+    The plain generators make the optimizer add a filter on the size of the array,
+    which works out the whole array expression a second time per row. The outer
+    ones do not; their NULL rows are dropped again.
+    """
+    if position:
+        out = df.select(*keep, F.posexplode_outer(array).alias(position, name))
+        return out.filter(F.col(position).isNotNull())
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
+def kept(df: DataFrame, keep: list, value: Column, name: str, condition) -> DataFrame:
+    """Rows whose `value` meets the condition, with the value as a column.
 
     A filter after a projection would be pushed below it and repeat every
     expression the condition names; a generator works each out once.
     """
-    return F.explode(F.filter(F.array(value), condition))
+    return rows(df, keep, F.filter(F.array(value), condition), name)
 
 
 def first_match(text: Column, pattern: str) -> Column:

@@ -44,10 +44,10 @@ def _names(entities: DataFrame, side: str) -> DataFrame:
         lambda a: F.struct(F.lit(False).alias("own"), T.normalize_name(a).alias("name")),
     )
     return (
-        entities.select(
-            F.col("entity_id").alias(side),
-            _group(F.col("entity_type")).alias("type_group"),
-            F.explode(F.array_distinct(F.concat(own, others))).alias("n"),
+        T.rows(
+            entities,
+            [F.col("entity_id").alias(side), _group(F.col("entity_type")).alias("type_group")],
+            F.array_distinct(F.concat(own, others)), "n",
         )
         .select(side, "type_group", F.col("n.name").alias("name"), F.col("n.own").alias(f"{side}_own"))
         .filter(F.coalesce("name", F.lit("")) != "")

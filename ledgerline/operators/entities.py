@@ -38,7 +38,7 @@ def section_mentions(sections: DataFrame, keys: list[str], text: str = "section_
         _named(body, T.flagged(R.GEOGRAPHY_PATTERN, ""), "geography", "named_geography", 0.85),
     )
     return (
-        sections.select(*keys, F.explode(found).alias("m"))
+        T.rows(sections, keys, found, "m")
         .select(*keys, "m.*")
         .withColumn("normalized_name", T.normalize_name(F.col("name")))
     )
@@ -59,7 +59,7 @@ def civic_mentions(documents: DataFrame, keys: list[str], text: str = "text") ->
             lambda name: F.length(name) >= 5,
         )
     )
-    return documents.select(*keys, F.posexplode(names).alias("name_no", "name")).withColumn(
+    return T.rows(documents, keys, names, "name", "name_no").withColumn(
         "normalized_name", T.normalize_name(F.col("name"))
     )
 

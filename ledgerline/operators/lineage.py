@@ -283,8 +283,8 @@ def attribute(events: DataFrame, amendments: DataFrame, top: int = 10) -> DataFr
     left = events.withColumn("words", T.token_set(F.col("new_text"))).drop("new_text")
     right = amendments.withColumn("words", T.token_set(F.col("search_text"))).drop("search_text")
     shared = (
-        left.select("bill_id", "event_id", F.explode("words").alias("word"))
-        .join(right.select("bill_id", "amendment_id", F.explode("words").alias("word")), ["bill_id", "word"])
+        T.rows(left, ["bill_id", "event_id"], F.col("words"), "word")
+        .join(T.rows(right, ["bill_id", "amendment_id"], F.col("words"), "word"), ["bill_id", "word"])
         .groupBy("bill_id", "event_id", "amendment_id")
         .agg(F.count(F.lit(1)).alias("shared"))
     )

@@ -59,7 +59,7 @@ def first_match_findings(
 ) -> DataFrame:
     """Long findings of a rule pack; the pack is any list of rules."""
     hits = _first_hits(F.col(text), pack, before, after)
-    return texts.select(*keys, F.explode(hits).alias("hit")).select(*keys, "hit.*")
+    return T.rows(texts, keys, hits, "hit").select(*keys, "hit.*")
 
 
 def section_findings(sections: DataFrame, keys: list[str], text: str = "section_text") -> DataFrame:
@@ -95,10 +95,7 @@ def section_findings(sections: DataFrame, keys: list[str], text: str = "section_
         ).otherwise(none),
     )
     hits = F.concat(_first_hits(body, R.SECTION_RULES, 180, 260), money, dense)
-    return (
-        sections.select(*keys, F.posexplode(hits).alias("finding_no", "hit"))
-        .select(*keys, "finding_no", "hit.*")
-    )
+    return T.rows(sections, keys, hits, "hit", "finding_no").select(*keys, "finding_no", "hit.*")
 
 
 def match_excerpts(
@@ -113,7 +110,7 @@ def match_excerpts(
     """One row per match of a pattern with its offsets and surroundings."""
     body = F.col(text)
     found = T.all_matches(body, pattern, limit)
-    return texts.select(*keys, text, F.posexplode(found).alias("match_no", "m")).select(
+    return T.rows(texts, [*keys, text], found, "m", "match_no").select(
         *keys,
         "match_no",
         F.col("m.start").alias("start"),

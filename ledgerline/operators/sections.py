@@ -43,9 +43,7 @@ def split_sections(versions: DataFrame, text: str = "text") -> DataFrame:
     )
     found = F.when(body.rlike(R.SECTION_MARKER), T.let(cut, sections)).otherwise(root)
     others = [c for c in versions.columns if c != text]
-    return versions.select(
-        *others, F.posexplode(found)
-    ).select(*others, F.col("pos").alias("ordinal"), "col.*")
+    return T.rows(versions, others, found, "section", "ordinal").select(*others, "ordinal", "section.*")
 
 
 def section_label(item_number: Column, heading: Column) -> Column:
@@ -156,12 +154,12 @@ def agenda_items(
             ),
         ),
     )
-    return with_section.select(*keys, F.explode("items").alias("item")).select(*keys, "item.*")
+    return T.rows(with_section, keys, F.col("items"), "item").select(*keys, "item.*")
 
 
 def headings_in_text(documents: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Agenda headings of raw text with the section in force, numbered per heading."""
-    lines = documents.select(*keys, F.posexplode(T.lines(F.col(text))).alias("line_no", "line"))
+    lines = T.rows(documents, keys, T.lines(F.col(text)), "line", "line_no")
     number = F.regexp_extract("line", R.AGENDA_ITEM, 1)
     heading = F.regexp_extract("line", R.AGENDA_ITEM, 2)
     is_item = F.col("line").rlike(R.AGENDA_ITEM)

@@ -163,7 +163,7 @@ def history_sponsors(bills: DataFrame, keys: list[str]) -> DataFrame:
         )
 
     people = F.concat(*[named(tag, role) for tag, role in ROLES])
-    rows = bills.select(*keys, F.posexplode(people).alias("pos", "p"))
+    rows = T.rows(bills, keys, people, "p", "pos")
     first = rows.groupBy(*keys, "p.folded", "p.role").agg(F.min_by("p.full_name", "pos").alias("full_name"))
     return first.select(*keys, "role", "full_name")
 
@@ -255,5 +255,5 @@ def history_index(raw: DataFrame, keys: list[str], column: str = "raw", limit: i
     listed = F.array_distinct(
         F.filter(F.concat(files, mentions), lambda b: b["bill_type"].isNotNull() & b["number"].isNotNull())
     )
-    rows = raw.select(*keys, F.posexplode(listed).alias("pos", "b")).select(*keys, "pos", "b.*")
+    rows = T.rows(raw, keys, listed, "b", "pos").select(*keys, "pos", "b.*")
     return ordered.first_rows(rows, keys, [F.col("pos")], limit) if limit else rows
