@@ -11,34 +11,43 @@ class Rule(NamedTuple):
     pattern: str
     label: str
     flags: str = "i"
+    # Lower-case texts of which every match holds one; empty if there are none.
+    needs: tuple[str, ...] = ()
 
 
 # Section rules.
 SECTION_RULES = [
     Rule("retroactivity", 0.80,
          r"retroactive|shall apply to (?:any|all).*before|before the date of enactment",
-         "Potential retroactive effect"),
+         "Potential retroactive effect",
+         needs=("retroactive", "shall apply to", "before the date of enactment")),
     Rule("grandfather", 0.75,
          r"grandfather|existing agreement|in effect on the date|entered into before",
-         "Existing arrangement may receive special treatment"),
+         "Existing arrangement may receive special treatment",
+         needs=("grandfather", "existing agreement", "in effect on the date", "entered into before")),
     Rule("enforcement_limit", 0.85,
          r"no private right of action|may only be enforced by|exclusive authority|"
          r"shall not bring an action",
-         "Enforcement authority may be limited"),
+         "Enforcement authority may be limited",
+         needs=("no private right of action", "may only be enforced by", "exclusive authority", "shall not bring an action")),
     Rule("unspecified_spending", 0.65, r"such sums as may be necessary",
-         "Open-ended authorization language"),
+         "Open-ended authorization language",
+         needs=("such sums as may be necessary",)),
     Rule("named_geography", 0.55,
          r"\b(?:County|Parish|Borough|District|Municipality|City of|Town of)\b",
-         "Provision contains narrow geographic language"),
+         "Provision contains narrow geographic language",
+         needs=("county", "parish", "borough", "district", "municipality", "city of", "town of")),
     Rule("exemption", 0.65,
          r"exempt(?:ion|ed)? from|shall not apply to|notwithstanding any other provision",
-         "Potential exemption or override"),
+         "Potential exemption or override",
+         needs=("exempt", "shall not apply to", "notwithstanding any other provision")),
 ]
 MONEY_RULE = Rule("money", 0.50, "", "Explicit monetary amount")
 REFERENCE_RULE = Rule(
     "cross_reference_density", 0.45,
     r"\b(?:title\s+\d+|\d+\s+U\.S\.C\.|Public Law\s+\d+[–-]\d+|section\s+\d+[A-Za-z0-9()\-]*)",
     "Multiple external statutory references",
+    needs=("title", "u.s.c.", "public law", "section"),
 )
 
 # Fixed value: a section heading line.
@@ -48,32 +57,39 @@ SECTION_MARKER = r"(?imUd)^\s*(?:SEC\.|SECTION)\s+(\d+[A-Z]?(?:[-.]\d+)*)[.\s—
 FISCAL_RULES = [
     Rule("appropriation", 0.88,
          r"\b(?:appropriat(?:e|ed|ion|ions)|general revenue fund|special fund|dedicated account)\b",
-         "Appropriation or dedicated-fund language"),
+         "Appropriation or dedicated-fund language",
+         needs=("appropriat", "general revenue fund", "special fund", "dedicated account")),
     Rule("tax_change", 0.86,
          r"\b(?:tax credit|tax exemption|exempt from .*tax|deduction|taxable|tax rate|"
          r"franchise tax|sales and use tax|property tax)\b",
-         "Tax-base, rate, credit, deduction, or exemption language"),
+         "Tax-base, rate, credit, deduction, or exemption language",
+         needs=("tax", "deduction")),
     Rule("fee_change", 0.82,
          r"\b(?:fee|surcharge|assessment)\b.{0,100}\b(?:increase|decrease|impose|collect|charge|"
          r"set|amount|dollar|\$)",
-         "Fee, surcharge, or assessment change", "is"),
+         "Fee, surcharge, or assessment change", "is",
+         ("fee", "surcharge", "assessment")),
     Rule("mandate", 0.78,
          r"\b(?:shall|must|required to)\b.{0,160}\b(?:county|municipality|school district|agency|"
          r"department|local government|political subdivision)\b",
-         "Required governmental implementation", "is"),
+         "Required governmental implementation", "is",
+         ("shall", "must", "required to")),
     Rule("implementation_cost", 0.78,
          r"\b(?:implementation cost|administrative cost|cost to implement|"
          r"additional full-time equivalent|FTE|technology cost|staffing cost)\b",
-         "Implementation or administrative cost"),
+         "Implementation or administrative cost",
+         needs=("implementation cost", "administrative cost", "cost to implement", "additional full-time equivalent", "fte", "technology cost", "staffing cost")),
     Rule("revenue_effect", 0.80,
          r"\b(?:revenue loss|revenue gain|revenue decrease|revenue increase|loss of revenue|"
          r"gain in revenue|fiscal implication|fiscal impact)\b",
-         "Revenue or fiscal-effect language"),
+         "Revenue or fiscal-effect language",
+         needs=("revenue", "fiscal im")),
     Rule("beneficiary_specific_funding", 0.72,
          r"\b(?:grant|award|payment|reimbursement|credit|subsidy|assistance)\b.{0,180}"
          r"\b(?:eligible|recipient|entity|organization|company|association|district|county|"
          r"municipality)\b",
-         "Funding or benefit directed to a defined recipient class", "is"),
+         "Funding or benefit directed to a defined recipient class", "is",
+         ("grant", "award", "payment", "reimbursement", "credit", "subsidy", "assistance")),
 ]
 FISCAL_AMOUNT = Rule(
     "explicit_fiscal_amount", 0.92, "",

@@ -6,6 +6,8 @@ all of Unicode) and ``d`` (only a line feed ends a line).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +67,28 @@ def excerpt(text: Column, start: Column, end: Column, before: int, after: int) -
 MATCH = "array<struct<start:int,end:int,text:string>>"
 
 
+def searchable(text: Column) -> Column:
+    """Text in which a search for lower-case words finds what patterns find in any case."""
+    return F.translate(F.lower(text), "ſ", "s")
+
+
+def holds(low: Column, words) -> Column:
+    """True if a searchable text holds one of the words; far cheaper than a pattern."""
+    hit = F.lit(not words)
+    for word in words:
+        hit = hit | F.contains(low, F.lit(word))
+    return hit
+
+
+def needed(pattern: str) -> str | None:
+    """The words a pattern such as ``\\bland use\\b`` starts with."""
+    start = re.match(r"\\b([a-z ]+)(.?)", pattern)
+    if not start:
+        return None
+    word = start.group(1)
+    return word[:-1] if start.group(2) in ("?", "*", "{") else word
+
+
 def all_matches(text: Column, pattern: str, limit: int | None = None) -> Column:
     """Every match with its offsets, counted in characters from zero.
 

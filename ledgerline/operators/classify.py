@@ -9,8 +9,11 @@ from ledgerline.functions import rules as R
 from ledgerline.functions import text as T
 
 
-def any_of(text: Column, patterns: list[str]) -> Column:
-    return text.rlike(T.flagged("(?:" + "|".join(patterns) + ")"))
+def any_of(text: Column, patterns: list[str], low: Column | None = None) -> Column:
+    """True if a pattern matches; `low`, the searchable text, rules most texts out."""
+    hit = text.rlike(T.flagged("(?:" + "|".join(patterns) + ")"))
+    words = [T.needed(p) for p in patterns]
+    return hit if low is None or None in words else T.holds(low, words) & hit
 
 
 def document_type(title: Column, url: Column) -> Column:
@@ -24,10 +27,14 @@ def document_type(title: Column, url: Column) -> Column:
 
 def bill_topic(title: Column, latest_action: Column) -> Column:
     text = F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(latest_action, F.lit("")))
-    chain = F
-    for topic, patterns in R.TOPICS.items():
-        chain = chain.when(any_of(text, patterns), topic)
-    return chain.otherwise("other_legislation")
+
+    def topic(low: Column) -> Column:
+        chain = F
+        for name, patterns in R.TOPICS.items():
+            chain = chain.when(any_of(text, patterns, low), name)
+        return chain.otherwise("other_legislation")
+
+    return T.let(T.searchable(text), topic)
 
 
 def action_status(text: Column) -> Column:
@@ -48,15 +55,19 @@ def category_label(category: Column) -> Column:
 
 def civic_category(found: Column, item_text: Column | None, doc_type: Column) -> Column:
     """The category of highest priority among findings and the item's own wording."""
-    chain = F
-    for category in R.CIVIC_PRIORITY:
-        hit = F.array_contains(found, category)
-        if item_text is not None:
-            hit = hit | any_of(item_text, R.CIVIC_SIGNALS[category])
-        chain = chain.when(hit, category)
-    for kind, category in R.CIVIC_TYPE_FALLBACK.items():
-        chain = chain.when(doc_type == kind, category)
-    return chain.otherwise("other_civic")
+
+    def category(low: Column) -> Column:
+        chain = F
+        for name in R.CIVIC_PRIORITY:
+            hit = F.array_contains(found, name)
+            if item_text is not None:
+                hit = hit | any_of(item_text, R.CIVIC_SIGNALS[name], low)
+            chain = chain.when(hit, name)
+        for kind, name in R.CIVIC_TYPE_FALLBACK.items():
+            chain = chain.when(doc_type == kind, name)
+        return chain.otherwise("other_civic")
+
+    return T.let(F.lit("") if item_text is None else T.searchable(item_text), category)
 
 
 def substantive(category: Column) -> Column:

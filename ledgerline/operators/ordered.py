@@ -67,10 +67,18 @@ def _stitch(rows: DataFrame, per_slice: DataFrame, keys: list[str]) -> DataFrame
 
 
 def positions(
-    df: DataFrame, keys: list[str], order: list[str], name: str, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame,
+    keys: list[str],
+    order: list[str | Column],
+    name: str,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """1-based place of each row within its key, ascending by `order`."""
-    by_order = [F.col(c).asc() for c in order]
+    """1-based place of each row within its key.
+
+    The first of `order` names a number, date or time column; later ones may be
+    any ordering.
+    """
+    by_order = [F.col(c).asc() if isinstance(c, str) else c for c in order]
     cuts = _hot_cuts(df, keys, order[0], rows_per_task)
     if cuts is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*by_order)))

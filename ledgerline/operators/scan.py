@@ -24,17 +24,23 @@ def _hit(kind: str, weight: float, label: str, evidence: Column, detail: Column)
 
 def _first_hits(text: Column, pack: list[R.Rule], before: int, after: int) -> Column:
     """One finding per rule that matches, with the text around its first match."""
-    tried = F.array(
-        *[
-            F.struct(
-                F.lit(rule.kind).alias("kind"),
-                F.lit(rule.weight).alias("severity"),
-                F.lit(rule.label).alias("label"),
-                T.first_match(text, T.flagged(rule.pattern, rule.flags)).alias("match"),
-            )
-            for rule in pack
-        ]
-    )
+    def scanned(low: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(rule.kind).alias("kind"),
+                    F.lit(rule.weight).alias("severity"),
+                    F.lit(rule.label).alias("label"),
+                    F.when(
+                        T.holds(low, rule.needs),
+                        T.first_match(text, T.flagged(rule.pattern, rule.flags)),
+                    ).alias("match"),
+                )
+                for rule in pack
+            ]
+        )
+
+    tried = T.let(T.searchable(text), scanned)
     return F.transform(
         F.filter(tried, lambda one: one["match"].isNotNull()),
         lambda one: F.struct(

@@ -55,12 +55,10 @@ def page(df: DataFrame, order: list[str], offset: int, limit: int, most: int = 5
     Spark keeps `offset + limit` rows per task and never sorts the whole table.
     """
     start, size = max(0, offset), T.clamped(limit, 1, most)
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    rows = df.orderBy(*order).offset(start).limit(size)
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    rows = df.orderBy(*order).offset(start).limit(size).withColumn("total", total)
     after = F.lit(start + size)
-    return rows.join(F.broadcast(total)).withColumn(
-        "next_offset", F.when(after < F.col("total"), after)
-    )
+    return rows.withColumn("next_offset", F.when(after < F.col("total"), after))
 
 
 def by_id(df: DataFrame, column: str, value: object) -> DataFrame:
