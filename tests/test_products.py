@@ -135,3 +135,53 @@ def test_first_sight_of_a_bill_is_one_event(spark):
     after = spark.createDataFrame([(1, "action", "x"), (1, "version", "s"), (2, "action", "y")], "bill_id long, kind string, key string")
     found = watch.changes(bills.filter("bill_id = 1"), bills, before, after).collect()
     assert {(r["bill_id"], r["event_type"]) for r in found} == {(2, "bill_discovered"), (1, "new_version")}
+
+
+def test_amendments_and_lineage_enter_packets(spark):
+    sections = spark.createDataFrame(
+        [(1, 20, 200, "3", "Heading", "Section text")],
+        "bill_id long, version_id long, section_id long, section_number string, heading string, section_text string",
+    )
+    places = spark.createDataFrame(
+        [(1, 10, 1, "v1", "https://v1"), (1, 20, 2, "v2", None)],
+        "bill_id long, version_id long, place int, version_code string, source_url string",
+    )
+    events = spark.createDataFrame(
+        [(1, 10, None, "3", "introduced", "a"), (1, 20, 10, "3", "modified", "b"), (1, 20, 10, "9", "removed", "c")],
+        "bill_id long, version_id long, from_version_id long, section_number string, event_type string, detail string",
+    )
+    attributions = spark.createDataFrame(
+        [(1, "3", 5, 0.6, "temporal_text_overlap", 0.1), (1, "3", 4, 0.7, "temporal_text_overlap", 0.2)],
+        "bill_id long, section_number string, amendment_id long, confidence double, basis string, token_overlap double",
+    )
+    amendments = spark.createDataFrame(
+        [(4, "hamdt", "40", "https://a"), (5, "samdt", "50", None)],
+        "amendment_id long, amendment_type string, amendment_number string, source_url string",
+    )
+    rows = packets.numbered(
+        [
+            packets.section_entries(sections, places),
+            packets.lineage_entries(sections, events, places),
+            packets.amendment_entries(sections, attributions, amendments),
+        ]
+    )
+    found = {r["evidence_id"]: r["summary"] for r in rows.collect()}
+    assert found == {
+        "S1": "Latest text for section 3.",
+        "L1": "Section 3 was introduced in version v1.",
+        "L2": "Section 3 was modified in version v2.",
+        "A1": "Candidate amendment association: HAMDT 40.",
+        "A2": "Candidate amendment association: SAMDT 50.",
+    }
+    head = packets.headers(rows).first()
+    assert head["unresolved_gaps"] == ["candidate_amendment_source_url", "section_source_url"]
+
+
+def test_rule_flags_are_patched(spark):
+    rules = spark.createDataFrame([(1, True, False, False)], "rule_id long, active boolean, auto_research boolean, auto_report boolean")
+    patches = spark.createDataFrame(
+        [(1, False, None, None, 1), (1, None, True, None, 2)],
+        "rule_id long, active boolean, auto_research boolean, auto_report boolean, at long",
+    )
+    row = watch.patch_rules(rules, patches).first()
+    assert (row["active"], row["auto_research"], row["auto_report"]) == (False, True, False)
