@@ -7,12 +7,20 @@ random order of its own (optimal densification). 128 bins in 32 bands of 4 miss
 a pair at similarity 0.75 with a probability of 5e-6.
 
 Equal sets are one class from the start, so copies never meet in pairs. In each
-bucket the least class is the centre and is compared with every other member: a
-star, as many pairs as members. Links are confirmed on the full sets. A bucket
-whose members are in one component by then is settled; the others are given four
-times as many centres from round to round, compared only across components,
-until every member has been one. So no link between classes that share a bucket
-is lost, and pairs grow with unsettled members only.
+bucket the class with the least id is the centre and is compared with every
+other member: a star, as many pairs as members. Links are confirmed on the full
+sets. A bucket whose members are in one component by then is settled; the others
+are given sixteen times as many centres from round to round, compared only
+across components, until every member has been one. So no link between classes
+that share a bucket is lost, and pairs grow with unsettled members only.
+
+After the star, a set's items that no set of another component holds are set
+aside: no overlap across components can hold them, so pairs whose other items
+are too few are left out, which is exact.
+A pair is made only if its sizes allow a similarity of 0.75 and its outlines
+agree: 1024 bins, one bit each. At similarity 0.75 they agree in 896 bins on
+average, with a deviation of 10.6; 846 are asked for, which fails less often
+(1e-6) than the bands do. Half of the bins are looked at first.
 """
 
 from __future__ import annotations
@@ -30,9 +38,20 @@ from ledgerline.llm.components import connected
 BINS, ROWS, WORDS = 128, 4, 5
 BIN_BITS = np.uint64(64 - 7)
 EDGES = np.arange(BINS, dtype=np.uint64) << BIN_BITS
-#: For each bin an order of all bins, drawn by a hash; it begins with the bin itself.
-ORDER = np.argsort(mix(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(1)).reshape(BINS, BINS), axis=1)
-ORDER = np.array([[b, *(x for x in row if x != b)] for b, row in enumerate(ORDER)])
+
+
+def _orders(bins: int) -> np.ndarray:
+    """For each bin an order of all bins, drawn by a hash; it begins with the bin itself."""
+    drawn = mix(np.arange(bins * bins, dtype=np.uint64) + np.uint64(bins)).reshape(bins, bins)
+    drawn[np.arange(bins), np.arange(bins)] = 0
+    return np.argsort(drawn, axis=1)
+
+
+ORDER = _orders(BINS)
+FINE = 1024
+FINE_EDGES = np.arange(FINE, dtype=np.uint64) << np.uint64(64 - 10)
+FINE_ORDER, FINE_ROWS = _orders(FINE), np.arange(FINE)
+AGREE, COARSE, COARSE_AGREE = 846, 512, 407
 BAND = np.arange(BINS // ROWS, dtype=np.uint64)
 
 
@@ -50,6 +69,22 @@ def signature(sorted_hashes: np.ndarray) -> np.ndarray:
     return sorted_hashes[first[source]]
 
 
+def outline(sorted_hashes: np.ndarray) -> np.ndarray:
+    """One bit of the least value in each of 1024 further bins, packed into numbers."""
+    values = np.sort(mix(sorted_hashes + np.uint64(BASE)))
+    first = np.searchsorted(values, FINE_EDGES)
+    filled = np.diff(np.append(first, len(values))) > 0
+    step, empty = np.zeros(FINE, np.int64), FINE_ROWS
+    for reach in (16, 128, FINE):  # few bins have to look far
+        near = filled[FINE_ORDER[empty, :reach]]
+        step[empty] = near.argmax(axis=1)
+        empty = empty[~near.any(axis=1)]
+        if not len(empty):
+            break
+    bits = values[first[FINE_ORDER[FINE_ROWS, step]]] & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def bands(sorted_hashes: np.ndarray) -> np.ndarray:
     rows = signature(sorted_hashes).reshape(-1, ROWS)
     key = mix(BAND + np.uint64(1))
@@ -68,6 +103,7 @@ def _sketch(batch: pa.RecordBatch) -> dict:
         "id": batch.column("id"),
         "n": [len(s) for s in sets],
         "node": [_digest(s) if len(s) else None for s in sets],
+        "outline": [outline(s) if len(s) else None for s in sets],
         "bands": [bands(s).view(np.int64) if len(s) else None for s in sets],
     }
 
@@ -85,6 +121,14 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= 75 * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
+def _shared(tables: Tables, sets: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
+    """(node, shared): how many of a set's items are also in a set of another component."""
+    items = tables.save(f"items-{label}", sets.join(nodes, "node").select("node", "root", F.explode("items").alias("item")))
+    crossing = items.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("item")
+    crossing = tables.save(f"crossing-{label}", crossing)
+    return tables.save(f"shared-{label}", items.join(crossing, "item", "left_semi").groupBy("node").agg(F.count("*").alias("shared")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of `docs`.
 
@@ -98,27 +142,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tables = Tables(spark, "minhash")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-    sketches = tables.save("sketches", arrow_map(texts.withColumn("id", F.col("id").cast("bigint")), "id bigint, n bigint, node binary, bands array<bigint>", _sketch))
-
-    classes = sketches.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    rows = tables.save("rows", classes.select("node", "id", "n", F.explode("bands").alias("bucket")))
-    buckets = tables.save("buckets", rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1"))
-    members = tables.save("members", rows.join(buckets, "bucket"))
+    sketches = tables.save("sketches", arrow_map(texts.withColumn("id", F.col("id").cast("bigint")), "id bigint, n bigint, node binary, outline array<bigint>, bands array<bigint>", _sketch))
+
+    last = F.lit((1 << 63) - 1)
+    classes = sketches.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in ("n", "outline", "bands")))
+    classes = tables.save("classes", classes)
+    rows = tables.save("rows", classes.select("node", F.coalesce("id", last).alias("first"), F.explode("bands").alias("bucket")))
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("first", "node")).alias("centre")).where("size > 1")
+    buckets = tables.save("buckets", buckets.select("bucket", "size", "centre.node").withColumnRenamed("node", "centre"))
+    members = rows.drop("first").join(buckets, "bucket").join(classes.select("node", "n", "outline"), "node")
+    members = tables.save("members", members)
     tables.drop("rows")
 
-    wanted = tables.save("wanted", members.select("node", "id").distinct())
+    wanted = tables.save("wanted", members.select("node").distinct().join(classes.select("node", "id"), "node"))
     texts_of = texts.join(wanted.select(F.col("id").alias("want")).distinct(), F.col("id").eqNullSafe(F.col("want")), "left_semi")
-    sets = tables.save("sets", arrow_map(texts_of, "node binary, n bigint, items array<bigint>", _sets).where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("items").alias("items")))
-
-    near = "75 * greatest(n, m) <= 100 * least(n, m)"
-    sizes = wanted.join(sets.select("node", "n"), "node").select(F.col("node").alias("centre"), F.col("n").alias("m"))
-    star = members.where("node <> centre").select("node", "n", "centre").distinct().join(sizes, "centre").where(near)
+    sets = arrow_map(texts_of, "node binary, n bigint, items array<bigint>", _sets).where("n > 0").groupBy("node")
+    sets = tables.save("sets", sets.agg(F.any_value("n").alias("n"), F.any_value("items").alias("items")))
+
+    coarse = sum((F.bit_count(F.get("outline", F.lit(i)).bitwiseXOR(F.get("centre_outline", F.lit(i)))) for i in range(COARSE // 64)), F.lit(0))
+    fine = F.aggregate(F.zip_with("outline", "centre_outline", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    alike = F.expr("75 * greatest(n, m) <= 100 * least(n, m)") & (coarse <= COARSE - COARSE_AGREE) & (fine <= FINE - AGREE)
+    centre = [F.col("node").alias("centre"), F.col("n").alias("m"), F.col("outline").alias("centre_outline")]
+    middle = buckets.select(F.col("centre").alias("node")).distinct().join(classes, "node").select(*centre)
+    star = members.where("node <> centre").select("node", "n", "outline", "centre").distinct().join(middle, "centre").where(alike)
     links = tables.save("links-0", _links(star.select(F.col("node").alias("a"), F.col("centre").alias("b")), sets))
     roots = connected(tables, links, "graph-0")
-    step, centres = 0, 1
+    step, centres, tried, tested = 0, 16, 0, None
     while True:
-        step, centres = step + 1, 4 * centres
-        placed = members.drop("centre").where(f"size > greatest(2, {centres // 4})").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        step += 1
+        placed = members.drop("centre").where(f"size > greatest(2, {tried})").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = tables.save(f"placed-{step}", placed)
         unsettled = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         unsettled = tables.save(f"unsettled-{step}", unsettled)
@@ -126,19 +178,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         left = tables.save(f"left-{step}", placed.join(unsettled, "bucket", "left_semi"))
         tables.drop(f"placed-{step}")
-        draw = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / float(1 << 30)
-        chosen = left.where(draw * F.col("size") < centres).select("bucket", F.col("node").alias("centre"), F.col("n").alias("m"), F.col("root").alias("centre_root"))
-        chosen = tables.save(f"chosen-{step}", chosen)
-        pairs = left.join(chosen, "bucket").where("root <> centre_root").where(near)
+        shared = _shared(tables, sets, left.select("node", "root").distinct(), str(step))
+        # A set that shares less than its part with all other components has no link to come.
+        left = tables.save(f"open-{step}", left.join(shared, "node").where("100 * shared >= 75 * n"))
+        tables.drop(f"left-{step}", f"items-{step}", f"crossing-{step}")
+        # Every member has a rank by hash; the first `centres` of them, on average, are centres by now.
+        rank = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
+        chosen = tables.save(f"chosen-{step}", left.where((rank < centres) & (rank >= tried)).select("bucket", *centre, F.col("shared").alias("centre_shared"), F.col("root").alias("centre_root")))
+        enough = F.expr("root <> centre_root AND 175 * least(shared, centre_shared) >= 75 * (n + m)")
+        pairs = left.join(chosen, "bucket").where(enough & alike)
         pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        pairs = tables.save(f"pairs-{step}", pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
+        tested = tested.union(pairs) if tested else pairs
         found = tables.save(f"links-{step}", _links(pairs, sets))
-        links = links.union(found)
         if not found.isEmpty():
+            links = links.union(found)
             roots = connected(tables, links, f"graph-{step}")
+        tried, centres = centres, 16 * centres
 
     placed = sketches.select("id", "n", "node").join(roots, "node", "left")
     placed = tables.save("components", placed.select("id", "n", F.coalesce("root", "node").alias("root")))
-    tables.drop("sketches", "sets", "members")
+    tables.drop("classes", "sets", "members")
     least = tables.save("least", placed.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("c")).where("c > 1"))
     result = placed.join(least.drop("c"), "root", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return result.select(
