@@ -20,9 +20,11 @@ import hashlib
 import heapq
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import STEP, Tables, arrow_map, arrow_schema, settings
 
 #: UTF-8 bytes of text in a chunk; one longer text is a chunk of its own.
-CHUNK = 32 << 20
+CHUNK = 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -93,7 +95,12 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-SPLIT = "chunk string, row_id bigint, codes binary, words array<string>"
+SPLIT = "chunk bigint, row_id bigint, codes binary, words array<string>"
+CODED = "chunk bigint, at binary, sizes binary, ids binary"
+
+
+def _new_chunk() -> int:
+    return uuid.uuid4().int >> 65
 
 
 def _split(pattern: str, chunk_bytes: int):
@@ -101,13 +108,13 @@ def _split(pattern: str, chunk_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        chunk, held, numbers = uuid.uuid4().hex, 0, {}
+        chunk, held, numbers = _new_chunk(), 0, {}
 
         def words() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([list(numbers)], schema.field(3).type)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([list(numbers)], schema.field(3).type)], schema=schema)
 
         def docs(ids: list, codes: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(codes, pa.binary()), pa.nulls(len(ids), schema.field(3).type)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(codes, pa.binary()), pa.nulls(len(ids), schema.field(3).type)], schema=schema)
 
         for batch in batches:
             ids, codes = [], []
@@ -117,7 +124,7 @@ def _split(pattern: str, chunk_bytes: int):
                 if held and held + size > chunk_bytes:
                     yield docs(ids, codes)
                     yield words()
-                    ids, codes, chunk, held, numbers = [], [], uuid.uuid4().hex, 0, {}
+                    ids, codes, chunk, held, numbers = [], [], _new_chunk(), 0, {}
                 held += size
                 found = find(text)
                 for word in set(found).difference(numbers):
@@ -131,32 +138,63 @@ def _split(pattern: str, chunk_bytes: int):
     return run
 
 
-def _encode_words(ranks):
-    schema = arrow_schema("chunk string, at binary, sizes binary, ids binary")
+class _Encoded:
+    """Ids of words in the order of their rows; equal words follow one another and are encoded once."""
+
+    def __init__(self, table: dict[bytes, int]):
+        self.table, self.last, self.last_ids = table, None, []
+        self.clear()
+
+    def clear(self) -> None:
+        self.chunks, self.ats, self.sizes, self.ids, self.rows = [], [], [], [], 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        words, n = batch.column(1), batch.num_rows
+        new = np.ones(n, bool)
+        if n > 1:
+            new[1:] = pc.not_equal(words.slice(1), words.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        distinct = words.take(pa.array(np.flatnonzero(new))).to_pylist()
+        found = [self.last_ids if w == self.last else encode_word(w.encode(), self.table) for w in distinct]
+        self.last, self.last_ids = distinct[-1], found[-1]
+        run = np.cumsum(new) - 1
+        self.chunks.append(batch.column(0).to_numpy())
+        self.ats.append(batch.column(2).to_numpy())
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.sizes.append(size[run])
+        self.ids.append(_runs(np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), np.cumsum(size) - size, size, run))
+        self.rows += n
+
+    def packed(self, schema: pa.Schema) -> pa.RecordBatch:
+        """One row per chunk: places in its word list, sizes, and ids one after the other."""
+        chunks, ats, sizes, ids = (np.concatenate(x) for x in (self.chunks, self.ats, self.sizes, self.ids))
+        order = np.argsort(chunks, kind="stable")
+        first = np.cumsum(sizes) - sizes
+        _, cuts = np.unique(chunks[order], return_index=True)
+        groups = np.split(order, cuts[1:])
+        out = [[int(chunks[g[0]]) for g in groups], [_planes(ats[g]) for g in groups], [_planes(sizes[g]) for g in groups], [_planes(_runs(ids, first, sizes, g)) for g in groups]]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
+
+
+def _runs(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """The stretches of `flat` that the picked entries stand for, one after the other."""
+    n = sizes[picked]
+    stop = np.cumsum(n)
+    return flat[np.repeat(first[picked] - (stop - n), n) + np.arange(int(n.sum()))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, last, ids = ranks.value, None, []
-        rows: dict[str, list] = {}
-        held = 0
 
-        def flush() -> pa.RecordBatch:
-            out = [(c, *(_planes(np.array(x, np.uint32)) for x in lists)) for c, lists in rows.items()]
-            return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+def _encode_words(ranks):
+    schema = arrow_schema(CODED)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoded = _Encoded(ranks.value)
         for batch in batches:
-            for chunk, word, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if word != last:  # equal words follow one another
-                    last, ids = word, encode_word(word.encode(), table)
-                lists = rows.setdefault(chunk, ([], [], []))
-                lists[0].append(at)
-                lists[1].append(len(ids))
-                lists[2].extend(ids)
-                held += 1
-            if held > 500_000:
-                yield flush()
-                rows, held = {}, 0
-        if rows:
-            yield flush()
+            if batch.num_rows:
+                encoded.add(batch)
+            if encoded.rows > 300_000:
+                yield encoded.packed(schema)
+                encoded.clear()
+        if encoded.rows:
+            yield encoded.packed(schema)
 
     return run
 
@@ -170,13 +208,8 @@ def _join_back(docs: pa.Table, words: pa.Table) -> pa.Table:
     first[at], count[at] = np.cumsum(sizes) - sizes, sizes
     out, ends = [], [0]
     for codes in docs.column("codes").to_pylist():
-        numbers = _from_planes(codes)
-        n = count[numbers]
-        stop = np.cumsum(n)
-        total = int(stop[-1]) if len(stop) else 0
-        # Positions in the flat list: each word's run, one after the other.
-        out.append(flat[np.repeat(first[numbers] - (stop - n), n) + np.arange(total)])
-        ends.append(ends[-1] + total)
+        out.append(_runs(flat, first, count, _from_planes(codes)))
+        ends.append(ends[-1] + len(out[-1]))
     ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out]), pa.int32()))
     return pa.table([docs.column("row_id").combine_chunks(), ids], names=["row_id", "ids"])
 
@@ -200,56 +233,57 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     chunks = spark.table(name)
     words = chunks.where("words is not null").select("chunk", F.posexplode("words").alias("at", "word"))
     words = words.select("chunk", "word", "at").repartition("word").sortWithinPartitions("word")
-    ids = tables.save("words", words.mapInArrow(_encode_words(ranks), "chunk string, at binary, sizes binary, ids binary"), **{"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"})
+    ids = tables.save("words", words.mapInArrow(_encode_words(ranks), CODED), **{"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"})
     numbers = chunks.where("codes is not null").select("chunk", "row_id", "codes")
     joined = numbers.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_join_back, "row_id bigint, ids array<int>")
     return joined.select(F.col("row_id").cast(docs.schema[id_col].dataType).alias(id_col), "ids")
 
 
-def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """The rows of `encoded` with the bytes that their ids stand for; null ids give null."""
-    ranks = read_ranks(vocabulary)
-    size = max(ranks.values(), default=-1) + 1
-    table = [None] * size
-    for token, rank in ranks.items():
-        table[rank] = token
-    lengths = np.array([len(t or b"") for t in table], np.int64)
-    held = encoded.sparkSession.sparkContext.broadcast((b"".join(t or b"" for t in table), np.cumsum(lengths) - lengths, lengths))
-    fields = [*(f.name for f in encoded.schema), bytes_col]
+class Tokens:
+    """The token-byte table: bytes of all tokens, and where each id's begin."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, start, length = held.value
-        data = np.frombuffer(data, np.uint8)
-        for batch in batches:
-            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                column, out = part.column(ids_col), []
-                for row in column:
-                    if not row.is_valid:
-                        out.append(None)
-                        continue
-                    ids = row.values.to_numpy()
-                    n = length[ids]
-                    stop = np.cumsum(n)
-                    out.append(data[np.repeat(start[ids] - (stop - n), n) + np.arange(int(n.sum()))].tobytes())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=fields)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{bytes_col}` binary"
-    return encoded.mapInArrow(run, schema)
-
-
-def digests(decoded: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256), with the ids themselves if asked for."""
-    rows = decoded.select(F.col(id_col).cast("bigint").alias("id"), "ids", "decoded")
+    def __init__(self, ranks: dict[bytes, int]):
+        table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        self.data = np.frombuffer(b"".join(table), np.uint8)
+        self.length = np.array([len(t) for t in table], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        return _runs(self.data, self.start, self.length, ids).tobytes()
+
+
+def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id, decoded): the bytes that the ids of each row of `encoded` stand for; null ids give null."""
+    held = encoded.sparkSession.sparkContext.broadcast(Tokens(read_ranks(vocabulary)))
+
+    def make(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column("id"), "decoded": [held.value.bytes_of(row.values.to_numpy()) if row.is_valid else None for row in batch.column("ids")]}
+
+    rows = encoded.select(F.col(id_col).cast("bigint").alias("id"), F.col(ids_col).alias("ids"))
+    return arrow_map(rows, "id bigint, decoded binary", make).withColumnRenamed("id", id_col)
+
+
+def digests(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256), with the ids themselves if asked for.
+
+    Each row's ids are decoded by the token-byte table as in `decode`; only the
+    digest of the bytes leaves the task.
+    """
+    held = encoded.sparkSession.sparkContext.broadcast(Tokens(read_ranks(vocabulary)))
     schema = "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def make(batch: pa.RecordBatch) -> dict:
-        ids = [row.values.to_numpy().astype("<u4") for row in batch.column("ids")]
+        ids = [row.values.to_numpy() for row in batch.column("ids")]
         return {
             "id": batch.column("id"),
             "n_tokens": [len(x) for x in ids],
-            "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
-            "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()],
+            "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids],
+            "decoded_sha256": [hashlib.sha256(held.value.bytes_of(x)).hexdigest() for x in ids],
             "ids": batch.column("ids"),
         }
 
-    return arrow_map(rows, schema, make).withColumnRenamed("id", id_col)
+    rows = encoded.select(F.col(id_col).cast("bigint").alias("id"), "ids")
+    out = Tables(encoded.sparkSession, "bpe-digests").save("digests", arrow_map(rows, schema, make))
+    return out.withColumnRenamed("id", id_col)

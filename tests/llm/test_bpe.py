@@ -28,16 +28,17 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark, library, chunk_byte
     rows = [(i, t, "x", "y") for i, t in enumerate(texts())] + [(5, "again", "x", "y"), (5, "again", "x", "y"), (None, "no id", "x", "y")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, chunk string, ids string")
     encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, chunk_bytes=chunk_bytes)
-    got = bpe.digests(bpe.decode(encoded, VOCABULARY), keep_ids=True).collect()
+    got = bpe.digests(encoded, VOCABULARY, keep_ids=True).collect()
     want = [(i, library.encode_ordinary(t or ""), t or "") for i, t, *_ in rows]
     assert sorted((repr(r.doc_id), r.ids) for r in got) == sorted((repr(i), ids) for i, ids, _ in want)
+    assert sorted((repr(r.doc_id), bytes(r.decoded)) for r in bpe.decode(encoded, VOCABULARY).collect()) == sorted((repr(i), t.encode()) for i, _, t in want)
     digests = sorted((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for _, ids, t in want)
     assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == digests
 
 
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
-    assert bpe.digests(bpe.decode(bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY)).collect() == []
+    assert bpe.digests(bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY).collect() == []
 
 
 def test_both_merge_loops_agree():
