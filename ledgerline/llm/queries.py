@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, cotraining, minhash, mixing, pii
+from ledgerline.llm import bpe, cotraining, minhash, mixing, pii, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,8 @@ TARGETS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = mixing.label_domains(table(spark, sf_dir, "labels"))
     return mixing.mix(table(spark, sf_dir, "documents"), labels, TARGETS)
+
+
+@query("op4_host_rules", rules.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.host_rules(table(spark, sf_dir, "documents"))
