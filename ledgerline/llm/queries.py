@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, cotraining, minhash, mixing, pii, rules
+from ledgerline.llm import bpe, cotraining, minhash, mixing, pii, rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_host_rules", rules.SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.host_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op2_warc_index", warc.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("url")
