@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import Tables
 
 
-def _state(edges: DataFrame) -> tuple:
-    # A wrapping sum: equal sets of edges, equal state.
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node with no other edge to a root."""
+    ends = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.lit(None).alias("b")))
+    seen = ends.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count_if(F.col("b").isNull()).alias("above"))
+    return seen.where("low <> high OR (low IS NOT NULL AND above > 0)").isEmpty()
 
 
 def connected(tables: Tables, links: DataFrame, label: str) -> DataFrame:
@@ -22,12 +24,12 @@ def connected(tables: Tables, links: DataFrame, label: str) -> DataFrame:
     do no harm; no links give an empty result.
     """
     edges = tables.save(f"{label}-edges-0", links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before, step = None, 0
-    while (now := _state(edges)) != before:
-        before, step = now, step + 1
+    step = 0
+    while not _settled(edges):
+        step += 1
         both = edges.union(edges.select("b", "a"))
         least = tables.save(f"{label}-large-{step}", both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         edges = tables.save(f"{label}-edges-{step}-large", large)
         least = tables.save(f"{label}-small-{step}", edges.groupBy("a").agg(F.min("b").alias("m")))
         small = edges.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")

@@ -10,7 +10,7 @@ Equal sets are one class from the start, so copies never meet in pairs. In each
 bucket the class with the least id is the centre and is compared with every
 other member: a star, as many pairs as members. Links are confirmed on the full
 sets. A bucket whose members are in one component by then is settled; the others
-are given sixteen times as many centres from round to round, compared only
+are given sixty-four times as many centres from round to round, compared only
 across components, until every member has been one. So no link between classes
 that share a bucket is lost, and pairs grow with unsettled members only.
 
@@ -129,6 +129,16 @@ def _shared(tables: Tables, sets: DataFrame, nodes: DataFrame, label: str) -> Da
     return tables.save(f"shared-{label}", items.join(crossing, "item", "left_semi").groupBy("node").agg(F.count("*").alias("shared")))
 
 
+def _joined(tables: Tables, roots: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """The roots after further links: components are joined by their roots alone."""
+    ends = links.select(F.col("a").alias("node"), F.col("a").alias("root")).union(links.select("b", "b"))
+    known = tables.save(f"known-{label}", roots.union(ends).groupBy("node").agg(F.min("root").alias("root")))
+    first, second = (known.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")) for end in ("a", "b"))
+    between = links.join(first, "a").join(second, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    merged = connected(tables, between, f"graph-{label}").select(F.col("node").alias("root"), F.col("root").alias("least"))
+    return tables.save(f"roots-{label}", known.join(merged, "root", "left").select("node", F.coalesce("least", "root").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of `docs`.
 
@@ -147,10 +157,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = F.lit((1 << 63) - 1)
     classes = sketches.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in ("n", "outline", "bands")))
     classes = tables.save("classes", classes)
-    rows = tables.save("rows", classes.select("node", F.coalesce("id", last).alias("first"), F.explode("bands").alias("bucket")))
+    rows = tables.save("rows", classes.select("node", F.coalesce("id", last).alias("first"), F.posexplode("bands").alias("band", "bucket")))
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("first", "node")).alias("centre")).where("size > 1")
     buckets = tables.save("buckets", buckets.select("bucket", "size", "centre.node").withColumnRenamed("node", "centre"))
-    members = rows.drop("first").join(buckets, "bucket").join(classes.select("node", "n", "outline"), "node")
+    members = rows.drop("first").join(buckets, "bucket").join(classes.select("node", "n", "outline", "bands"), "node")
     members = tables.save("members", members)
     tables.drop("rows")
 
@@ -163,11 +173,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fine = F.aggregate(F.zip_with("outline", "centre_outline", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     alike = F.expr("75 * greatest(n, m) <= 100 * least(n, m)") & (coarse <= COARSE - COARSE_AGREE) & (fine <= FINE - AGREE)
     centre = [F.col("node").alias("centre"), F.col("n").alias("m"), F.col("outline").alias("centre_outline")]
+    # Of all buckets that two sets share, the first one makes the pair.
+    once = F.array_position(F.zip_with("bands", "centre_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
     middle = buckets.select(F.col("centre").alias("node")).distinct().join(classes, "node").select(*centre)
     star = members.where("node <> centre").select("node", "n", "outline", "centre").distinct().join(middle, "centre").where(alike)
     links = tables.save("links-0", _links(star.select(F.col("node").alias("a"), F.col("centre").alias("b")), sets))
     roots = connected(tables, links, "graph-0")
-    step, centres, tried, tested = 0, 16, 0, None
+    step, centres, tried = 0, 64, 0
     while True:
         step += 1
         placed = members.drop("centre").where(f"size > greatest(2, {tried})").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -184,17 +196,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tables.drop(f"left-{step}", f"items-{step}", f"crossing-{step}")
         # Every member has a rank by hash; the first `centres` of them, on average, are centres by now.
         rank = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
-        chosen = tables.save(f"chosen-{step}", left.where((rank < centres) & (rank >= tried)).select("bucket", *centre, F.col("shared").alias("centre_shared"), F.col("root").alias("centre_root")))
+        chosen = tables.save(f"chosen-{step}", left.where((rank < centres) & (rank >= tried)).select("bucket", *centre, F.col("bands").alias("centre_bands"), F.col("shared").alias("centre_shared"), F.col("root").alias("centre_root")))
         enough = F.expr("root <> centre_root AND 175 * least(shared, centre_shared) >= 75 * (n + m)")
-        pairs = left.join(chosen, "bucket").where(enough & alike)
+        pairs = left.join(chosen, "bucket").where(enough & alike & once)
         pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        pairs = tables.save(f"pairs-{step}", pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
-        tested = tested.union(pairs) if tested else pairs
+        pairs = tables.save(f"pairs-{step}", pairs)
         found = tables.save(f"links-{step}", _links(pairs, sets))
         if not found.isEmpty():
-            links = links.union(found)
-            roots = connected(tables, links, f"graph-{step}")
-        tried, centres = centres, 16 * centres
+            roots = _joined(tables, roots, found, str(step))
+        tried, centres = centres, 64 * centres
 
     placed = sketches.select("id", "n", "node").join(roots, "node", "left")
     placed = tables.save("components", placed.select("id", "n", F.coalesce("root", "node").alias("root")))
