@@ -89,7 +89,7 @@ FROM (SELECT *, {LABEL} AS label FROM (
     CASE WHEN regexp_matches(head, {re2(R.AGENDA_ITEM)}) THEN regexp_extract(head, {re2(R.AGENDA_ITEM)}, 2)
       WHEN regexp_matches(head, {re2(R.AGENDA_NUMBERED_ACTION)}) THEN regexp_extract(head, {re2(R.AGENDA_NUMBERED_ACTION)}, 2) ELSE head END AS heading
   FROM (SELECT document_id, seg, arg_min(line, line_no) AS head, bool_or(opens) AS item,
-      string_agg(line, chr(10) ORDER BY line_no) FILTER (n <= 30) AS item_text
+      string_agg(line, chr(10) ORDER BY line_no) AS item_text
     FROM (SELECT *, row_number() OVER (PARTITION BY document_id, seg ORDER BY line_no) AS n FROM (
       SELECT *, sum(CASE WHEN contact OR opens THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY line_no) AS seg FROM (
         SELECT *, regexp_matches(line, {re2(R.CONTACT_LINE)}) AS contact, NOT contact AND (regexp_matches(line, {re2(R.AGENDA_ITEM)})
@@ -143,14 +143,14 @@ def civic_signals(spark, sf_dir):
     return civic.signal_findings(agendas(spark, sf_dir), items(spark, sf_dir), KEY)
 
 
-CIVIC_MONEY = r"(?i)\$\s?\d[\d,]*(?:\.\d{1,2})?(?:\s?(?:million|billion|thousand|(?:M|B|K)\b))?"
+CIVIC_MONEY = r"(?i)\$\s?\d[\d,]*(?:\.\d{1,2})?(?:\s?(?:million|billion|thousand|M|B|K))?"
 
 
 @query(
     "civic_money",
     f"""
     SELECT document_id, 'explicit_money_mentions' AS category, len(hits) AS mention_count,
-      array_to_string({distinct_in_order('hits[1:25]')}, '; ') AS evidence, array_to_string(hits[1:100], '; ') AS first_values
+      array_to_string({distinct_in_order('hits')}, '; ') AS evidence, array_to_string(hits, '; ') AS first_values
     FROM (SELECT document_id, list_transform(regexp_extract_all(text, {quoted(CIVIC_MONEY)}), lambda h: regexp_replace(h, '[,\\s]+$', '')) AS hits
       FROM ({TEXTS_SQL}) AS t) AS x WHERE len(hits) > 0
     """,
@@ -395,7 +395,7 @@ WITH d AS (SELECT h.*, t.text, {TYPE_SQL} AS document_type, {GROUP_SQL} AS group
   per_item AS (SELECT document_id, item_ordinal, list(DISTINCT category) AS found, count(*) AS n FROM f WHERE item_ordinal IS NOT NULL GROUP BY ALL),
   per_doc AS (SELECT document_id, list(DISTINCT category) AS found, count(*) AS n FROM f GROUP BY ALL),
   a AS (SELECT d.*, i.ordinal, i.heading AS item_title, i.item_text, i.label, i.agenda_section, coalesce(p.found, []) AS found, coalesce(p.n, 0) AS n
-    FROM i JOIN d USING (document_id) LEFT JOIN per_item p ON p.document_id = i.document_id AND p.item_ordinal = i.ordinal WHERE i.ordinal <= 100),
+    FROM i JOIN d USING (document_id) LEFT JOIN per_item p ON p.document_id = i.document_id AND p.item_ordinal = i.ordinal),
   ac AS (SELECT *, {category_sql('found', 'item_text')} AS category FROM a WHERE label IS NULL),
   w AS (SELECT d.*, coalesce(p.found, []) AS found, coalesce(p.n, 0) AS n, {category_sql("coalesce(p.found, [])", None)} AS category
     FROM d LEFT JOIN per_doc p USING (document_id) WHERE document_id NOT IN (SELECT document_id FROM i))

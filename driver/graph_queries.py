@@ -308,16 +308,19 @@ def late_scope_outliers(spark, sf_dir):
     "document_outliers",
     SCOPED.replace(
         LATEST_SECTIONS,
-        "SELECT source AS bill_id, doc_id AS section_id, '' AS heading, regexp_replace(text, '[^ -~]', ' ', 'g') AS section_text FROM documents",
+        "SELECT source AS bill_id, doc_id AS section_id, '' AS heading, regexp_replace(text, '[^\x00-\x7F]', '_', 'g') AS section_text FROM documents",
     ).replace(corpus.BILLS, "SELECT DISTINCT source AS bill_id, '' AS title, '{}' AS metadata_json FROM documents")
     .replace("title || ' ' || lower(json_extract_string(metadata_json, '$.subjects[0]')) || ' standards commerce ' || json_extract_string(metadata_json, '$.summary')", "title"),
 )
 def document_outliers(spark, sf_dir):
-    """Documents unlike the others of their source; every character outside ASCII parts words."""
+    """Documents unlike the others of their source.
+
+    The SQL writes letters outside ASCII as a word character that no word may hold.
+    """
     documents = texts(spark, sf_dir, "documents").select(
         F.col("source").alias("bill_id"), F.col("doc_id").alias("section_id"),
         F.lit("1").alias("section_number"), F.lit("").alias("heading"),
-        F.regexp_replace("text", "[^ -~]", " ").alias("section_text"),
+        F.col("text").alias("section_text"),
     )
     sources = documents.select("bill_id").distinct().select(
         "bill_id", F.lit("").alias("title"), F.lit("").alias("scope_text")

@@ -282,7 +282,7 @@ def duplicate_sections(spark, sf_dir):
     "round_robin",
     """
     WITH pool AS (SELECT doc_id, source, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id DESC) AS place
-                  FROM documents QUALIFY place <= 1000),
+                  FROM documents),
     r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY place) AS turn,
             min(place) OVER (PARTITION BY source) AS source_rank FROM pool)
     SELECT doc_id, source, row_number() OVER (ORDER BY turn, source_rank) AS shown FROM r QUALIFY shown <= 200

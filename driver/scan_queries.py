@@ -36,7 +36,7 @@ def findings_sql(source: str) -> str:
     refs = distinct_in_order("refs")
     parts.append(
         f"""SELECT bill_id, version_id, section_id, 'cross_reference_density', 0.45,
-        array_to_string(list_slice(d, 1, 25), '; '), array_to_string(list_slice(d, 1, 12), '; ')
+        array_to_string(d, '; '), array_to_string(d, '; ')
         FROM (SELECT bill_id, version_id, section_id, {refs} AS d FROM (
           SELECT *, regexp_extract_all(section_text, {quoted('(?i)' + R.REFERENCE_RULE.pattern)}) AS refs
           FROM ({source}) AS s) AS r) AS q WHERE len(d) >= 2"""
@@ -156,13 +156,13 @@ def all_match_excerpts(spark, sf_dir):
     "ordered_distinct",
     f"""
     SELECT doc_id, len(hits) AS mentions, len(d) AS distinct_mentions,
-      array_to_string(list_slice(d, 1, 25), '; ') AS first_mentions
+      array_to_string(d, '; ') AS first_mentions
     FROM (SELECT doc_id, hits, {distinct_in_order('hits')} AS d FROM (
       SELECT doc_id, regexp_extract_all(text, {quoted(PROSE_MATCH)}) AS hits FROM documents) AS x) AS y
     """,
 )
 def ordered_distinct(spark, sf_dir):
-    """Mentions per document: how many, how many different, and the first 25 of those."""
+    """Mentions per document: how many, how many different, and which."""
     hits = F.regexp_extract_all("text", F.lit(PROSE_MATCH), F.lit(0))
     rows = texts(spark, sf_dir, "documents").select("doc_id", hits.alias("hits"))
     distinct = F.array_distinct("hits")
@@ -170,7 +170,7 @@ def ordered_distinct(spark, sf_dir):
         "doc_id",
         F.size("hits").alias("mentions"),
         F.size(distinct).alias("distinct_mentions"),
-        F.array_join(F.slice(distinct, 1, 25), "; ").alias("first_mentions"),
+        F.array_join(distinct, "; ").alias("first_mentions"),
     )
 
 
@@ -213,7 +213,7 @@ def fiscal_sql(source: str) -> str:
         parts.append(
             f"""SELECT {keys}, {quoted(rule.kind)} AS category, {rule.weight} AS confidence,
             {strip(excerpt('txt', 'start0', 'length(hit)', 220, 320))} AS evidence,
-            CAST(NULL AS DOUBLE) AS largest_amount FROM ({found}) AS m WHERE i <= 5"""
+            CAST(NULL AS DOUBLE) AS largest_amount FROM ({found}) AS m"""
         )
     money = matches(source, keys, "text", RULE_MONEY)
     value = f"""CAST(replace(regexp_extract(hit, {quoted(RULE_MONEY)}, 1), ',', '') AS DOUBLE)

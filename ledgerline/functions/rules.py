@@ -100,7 +100,7 @@ ANALYSIS_TERMS = {
     "appropriation": r"appropriat|general revenue|special fund|dedicated account",
     "tax_change": r"tax credit|tax exemption|deduction|tax rate|franchise tax|"
                   r"sales and use tax|property tax",
-    "fee_change": r"\bfee|surcharge|assessment",
+    "fee_change": r"fee|surcharge|assessment",
     "mandate": r"mandate|required|shall|must",
     "implementation_cost": r"implementation|administrative cost|FTE|staff|technology cost",
     "revenue_effect": r"revenue|fiscal impact|fiscal implication",

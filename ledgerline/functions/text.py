@@ -68,8 +68,12 @@ MATCH = "array<struct<start:int,end:int,text:string>>"
 
 
 def searchable(text: Column) -> Column:
-    """Text in which a search for lower-case words finds what patterns find in any case."""
-    return F.translate(F.lower(text), "ſ", "s")
+    """Text in which a search for lower-case words finds what patterns find in any case.
+
+    Patterns take four letters outside ASCII for Latin ones; they are replaced
+    first, because lower case would turn one of them into two characters.
+    """
+    return F.lower(F.translate(text, "İıſ\u212a", "iisk"))
 
 
 def holds(low: Column, words) -> Column:
@@ -163,16 +167,18 @@ def matched_text(text: Column, match: Column) -> Column:
 
 
 # Words left out of token sets.
-LINEAGE_STOPWORDS = (
-    "the and for that with from this shall may must are was were into under section subsection "
-    "paragraph bill act amendment amended relating provide providing other such each any all not"
-).split()
-SCOPE_STOPWORDS = (
-    "the and for that with from this shall may must are was were into under section subsection "
-    "paragraph bill act amendment amended relating provide provides providing other such each any "
-    "all not thereof therein thereunder including means term state federal law chapter code "
-    "article title part division applicable effective date"
-).split()
+LINEAGE_STOPWORDS = [
+    "the", "and", "for", "that", "with", "from", "this", "shall", "may", "must", "are", "was", "were", "into",
+    "under", "section", "subsection", "paragraph", "bill", "act", "amendment", "amended", "relating",
+    "provide", "providing", "other", "such", "each", "any", "all", "not",
+]
+SCOPE_STOPWORDS = [
+    "the", "and", "for", "that", "with", "from", "this", "shall", "may", "must", "are", "was", "were", "into",
+    "under", "section", "subsection", "paragraph", "bill", "act", "amendment", "amended", "relating",
+    "provide", "provides", "providing", "other", "such", "each", "any", "all", "not", "thereof", "therein",
+    "thereunder", "including", "means", "term", "state", "federal", "law", "chapter", "code", "article",
+    "title", "part", "division", "applicable", "effective", "date",
+]
 # Fixed value: a word of three characters or more that starts with a Latin letter.
 TOKEN = r"(?U)\b[A-Za-z][A-Za-z0-9'-]{2,}\b"
 
@@ -220,7 +226,7 @@ def issue_key(title: Column, synopsis: Column) -> Column:
 # Money in bill text and in local records.
 BILL_MONEY = r"(?iUd)\$\s?([0-9][0-9,]*(?:\.\d+)?)\s*(million|billion|thousand)?"
 CIVIC_MONEY = (
-    r"(?iUd)(?<!\w)\$\s?\d[\d,]*(?:\.\d{1,2})?(?:\s?(?:million|billion|thousand|(?:M|B|K)\b))?"
+    r"(?iUd)(?<!\w)\$\s?\d[\d,]*(?:\.\d{1,2})?(?:\s?(?:million|billion|thousand|M|B|K))?"
 )
 LOOSE_MONEY = r"(?iUd)\$\s*([0-9][0-9,]*(?:\.\d+)?)\s*(thousand|million|billion)?"
 

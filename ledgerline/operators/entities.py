@@ -21,7 +21,7 @@ def _named(text: Column, pattern: str, entity_type: str, link_type: str, confide
             F.lit(confidence).alias("confidence"),
             T.strip(m["text"]).alias("name"),
             m["start"].alias("start"),
-            F.substring(T.excerpt(text, m["start"], m["end"], 180, 260), 1, 4000).alias("evidence"),
+            T.excerpt(text, m["start"], m["end"], 180, 260).alias("evidence"),
         ),
     )
 

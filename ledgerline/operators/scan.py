@@ -94,8 +94,8 @@ def section_findings(sections: DataFrame, keys: list[str], text: str = "section_
                     R.REFERENCE_RULE.kind,
                     R.REFERENCE_RULE.weight,
                     R.REFERENCE_RULE.label,
-                    F.array_join(F.slice(found, 1, 12), "; "),
-                    F.array_join(F.slice(found, 1, 25), "; "),
+                    F.array_join(found, "; "),
+                    F.array_join(found, "; "),
                 )
             ),
         ).otherwise(none),

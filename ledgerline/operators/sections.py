@@ -71,16 +71,23 @@ def agenda_items(
     documents: DataFrame,
     keys: list[str],
     text: str = "text",
-    max_lines: int = 30,
-    max_items: int = 250,
+    max_lines: int | None = None,
+    max_items: int | None = None,
+    max_heading: int | None = None,
+    max_text: int | None = None,
 ) -> DataFrame:
     """Agenda items of each document, in order, with the section they stand in.
 
+    The bounds cut an item's lines, a document's items, headings and item texts
+    for listings; by default everything is kept.
+
     An opening line starts an item, a contact line ends it. Both become control
     characters in the line list, so that two splits of the joined lines give the
     items; no row leaves its task.
     """
     opened, closed = "\u0001", "\u0002"
+    first = lambda values, most: values if most is None else F.slice(values, 1, most)
+    start = lambda value, most: value if most is None else F.substring(value, 1, most)
     clean = F.translate(F.coalesce(F.col(text), F.lit("")), opened + closed, "")
     marked = F.transform(
         T.lines(clean),
@@ -91,18 +98,16 @@ def agenda_items(
     segments = F.split(F.array_join(marked, "\n"), opened, -1)
     bodies = F.transform(
         F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0))),
-        lambda part: F.slice(
-            F.filter(F.split(F.get(F.split(part, closed, 2), F.lit(0)), "\n"), lambda x: x != ""),
-            1,
-            max_lines,
+        lambda part: first(
+            F.filter(F.split(F.get(F.split(part, closed, 2), F.lit(0)), "\n"), lambda x: x != ""), max_lines
         ),
     )
 
     def described(body: Column) -> Column:
-        first = F.get(body, F.lit(0))
+        opening = F.get(body, F.lit(0))
         kind = (
-            F.when(first.rlike(R.AGENDA_ITEM), 1)
-            .when(first.rlike(R.AGENDA_NUMBERED_ACTION), 2)
+            F.when(opening.rlike(R.AGENDA_ITEM), 1)
+            .when(opening.rlike(R.AGENDA_NUMBERED_ACTION), 2)
             .otherwise(3)
         )
 
@@ -112,27 +117,26 @@ def agenda_items(
             ).when(head["kind"] == 2, F.regexp_extract(head["line"], R.AGENDA_NUMBERED_ACTION, group))
 
         def named(head: Column) -> Column:
-            title = F.substring(F.coalesce(part(head, 2), head["line"]), 1, 500)
+            title = start(F.coalesce(part(head, 2), head["line"]), max_heading)
             return F.struct(part(head, 1).alias("item_number"), title.alias("heading"))
 
-        head = F.struct(first.alias("line"), kind.alias("kind"))
+        head = F.struct(opening.alias("line"), kind.alias("kind"))
         return T.let(
             T.let(head, named),
             lambda item: F.struct(
                 item["item_number"].alias("item_number"),
                 item["heading"].alias("heading"),
-                F.substring(F.array_join(body, "\n"), 1, 12000).alias("item_text"),
+                start(F.array_join(body, "\n"), max_text).alias("item_text"),
                 section_label(item["item_number"], item["heading"]).alias("label"),
                 F.length(F.array_join(body, " ")).alias("size"),
             ),
         )
 
-    kept = F.slice(
+    kept = first(
         F.filter(
             F.transform(bodies, described),
             lambda item: item["label"].isNotNull() | (item["size"] >= 20),
         ),
-        1,
         max_items,
     )
     found = documents.select(*keys, kept.alias("items"))

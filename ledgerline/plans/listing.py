@@ -10,51 +10,46 @@ from ledgerline.functions import text as T
 from ledgerline.operators import ordered
 
 
+def _size(limit: int | None, most: int | None) -> int:
+    size = max(1, 100 if limit is None else limit)
+    return size if most is None else min(size, most)
+
+
 def newest(
     df: DataFrame,
     order: list[str],
     limit: int | None = None,
-    most: int = 500,
+    most: int | None = None,
     **equal: object,
 ) -> DataFrame:
-    """The newest rows that match the given column values; the limit is kept in 1..`most`."""
+    """The newest `limit` rows (100) that match the given column values; `most` bounds the limit."""
     for column, value in equal.items():
         if value is not None:
             df = df.filter(F.col(column) == value)
-    return df.orderBy(*[F.col(c).desc() for c in order]).limit(T.clamped(limit, 1, most))
+    return df.orderBy(*[F.col(c).desc() for c in order]).limit(_size(limit, most))
 
 
-def round_robin(
-    df: DataFrame, source: str, order: list[str], limit: int, pool: int = 1000
-) -> DataFrame:
-    """Newest rows with the sources taking turns.
+def round_robin(df: DataFrame, source: str, order: list[str], limit: int) -> DataFrame:
+    """`limit` rows, the newest first, with the sources taking turns.
 
-    A distributed top-k yields the pool first, so the windows see `pool` rows.
+    Every source is asked: no source can put more than `limit` rows into the
+    listing, so Spark keeps that many of each before the shuffle, and a
+    distributed top-k leaves `limit` rows for the numbering.
     """
-    newest_first = [F.col(c).desc() for c in order]
-    top = df.orderBy(*newest_first).limit(pool)
-    placed = top.withColumn("_place", F.row_number().over(Window.orderBy(*newest_first)))
-    by_source = Window.partitionBy(source)
-    turns = placed.withColumns(
-        {
-            "_turn": F.row_number().over(by_source.orderBy("_place")),
-            "_rank": F.min("_place").over(by_source),
-        }
-    )
-    shown = F.row_number().over(Window.orderBy("_turn", "_rank"))
-    return (
-        turns.withColumn("shown", shown)
-        .filter(F.col("shown") <= T.clamped(limit, 1, 1000))
-        .drop("_place", "_turn", "_rank")
-    )
+    turn = F.row_number().over(Window.partitionBy(source).orderBy(*[F.col(c).desc() for c in order]))
+    newest = df.groupBy(source).agg(F.max(F.struct(*order)).alias("_newest"))
+    turns = df.withColumn("_turn", turn).filter(F.col("_turn") <= limit).join(newest, source)
+    top = turns.orderBy("_turn", F.col("_newest").desc()).limit(limit)
+    shown = F.row_number().over(Window.orderBy("_turn", F.col("_newest").desc()))
+    return top.withColumn("shown", shown).drop("_turn", "_newest")
 
 
-def page(df: DataFrame, order: list[str], offset: int, limit: int, most: int = 500) -> DataFrame:
+def page(df: DataFrame, order: list[str], offset: int, limit: int, most: int | None = None) -> DataFrame:
     """Rows `offset` to `offset + limit` with the total and the next offset.
 
     Spark keeps `offset + limit` rows per task and never sorts the whole table.
     """
-    start, size = max(0, offset), T.clamped(limit, 1, most)
+    start, size = max(0, offset), _size(limit, most)
     total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
     rows = df.orderBy(*order).offset(start).limit(size).withColumn("total", total)
     after = F.lit(start + size)

@@ -70,10 +70,11 @@ def test_agenda_items(spark):
     assert found[1]["item_text"].endswith("\nmore")
 
 
-def test_agenda_keeps_thirty_lines(spark):
+def test_agenda_keeps_whole_items_unless_a_bound_is_asked_for(spark):
     text = "1. Consider the annual budget\n" + "\n".join(f"line {i}" for i in range(60))
     rows = spark.createDataFrame([(1, text)], "doc long, text string")
-    assert len(sections.agenda_items(rows, ["doc"]).first()["item_text"].split("\n")) == 30
+    assert len(sections.agenda_items(rows, ["doc"]).first()["item_text"].split("\n")) == 61
+    assert len(sections.agenda_items(rows, ["doc"], max_lines=30).first()["item_text"].split("\n")) == 30
 
 
 def test_statuses_and_topics(spark):
@@ -105,3 +106,21 @@ def test_routine_headings(spark):
 
 def test_rule_packs_are_data():
     assert len(R.SECTION_RULES) == 6 and len(R.FISCAL_RULES) == 7 and len(R.CIVIC_SIGNALS) == 10
+
+
+def test_word_search_finds_whatever_the_patterns_find(spark):
+    """Every character that a pattern takes for a Latin letter is found by the word search as well."""
+    import random
+
+    draw = random.Random(8)
+    alike = {"i": "iIİı", "s": "sSſ", "k": "kKK"}
+    wild = [chr(c) for c in range(0x80, 0x2200) if chr(c).isalpha()]
+    rows = []
+    for _ in range(400):
+        word = "".join(draw.choice(alike.get(c, c + c.upper())) for c in draw.choice(["municipality", "risk", "assistance"]))
+        rows.append((" ".join([draw.choice(wild) * 2, word, draw.choice(wild)]),))
+    rows += [(f"muni{c}ipality r{c}sk ri{c}k ris{c} a{c}sistance",) for c in wild]
+    for word in ("municipality", "risk", "assistance"):
+        hit = F.col("t").rlike(T.flagged(rf"\b{word}\b"))
+        missed = spark.createDataFrame(rows, "t string").filter(hit & ~T.holds(T.searchable(F.col("t")), [word]))
+        assert missed.collect() == []
