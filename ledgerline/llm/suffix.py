@@ -40,7 +40,7 @@ SPAN = LENGTH - GRAM + 1
 PIECE = 8 << 20
 PLACE = np.uint64((1 << 24) - 1)
 #: Contexts in a block, and in a bucket that one task may sort.
-BLOCK, BUCKET = 4000, 20000
+BLOCK, BUCKET = 4000, 2000
 #: Places are one number: start, count of windows less one, and shift of the sample.
 BITS = 7
 
