@@ -11,6 +11,8 @@ from driver.scan_queries import (
     FISCAL_BILLS, FISCAL_DOCUMENTS, LATEST_SECTIONS, LINKS_SQL, COMPARED, _fiscal, fiscal_sql, findings_sql,
 )
 
+from driver.sqltext import quoted
+from ledgerline.functions import rules as R
 from ledgerline.operators import entities, external, lineage, metrics, ordered, scan, scope
 from ledgerline.plans import listing, packets, queue, report, watch
 from ledgerline.session import checkpointed
@@ -140,7 +142,46 @@ def packet_coverage(spark, sf_dir):
     )
 
 
-@query("report_findings")
+def _case(column: str, names: dict[str, str], otherwise: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in names.items()) + f" ELSE {otherwise} END"
+
+
+RULE_TITLES = {**{r.kind: r.label for r in [*R.SECTION_RULES, R.MONEY_RULE, R.REFERENCE_RULE]}, **report.TITLES}
+STATEMENTS = {**{r.kind: r.label for r in [*R.FISCAL_RULES, R.FISCAL_AMOUNT]}}
+SIGNAL_NAME = "replace(regexp_extract(evidence, {0}, 1), '_', ' ')"
+COMPARED_STATEMENT = f"""CASE category
+  WHEN 'analysis_scope_gap' THEN 'Bill text contains ' || {SIGNAL_NAME.format(quoted('^Bill signal: ([a-z_]+);'))}
+    || ' language that is not explicitly mentioned in this bill analysis.'
+  WHEN 'fiscal_note_amount_exceeds_bill_text' THEN 'Fiscal note contains a larger explicit monetary amount than the bill text.'
+  ELSE 'Fiscal note describes ' || {SIGNAL_NAME.format(quoted('; signal: ([a-z_]+)[.]$'))} || ' that is not explicit in the bill-text signal set.' END"""
+FISCAL_STATED = f"""
+SELECT bill_id, document_id, category, {_case('category', STATEMENTS, "''")} AS statement, confidence, evidence
+FROM ({fiscal_sql(f'{FISCAL_BILLS} UNION ALL {FISCAL_DOCUMENTS}')}) AS own
+UNION ALL SELECT bill_id, document_id, category, {COMPARED_STATEMENT}, confidence, evidence FROM ({COMPARED}) AS cmp
+"""
+REPORTED = f"""
+WITH sec AS ({LATEST_SECTIONS}), h AS (SELECT version_id, source_url FROM ({corpus.VERSION_HEADS}) AS v), links AS ({LINKS_SQL})
+SELECT f.bill_id, 'rule' AS branch, kind AS category, {_case('kind', RULE_TITLES, "''")} AS title, section_number AS section,
+  round(severity, 2) AS confidence, evidence, source_url
+  FROM ({findings_sql(LATEST_SECTIONS)}) AS f JOIN (SELECT section_id, section_number FROM sec) AS s USING (section_id) JOIN h USING (version_id)
+UNION ALL SELECT l.bill_id, 'entity', link_type, {_case('link_type', report.LINK_TITLES, 'link_type')}, section_number, round(confidence, 2), evidence, source_url
+  FROM links AS l JOIN (SELECT section_id, section_number, version_id FROM sec) AS s USING (section_id) JOIN h USING (version_id)
+  WHERE link_type IN ({', '.join(map(quoted, report.LINK_TITLES))})
+UNION ALL SELECT l.bill_id, 'correlation', 'external_correlation', 'External evidence correlation', NULL, 0.95, l.evidence, NULL
+  FROM links AS l JOIN ({CORRELATED_SUPPLIERS}) AS c USING (normalized_name)
+UNION ALL SELECT f.bill_id, 'fiscal', category, statement, NULL, round(confidence, 2), evidence, d.source_url
+  FROM ({FISCAL_STATED}) AS f LEFT JOIN (SELECT document_id, source_url FROM ({corpus.DOCUMENTS}) AS dd) AS d USING (document_id)
+UNION ALL SELECT bill_id, 'lineage', 'provision_lineage', 'Provision changed after initial bill text', section_number,
+  CASE WHEN event_type = 'introduced' THEN 0.90 ELSE 0.78 END, 'Section ' || section_number || ' was ' || event_type || '.', source_url
+  FROM ({LATER}) AS x JOIN h USING (version_id)
+UNION ALL SELECT o.bill_id, 'scope', category, 'Provision scope mismatch review', section_number, round(confidence, 2),
+  'Divergent terms: ' || divergent_terms || '. Anchor similarity: ' || coalesce(CAST(anchor_similarity AS VARCHAR), 'n/a')
+    || '; peer similarity: ' || CAST(peer_similarity AS VARCHAR) || '.', source_url
+  FROM ({SCOPED}) AS o JOIN (SELECT section_id, section_number, version_id FROM sec) AS s USING (section_id) JOIN h USING (version_id)
+"""
+
+
+@query("report_findings", REPORTED)
 def report_findings(spark, sf_dir):
     """All findings of all bills in one list."""
     return _report_findings(spark, sf_dir, evidence(spark, sf_dir))

@@ -89,7 +89,7 @@ def scope_entries(sections: DataFrame, outliers: DataFrame, versions: DataFrame)
         F.lit("Section subject matter is distant from the bill's scope and its neighbours."),
         F.concat(F.lit("Divergent terms: "), "divergent_terms", F.lit(".")), F.col("source_url"),
         {c: F.col(c) for c in ("category", "confidence", "anchor_similarity", "peer_similarity", "peer_cutoff")},
-        [F.col("category"), -F.col("confidence")],
+        [ordered.leading_bytes(F.col("category")), F.col("category"), F.format_string("%.9f", 1 - F.col("confidence"))],
     )
 
 
