@@ -3,10 +3,11 @@
 A classifier fitted on a labelled table gives every document a probability for
 each domain. Document rates r >= 0 then solve a least-squares problem: the
 expected tokens of domain d, the sum of r * tokens * p(d), shall be the target
-share of the budget, and rates shall stay near 1. Projected gradient steps with
-momentum solve it. A step needs D totals of the whole table, one aggregate; the
-rates themselves are never stored between steps, because the rate of a row
-follows from its own probabilities and the list of steps so far.
+share of the budget, and rates shall stay near 1. Errors are weighted by the
+domain's own tokens, so small domains count and few steps suffice. A projected
+gradient step needs D totals of the whole table, one aggregate; the rates
+themselves are never stored between steps, because the rate of a row is a short
+expression over its own probabilities and the steps so far.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
 
 
 def posteriors(docs: DataFrame, weights: DataFrame, prior: list[float], id_col: str = "doc_id", text_col: str = "text", firmness: float = 8.0) -> DataFrame:
-    """(id, n_tokens, p array<double>): tokens are words, p sums to 1.
+    """(id, n_tokens, p0, p1, ...): tokens are words, the probabilities sum to 1.
 
     Beyond `firmness` known marks further ones sharpen p no more, so long texts
     are not surer than their marks allow. A text without words has the prior.
@@ -74,54 +75,41 @@ def posteriors(docs: DataFrame, weights: DataFrame, prior: list[float], id_col:
     soft = F.least(F.lit(1.0), firmness / F.greatest(F.col("hits"), F.lit(1)))
     logits = scored.select("id", "n_tokens", *((F.lit(prior[i]) + soft * F.coalesce(f"s{i}", F.lit(0.0))).alias(f"l{i}") for i in range(count)))
     top = F.greatest(*(F.col(f"l{i}") for i in range(count))) if count > 1 else F.col("l0")
-    powers = logits.select("id", "n_tokens", F.array(*(F.exp(F.col(f"l{i}") - top) for i in range(count))).alias("e"))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return powers.select("id", "n_tokens", F.transform("e", lambda x: x / total).alias("p"))
+    powers = logits.select("id", "n_tokens", *(F.exp(F.col(f"l{i}") - top).alias(f"e{i}") for i in range(count)))
+    total = sum((F.col(f"e{i}") for i in range(count)), F.lit(0.0))
+    return powers.select("id", "n_tokens", *((F.col(f"e{i}") / total).alias(f"p{i}") for i in range(count)))
 
 
-def _rate(steps: list[tuple[float, list[float]]], size: float, pull: float, most: float | None) -> Column:
-    """The rate of a row after `steps`, each a momentum and a slope per domain."""
-    if not steps:
-        return F.lit(1.0)
-    listed = ", ".join(f"named_struct('b', {b!r}D, 'g', array({', '.join(f'{x!r}D' for x in g)}))" for b, g in steps)
-    dot = "aggregate(zip_with(p, s.g, (x, y) -> x * y), 0D, (a, x) -> a + x)"
-    ahead = "(m.r + s.b * (m.r - m.o))"
-    moved = f"{ahead} * {1 - size * pull!r}D - {size!r}D * {dot} + {size * pull!r}D"
-    bounded = f"greatest(0D, {moved})" if most is None else f"least({float(most)!r}D, greatest(0D, {moved}))"
-    return F.expr(f"aggregate(array({listed}), named_struct('r', 1D, 'o', 1D), (m, s) -> named_struct('r', {bounded}, 'o', m.r), m -> m.r)")
-
-
-def fit_rates(members: DataFrame, shares: list[float], budget: float | None = None, pull: float = 0.01, most: float | None = None, steps: int = 60, close: float = 1e-5) -> Column:
-    """The rate as a column over (n_tokens, p), fitted on all rows of `members`.
+def fit_rates(members: DataFrame, shares: list[float], budget: float | None = None, pull: float = 0.001, most: float | None = None, steps: int = 40, close: float = 1e-6) -> Column:
+    """The rate as a column over n_tokens and p0, p1, ..., fitted on all rows of `members`.
 
     `shares` are the targets, `budget` the wanted number of tokens (None: as
     many as there are), `pull` the weight that keeps rates near 1, `most` an
     upper bound. No tokens give a rate of 1.
     """
     shares = [float(s) for s in shares]
-    count = len(shares)
-    part = lambda i: F.get("p", F.lit(i)) * F.col("n_tokens")
-    gram = members.agg(F.sum("n_tokens"), *(F.sum(part(i) * F.get("p", F.lit(j))) for i in range(count) for j in range(count))).first()
-    budget = float(budget or gram[0] or 0)
+    domains = range(len(shares))
+    part = [F.col(f"p{i}") * F.col("n_tokens") for i in domains]
+    sums = members.agg(F.sum("n_tokens"), *(F.sum(x) for x in part), *(F.sum(x * F.col(f"p{j}")) for x in part for j in domains)).first()
+    budget = float(budget or sums[0] or 0)
     if not budget:
         return F.lit(1.0)
-    scaled = [[(gram[1 + i * count + j] or 0.0) / budget / math.sqrt(shares[i] * shares[j]) for j in range(count)] for i in range(count)]
-    size = 1 / (max(sum(map(abs, row)) for row in scaled) + pull)
-    done: list[tuple[float, list[float]]] = []
-    before, momentum = None, 1.0
+    weight = [1 / max((sums[1 + i] or 0.0) / budget, 1e-9) for i in domains]
+    gram = [[(sums[1 + len(shares) * (1 + i) + j] or 0.0) / budget * math.sqrt(weight[i] * weight[j]) for j in domains] for i in domains]
+    # The largest row sum bounds the largest eigenvalue, so no step overshoots.
+    size = 1 / (max(sum(map(abs, row)) for row in gram) + pull)
+    rate, before = F.lit(1.0), None
     for _ in range(steps):
-        rate = _rate(done, size, pull, most)
-        row = members.agg(*(F.sum(rate * part(i)) for i in range(count))).first()
+        row = members.agg(*(F.sum(rate * x) for x in part)).first()
         now = [float(x or 0) / budget for x in row]
-        before = before or now
-        following = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
-        b = (momentum - 1) / following if done else 0.0
-        ahead = [x + b * (x - y) for x, y in zip(now, before)]
-        done.append((b, [(x - s) / s for x, s in zip(ahead, shares)]))
-        if len(done) > 3 and max(abs(x - y) for x, y in zip(now, before)) < close:
+        slope = sum((F.col(f"p{i}") * F.lit(size * weight[i] * (now[i] - shares[i])) for i in domains), F.lit(-size * pull))
+        rate = F.greatest(F.lit(0.0), rate * F.lit(1 - size * pull) - slope)
+        if most is not None:
+            rate = F.least(F.lit(float(most)), rate)
+        if before and max(abs(x - y) for x, y in zip(now, before)) < close:
             break
-        before, momentum = now, following
-    return _rate(done, size, pull, most)
+        before = now
+    return rate
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", most: float | None = None, budget: float | None = None) -> DataFrame:
@@ -141,7 +129,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     draw = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     rated = members.withColumn("rate", rate)
     return rated.select(
-        F.col("id").alias(id_col), "n_tokens", *(F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)), "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies")
+        F.col("id").alias(id_col), "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies")
     )
 
 
