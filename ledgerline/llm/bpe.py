@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import STEP, Tables, arrow_map, arrow_schema, settings
 
 #: UTF-8 bytes of text in a chunk; one longer text is a chunk of its own.
-CHUNK = 16 << 20
+CHUNK = 24 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
