@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -46,8 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"ledgerline-{os.getpid()}")
-    os.makedirs(own, exist_ok=True)
+    own = tempfile.mkdtemp(prefix="ledgerline-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
@@ -58,10 +59,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder, so a lost executor costs no recompute."""
-    context = df.sparkSession.sparkContext
-    context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """`df` written to the shared folder and read again.
+
+    A lost executor costs no recompute, and readers scan only the columns and
+    rows they need.
+    """
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
