@@ -5,9 +5,9 @@ each domain. Document rates r >= 0 then solve a least-squares problem: the
 expected tokens of domain d, the sum of r * tokens * p(d), shall be the target
 share of the budget, and rates shall stay near 1. Errors are weighted by the
 domain's own tokens, so small domains count and few steps suffice. A projected
-gradient step needs D totals of the whole table, one aggregate; the rates
-themselves are never stored between steps, because the rate of a row is a short
-expression over its own probabilities and the steps so far.
+gradient step needs D totals of the whole table, one aggregate; between steps the
+rate of a row is an expression over its own probabilities, written out every few
+steps so that it stays short.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import Tables
 
+#: Gradient steps after which the rates are written out.
+WRITE_EVERY = 8
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -80,8 +82,8 @@ def posteriors(docs: DataFrame, weights: DataFrame, prior: list[float], id_col:
     return powers.select("id", "n_tokens", *((F.col(f"e{i}") / total).alias(f"p{i}") for i in range(count)))
 
 
-def fit_rates(members: DataFrame, shares: list[float], budget: float | None = None, pull: float = 0.001, most: float | None = None, steps: int = 40, close: float = 1e-6) -> Column:
-    """The rate as a column over n_tokens and p0, p1, ..., fitted on all rows of `members`.
+def fit_rates(tables: Tables, members: DataFrame, shares: list[float], budget: float | None = None, pull: float = 0.001, most: float | None = None, steps: int = 40, close: float = 1e-5) -> DataFrame:
+    """`members` (id, n_tokens, p0, p1, ...) with a column rate, fitted on all of them.
 
     `shares` are the targets, `budget` the wanted number of tokens (None: as
     many as there are), `pull` the weight that keeps rates near 1, `most` an
@@ -93,14 +95,14 @@ def fit_rates(members: DataFrame, shares: list[float], budget: float | None = No
     sums = members.agg(F.sum("n_tokens"), *(F.sum(x) for x in part), *(F.sum(x * F.col(f"p{j}")) for x in part for j in domains)).first()
     budget = float(budget or sums[0] or 0)
     if not budget:
-        return F.lit(1.0)
+        return members.withColumn("rate", F.lit(1.0))
     weight = [1 / max((sums[1 + i] or 0.0) / budget, 1e-9) for i in domains]
     gram = [[(sums[1 + len(shares) * (1 + i) + j] or 0.0) / budget * math.sqrt(weight[i] * weight[j]) for j in domains] for i in domains]
     # The largest row sum bounds the largest eigenvalue, so no step overshoots.
     size = 1 / (max(sum(map(abs, row)) for row in gram) + pull)
-    rate, before = F.lit(1.0), None
-    for _ in range(steps):
-        row = members.agg(*(F.sum(rate * x) for x in part)).first()
+    rated, rate, before = members.withColumn("held", F.lit(1.0)), F.col("held"), None
+    for step in range(1, steps + 1):
+        row = rated.select("*", rate.alias("rate")).agg(*(F.sum(F.col("rate") * x) for x in part)).first()
         now = [float(x or 0) / budget for x in row]
         slope = sum((F.col(f"p{i}") * F.lit(size * weight[i] * (now[i] - shares[i])) for i in domains), F.lit(-size * pull))
         rate = F.greatest(F.lit(0.0), rate * F.lit(1 - size * pull) - slope)
@@ -109,7 +111,10 @@ def fit_rates(members: DataFrame, shares: list[float], budget: float | None = No
         if before and max(abs(x - y) for x, y in zip(now, before)) < close:
             break
         before = now
-    return rate
+        if step % WRITE_EVERY == 0:
+            rated = tables.save(f"rates-{step}", rated.select(*members.columns, rate.alias("held")))
+            rate = F.col("held")
+    return rated.select(*members.columns, rate.alias("rate"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", most: float | None = None, budget: float | None = None) -> DataFrame:
@@ -125,9 +130,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     weights, prior = fit_domains(docs, labelled, domains, id_col, text_col)
     weights = tables.save("weights", weights)
     members = tables.save("members", posteriors(docs, weights, prior, id_col, text_col))
-    rate = fit_rates(members, [targets[d] for d in domains], budget, most=most)
+    rated = fit_rates(tables, members, [targets[d] for d in domains], budget, most=most)
     draw = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
-    rated = members.withColumn("rate", rate)
     return rated.select(
         F.col("id").alias(id_col), "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies")
     )

@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerline.llm import mixing
+from ledgerline.llm.common import Tables
 
 SF = "/root/testdata/sf0.01"
 TARGETS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
@@ -26,8 +27,8 @@ def test_rates_equal_plain_projected_gradient(spark):
     members = spark.createDataFrame([(i, int(n[i]), *(float(x) for x in p[i])) for i in range(200)], "id bigint, n_tokens bigint, p0 double, p1 double, p2 double")
     shares = np.array([0.7, 0.1, 0.2])
     for most in (None, 1.0):
-        rate = mixing.fit_rates(members, list(shares), pull=0.2, most=most, steps=40, close=0)
-        got = np.array([r.rate for r in members.select("id", rate.alias("rate")).orderBy("id").collect()])
+        rated = mixing.fit_rates(Tables(spark, "test-mixing"), members, list(shares), pull=0.2, most=most, steps=40, close=0)
+        got = np.array([r.rate for r in rated.orderBy("id").collect()])
         want = solve(n, p, shares, n.sum(), 0.2, most or np.inf)
         assert np.abs(got - want).max() < 0.02
         assert got.min() >= 0
