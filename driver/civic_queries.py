@@ -198,6 +198,20 @@ def revision_change(spark, sf_dir):
     return civic.revision_changes(rows)
 
 
+@query(
+    "revision_pairs",
+    f"""
+    WITH r AS (SELECT *, sha256(text) AS sha, row_number() OVER w AS place, lead(revision_id) OVER w AS before, lead(sha256(text)) OVER w AS before_sha
+      FROM ({REVISIONS}) AS x WINDOW w AS (PARTITION BY document_id ORDER BY observed_at DESC, revision_id DESC))
+    SELECT document_id, revision_id, sha AS new_sha, before AS previous_revision_id, before_sha AS old_sha
+    FROM r WHERE place = 1 AND before IS NOT NULL AND sha <> before_sha
+    """,
+)
+def revision_pairs(spark, sf_dir):
+    """Which revisions are compared, without the diff itself."""
+    return civic.revision_pairs(view(spark, sf_dir, REVISIONS).withColumn("sha256", F.sha2("text", 256)))
+
+
 PENDING = """
 SELECT event_id AS revision_id, user_id AS document_id, event_type AS source_key, ts AS observed_at,
   CASE WHEN value < 10 THEN '2' WHEN value < 20 THEN '1' ELSE '' END AS analyzer_version FROM events

@@ -214,6 +214,19 @@ def amendment_fields(spark, sf_dir):
 MESSAGES = "SELECT conv_id AS bill_id, conv_id * 1000 + turn AS version_id, role AS version_code, CAST(NULL AS STRING) AS issued_on, text FROM conversations"
 
 
+@query(
+    "latest_pairs",
+    f"""
+    WITH r AS (SELECT *, row_number() OVER w AS place, lead(version_id) OVER w AS old_id, lead(version_code) OVER w AS old_code
+      FROM ({MESSAGES}) AS m WINDOW w AS (PARTITION BY bill_id ORDER BY CASE WHEN issued_on IS NULL THEN 1 ELSE 0 END DESC, issued_on DESC, version_id DESC))
+    SELECT bill_id, old_id, old_code, version_id AS new_id, version_code AS new_code FROM r WHERE place = 1 AND old_id IS NOT NULL
+    """,
+)
+def latest_pairs(spark, sf_dir):
+    """Which versions are compared, without the diff itself."""
+    return listing.latest_pairs(view(spark, sf_dir, MESSAGES))
+
+
 @query("latest_diff")
 def latest_diff(spark, sf_dir):
     """Line summary and diff of the last two turns of each conversation."""

@@ -79,8 +79,8 @@ def timeline(actions: DataFrame, sponsors: DataFrame, amendments: DataFrame) ->
     return ordered.positions(union, ["bill_id", "entry"], ["a", "b", "c"], "place").drop("a", "b", "c")
 
 
-def latest_diff(versions: DataFrame, most: int = 200_000) -> DataFrame:
-    """Line summary and unified diff of the two newest versions of each bill."""
+def latest_pairs(versions: DataFrame) -> DataFrame:
+    """The two newest versions of each bill that has two; undated ones count as newest."""
     undated = F.col("issued_on").isNull()
     lean = ordered.first_rows(
         versions.select("bill_id", "version_id", "version_code", "issued_on").withColumn("_u", undated),
@@ -89,7 +89,7 @@ def latest_diff(versions: DataFrame, most: int = 200_000) -> DataFrame:
         2,
     )
     at = F.struct(F.col("_u"), F.col("issued_on"), F.col("version_id"))
-    pair = (
+    return (
         lean.groupBy("bill_id")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -103,13 +103,16 @@ def latest_diff(versions: DataFrame, most: int = 200_000) -> DataFrame:
             F.col("new.version_id").alias("new_id"), F.col("new.version_code").alias("new_code"),
         )
     )
-    texts = versions.select("version_id", "text")
+
+
+def latest_diff(versions: DataFrame, most: int | None = None) -> DataFrame:
+    """Line summary and unified diff of the two newest versions of each bill; `most` cuts the diff."""
+    pair, texts = latest_pairs(versions), versions.select("version_id", "text")
+    whole = D.unified_diff("old_text", "new_text", "old_code", "new_code")
     return (
         pair.join(texts.select(F.col("version_id").alias("old_id"), F.col("text").alias("old_text")), "old_id")
         .join(texts.select(F.col("version_id").alias("new_id"), F.col("text").alias("new_text")), "new_id")
         .withColumn("change", D.line_change("old_text", "new_text"))
-        .withColumn(
-            "diff", F.substring(D.unified_diff("old_text", "new_text", "old_code", "new_code"), 1, most)
-        )
+        .withColumn("diff", whole if most is None else F.substring(whole, 1, most))
         .select("bill_id", "old_id", "old_code", "new_id", "new_code", "change.*", "diff")
     )
