@@ -141,9 +141,6 @@ def session_parts(session: Column) -> Column:
     )
 
 
-QUEUE_STATUSES = ["new", "reviewing", "needs_evidence", "completed", "archived", "superseded"]
-
-
 def watch_problem(rule: dict[str, Column]) -> Column:
     """Why a watch rule is not valid; NULL if it is."""
     kind, place = rule["target_type"], F.upper(rule["jurisdiction"])

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
-from ledgerline.operators import ordered
 from ledgerline.session import checkpointed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -146,8 +145,3 @@ def frontier(
     if limit:
         reached = reached.orderBy("depth", "url").limit(limit)
     return reached.join(pages.select("url", "page_id"), "url", "left")
-
-
-def limited(df: DataFrame, keys: list[str], order: list[Column], limit: int) -> DataFrame:
-    """At most `limit` rows of each source, in order."""
-    return ordered.first_rows(df, keys, order, limit)

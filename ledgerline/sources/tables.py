@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 
 def spread_small(df: DataFrame) -> DataFrame:
-    """Scanned rows over all cores if the input is too small to fill them.
+    """Scanned rows over all cores if the input has too few files to fill them.
 
-    Input of at least one full split per core is left as it was read.
+    Input of at least one file per core is left as it was read.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

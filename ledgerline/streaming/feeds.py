@@ -21,16 +21,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ledgerline.functions import text as T
 from ledgerline.operators import classify, history
 from ledgerline.plans import watch
+from ledgerline.session import checkpointed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keeps stream state on disk rather than on the heap, for very many keys."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
 
 def landed(
     spark: SparkSession,
@@ -172,12 +166,18 @@ def refresh_changed(
     """Batch handler: recomputes derived rows of the buckets whose bills changed.
 
     `build` gets the changed buckets and returns the full rows of those buckets with
-    a `bucket` column; only their partitions are replaced.
+    a `bucket` column; only their partitions are replaced. A changed bucket without
+    rows is emptied.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select(F.pmod(F.xxhash64(column), F.lit(buckets)).alias("bucket")).distinct()
-        history.rebuild_partitions(build(touched), path, "bucket")
+        rows = checkpointed(build(touched))
+        history.rebuild_partitions(rows, path, "bucket")
+        # At most `buckets` numbers.
+        emptied = touched.join(rows.select("bucket").distinct(), "bucket", "left_anti").collect()
+        for row in emptied:
+            rows.drop("bucket").limit(0).write.mode("overwrite").parquet(f"{path}/bucket={row['bucket']}")
 
     return handle
 

@@ -79,3 +79,17 @@ def test_history_index_lists_each_bill_once(spark):
     found = bills.history_index(rows, ["id"]).orderBy("pos").collect()
     assert [(r["bill_type"], r["number"]) for r in found] == [("HB", "9"), ("HCR", "2"), ("SB", "12")]
     assert bills.history_index(rows, ["id"], limit=2).count() == 2
+
+
+def test_a_changed_bucket_without_rows_is_emptied(spark):
+    path = shared_path(spark, "buckets")
+    held = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "bill_id long, gone int")
+    bucket = F.pmod(F.xxhash64("bill_id"), F.lit(1000))
+
+    def build(rows):
+        return lambda touched: rows.withColumn("bucket", bucket).join(touched, "bucket", "left_semi")
+
+    feeds.refresh_changed(build(held), path)(held, 0)
+    assert spark.read.parquet(path).count() == 3
+    feeds.refresh_changed(build(held.filter("bill_id <> 2")), path)(held.filter("bill_id = 2"), 1)
+    assert {r.bill_id for r in spark.read.parquet(path).collect()} == {1, 3}
