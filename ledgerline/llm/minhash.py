@@ -196,9 +196,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tables.drop(f"left-{step}", f"items-{step}", f"crossing-{step}")
         # Every member has a rank by hash; the first `centres` of them, on average, are centres by now.
         rank = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
-        chosen = tables.save(f"chosen-{step}", left.where((rank < centres) & (rank >= tried)).select("bucket", *centre, F.col("bands").alias("centre_bands"), F.col("shared").alias("centre_shared"), F.col("root").alias("centre_root")))
+        left = left.withColumn("rank", rank)
+        chosen = tables.save(f"chosen-{step}", left.where((F.col("rank") < centres) & (F.col("rank") >= tried)).select("bucket", *centre, F.col("bands").alias("centre_bands"), F.col("shared").alias("centre_shared"), F.col("root").alias("centre_root")))
         enough = F.expr("root <> centre_root AND 175 * least(shared, centre_shared) >= 75 * (n + m)")
-        pairs = left.join(chosen, "bucket").where(enough & alike & once)
+        # A pair has been made already if the member was a centre before, and is made once if both are centres now.
+        new = F.expr(f"rank >= {tried} AND (rank >= {centres} OR node < centre)")
+        pairs = left.join(chosen, "bucket").where(new & enough & alike & once)
         pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         pairs = tables.save(f"pairs-{step}", pairs)
         found = tables.save(f"links-{step}", _links(pairs, sets))
