@@ -83,3 +83,32 @@ def test_chain_without_a_common_centre(spark):
     words = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(words[6 * i : 6 * i + 80]), "x", 1) for i in range(20)]
     assert run(spark, rows) == brute(rows)
+
+def short_families(seed, families):
+    """Texts of 6 to 25 words with neighbours just at, above and below the limit: words are cut from the end."""
+    draw = random.Random(seed)
+    rows = []
+    for f in range(families):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(draw.randint(8, 25))]
+        shingles = len(words) - 4
+        cut = draw.choice([shingles // 4, shingles // 4, shingles // 4 + 1])
+        rows += [words, words[: len(words) - cut]]
+    draw.shuffle(rows)
+    return [(i, " ".join(r), "x", 1) for i, r in enumerate(rows)]
+
+
+def test_short_texts_equal_brute_force(spark):
+    rows = short_families(7, 600)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_outline_bits_of_borrowing_bins_are_independent():
+    """A subset of three quarters agrees in 896 bins, with a deviation of binomial size, however few the items are."""
+    draw = np.random.default_rng(11)
+    for size in (8, 40, 400):
+        agree = []
+        for _ in range(300):
+            items = draw.integers(0, 2**63, size).astype(np.uint64)
+            a, b = (minhash.outline(np.sort(s)) for s in (items, items[: size * 3 // 4]))
+            agree.append(minhash.FINE - sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)))
+        assert abs(np.mean(agree) - 896) < 4 and np.std(agree) < 14
