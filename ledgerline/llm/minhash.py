@@ -239,3 +239,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return result.select(
         F.col("id").cast(id_type).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(id_type), F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with one row of each component, and all rows without shingles.
+
+    The row with the least id stays, one without id only where no other is alike;
+    of several under that id the one with the least digest. A row goes by its id
+    and a digest of its text and other columns, so rows that repeat an id or have
+    none are rows of their own.
+    """
+    tables = Tables(docs.sparkSession, "one-of-each")
+    others = F.xxhash64(*(F.col(c) for c in docs.columns if c not in (id_col, text_col)))
+    marked = docs.withColumn("_key", F.unhex(F.concat(F.md5(text_col), F.lpad(F.hex(others), 16, "0"))))
+    placed = _components(tables, marked.select(F.col(id_col).alias("id"), F.col("_key").alias("key"), F.col(text_col).alias("text")))
+    best = placed.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"))
+    best = tables.save("best", best.select(F.col("best.id").alias("_best_id"), F.col("best.key").alias("_best_key")))
+    worded = F.coalesce(F.col(text_col), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    same = (F.col("_key") == F.col("_best_key")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("_best_id"))
+    # Rows that agree in all columns are one row here.
+    kept = marked.where(worded).join(best, same, "left_semi").dropDuplicates([id_col, "_key"])
+    return kept.drop("_key").unionByName(docs.where(~worded))

@@ -56,3 +56,17 @@ def test_odd_documents_go_through(spark):
             if number == 1:
                 assert now.where("text LIKE 'twice%'").count() <= 1
         assert now.count() <= 6
+
+
+def test_near_duplicates_keep_one_row_of_each_group_whatever_the_ids(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int"
+    a, b, c, d = (" ".join(f"{letter}{i}" for i in range(30)) for letter in "abcd")
+    texts = [
+        (None, a), (None, b), (None, b), (None, b.upper()), (7, c), (7, d), (3, d + " end"), (8, c), (9, a + " end"),
+        (None, None), (None, ""), (5, " "), (5, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], schema).repartition(5)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    worded = [r for r in got if (r[1] or "").strip()]
+    assert sorted(worded, key=str) == sorted([(9, a + " end"), (7, c), (3, d + " end"), next(r for r in worded if r[1].lower() == b)], key=str)
+    assert sorted(set(got) - set(worded), key=str) == sorted({(None, None), (None, ""), (5, " "), (5, "")}, key=str) and len(got) == 8
