@@ -4,23 +4,24 @@ A classifier fitted on a labelled table gives every document a probability for
 each domain. Document rates r >= 0 then solve a least-squares problem: the
 expected tokens of domain d, the sum of r * tokens * p(d), shall be the target
 share of the budget, and rates shall stay near 1. Errors are weighted by the
-domain's own tokens, so small domains count and few steps suffice. A projected
-gradient step needs D totals of the whole table, one aggregate; between steps the
-rate of a row is an expression over its own probabilities, written out every few
-steps so that it stays short.
+domain's own tokens, so small domains count. At the solution a row's rate is
+1 - (its probabilities . prices) / pull, cut at the bounds, with one price for
+each domain: its weighted error. So the prices alone are sought, by Newton steps
+with a line search on the dual problem; each look is one aggregate of the whole
+table, with D totals and D * D of the rows whose rates are free to move. Steps go
+on until the totals agree with the prices.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import Tables
 
-#: Gradient steps after which the rates are written out.
-WRITE_EVERY = 8
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -82,39 +83,60 @@ def posteriors(docs: DataFrame, weights: DataFrame, prior: list[float], id_col:
     return powers.select("id", "n_tokens", *((F.col(f"e{i}") / total).alias(f"p{i}") for i in range(count)))
 
 
-def fit_rates(tables: Tables, members: DataFrame, shares: list[float], budget: float | None = None, pull: float = 0.001, most: float | None = None, steps: int = 40, close: float = 1e-5) -> DataFrame:
+def fit_rates(tables: Tables, members: DataFrame, shares: list[float], budget: float | None = None, pull: float = 0.001, most: float | None = None, steps: int = 100, close: float = 1e-8) -> DataFrame:
     """`members` (id, n_tokens, p0, p1, ...) with a column rate, fitted on all of them.
 
     `shares` are the targets, `budget` the wanted number of tokens (None: as
     many as there are), `pull` the weight that keeps rates near 1, `most` an
-    upper bound. No tokens give a rate of 1.
+    upper bound. No tokens give a rate of 1. Prices are settled when no total
+    differs from what they ask for by more than `close` of the target; if they
+    are not after `steps` aggregates, that is an error.
     """
     shares = [float(s) for s in shares]
     domains = range(len(shares))
     part = [F.col(f"p{i}") * F.col("n_tokens") for i in domains]
-    sums = members.agg(F.sum("n_tokens"), *(F.sum(x) for x in part), *(F.sum(x * F.col(f"p{j}")) for x in part for j in domains)).first()
+    sums = members.agg(F.sum("n_tokens"), *(F.sum(x) for x in part)).first()
     budget = float(budget or sums[0] or 0)
     if not budget:
         return members.withColumn("rate", F.lit(1.0))
-    weight = [1 / max((sums[1 + i] or 0.0) / budget, 1e-9) for i in domains]
-    gram = [[(sums[1 + len(shares) * (1 + i) + j] or 0.0) / budget * math.sqrt(weight[i] * weight[j]) for j in domains] for i in domains]
-    # The largest row sum bounds the largest eigenvalue, so no step overshoots.
-    size = 1 / (max(sum(map(abs, row)) for row in gram) + pull)
-    rated, rate, before = members.withColumn("held", F.lit(1.0)), F.col("held"), None
-    for step in range(1, steps + 1):
-        row = rated.select("*", rate.alias("rate")).agg(*(F.sum(F.col("rate") * x) for x in part)).first()
-        now = [float(x or 0) / budget for x in row]
-        slope = sum((F.col(f"p{i}") * F.lit(size * weight[i] * (now[i] - shares[i])) for i in domains), F.lit(-size * pull))
-        rate = F.greatest(F.lit(0.0), rate * F.lit(1 - size * pull) - slope)
-        if most is not None:
-            rate = F.least(F.lit(float(most)), rate)
-        if before and max(abs(x - y) for x, y in zip(now, before)) < close:
-            break
-        before = now
-        if step % WRITE_EVERY == 0:
-            rated = tables.save(f"rates-{step}", rated.select(*members.columns, rate.alias("held")))
-            rate = F.col("held")
-    return rated.select(*members.columns, rate.alias("rate"))
+    soft = np.array([max((sums[1 + i] or 0.0) / budget, 1e-9) for i in domains])
+    target = np.array(shares)
+
+    def rates(prices: np.ndarray) -> tuple[Column, Column]:
+        free = F.lit(1.0) - sum((F.col(f"p{i}") * F.lit(float(prices[i] / pull)) for i in domains), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), free)
+        return free, rate if most is None else F.least(F.lit(float(most)), rate)
+
+    def look(prices: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value, slope and curvature of the dual problem."""
+        free, rate = rates(prices)
+        # Rates at a bound do not move with the prices.
+        moves = (F.col("free") >= 0) & (F.lit(True) if most is None else F.col("free") <= float(most))
+        # The least of a row's pull and price, less what a rate of 0 has.
+        cost = F.col("n_tokens") * F.col("rate") * (F.col("rate") / 2 - F.col("free"))
+        row = members.select("*", free.alias("free"), rate.alias("rate")).agg(
+            F.sum(cost), *(F.sum(F.col("rate") * x) for x in part), *(F.sum(F.when(moves, part[i] * F.col(f"p{j}"))) for i in domains for j in domains)
+        ).first()
+        found = np.array([float(x or 0) / budget for x in row])
+        now, gram = found[1 : 1 + len(shares)], found[1 + len(shares) :].reshape(len(shares), -1)
+        value = pull * found[0] - prices @ target - prices @ (soft * prices) / 2
+        return float(value), now - target - soft * prices, np.diag(soft) + gram / pull
+
+    # Sums are exact to some 1e-12 only.
+    near = max(close, 1e-12) * np.maximum(target, 1e-6)
+    prices = np.zeros(len(shares))
+    value, slope, curve = look(prices)
+    for _ in range(steps):
+        if (np.abs(slope) <= near).all():
+            return members.select("*", rates(prices)[1].alias("rate"))
+        move = np.linalg.solve(curve, slope)
+        size = 1.0
+        tried = look(prices + move)
+        while tried[0] < value + 0.1 * size * (slope @ move) and np.abs(tried[1]).max() > np.abs(slope).max() / 2 and size > 1e-6:
+            size /= 2
+            tried = look(prices + size * move)
+        prices, (value, slope, curve) = prices + size * move, tried
+    raise RuntimeError(f"rates are not settled after {steps} steps: totals are off by {np.abs(slope).max():.3g}")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", most: float | None = None, budget: float | None = None) -> DataFrame:

@@ -34,6 +34,40 @@ def test_rates_equal_plain_projected_gradient(spark):
         assert got.min() >= 0
 
 
+def least_squares(n, p, shares, budget, pull, most):
+    """Accelerated projected steps, restarted when they turn back, until nothing moves."""
+    weight = n / budget
+    there = weight @ p
+    size = 1 / (len(shares) + pull)
+    r, z, t = np.ones(len(n)), np.ones(len(n)), 1.0
+    for _ in range(200000):
+        new = np.clip(z - size * (p @ (((weight * z) @ p - shares) / there) + pull * (z - 1)), 0, most)
+        if ((z - new) * (new - r) * weight).sum() > 0:
+            t = 1.0
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        z, moved = new + (t - 1) / after * (new - r), np.abs(new - r).max()
+        r, t = new, after
+        if moved < 1e-13:
+            break
+    return r
+
+
+def test_overlapping_posteriors_reach_the_least_squares_solution(spark):
+    """The pull and the targets of the pipeline, with posteriors that no domain has for itself."""
+    draw = np.random.default_rng(4)
+    logits = draw.normal(0, 1.2, (400, 3)) + np.log([0.6, 0.3, 0.1])
+    p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    n = draw.integers(1, 500, 400)
+    members = spark.createDataFrame([(i, int(n[i]), *(float(x) for x in p[i])) for i in range(400)], "id bigint, n_tokens bigint, p0 double, p1 double, p2 double")
+    shares = np.array(list(TARGETS.values()))
+    for most in (None, 1.0):
+        rated = mixing.fit_rates(Tables(spark, "test-overlap"), members, list(shares), most=most)
+        got = np.array([r.rate for r in rated.orderBy("id").collect()])
+        want = least_squares(n, p, shares, n.sum(), 0.001, most or np.inf)
+        assert np.abs(got - want).max() < 1e-3
+        assert np.allclose((got * n) @ p, (want * n) @ p, rtol=1e-4, atol=0)
+
+
 def test_targets_are_met_and_classifier_generalizes(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = mixing.label_domains(spark.read.parquet(f"{SF}/labels.parquet"))
