@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann, bpe, chat, cotraining, minhash, mixing, pii, rules, suffix, warc
+from ledgerline.llm import ann, bpe, chat, cotraining, minhash, mixing, pii, rules, suffix, trie, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.deduplicate(table(spark, sf_dir, "documents"))
+
+
+@query("op11_prefix_trie", trie.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return trie.prefix_trie(rows, trie.crc_forks(rows))
+
+
+@query("op13_url_filter", urls.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
