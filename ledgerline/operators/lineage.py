@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-import sys
-
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline import session
 from ledgerline.functions import diff as D
 from ledgerline.functions import text as T
-from ledgerline.operators import ordered, sections as S
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from ledgerline.operators import alike, ordered, sections as S
 
 RENUMBERED_RATIO = 0.90
 
@@ -83,68 +76,11 @@ def section_changes(sections: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.withColumn("event_type", kind)
 
 
-RENUMBERED = pa.schema(
-    [
-        ("bill_id", pa.int64()),
-        ("version_id", pa.int64()),
-        ("old_number", pa.string()),
-        ("new_number", pa.string()),
-        ("similarity", pa.float64()),
-    ]
-)
-
-
-def _ratio_at_least(old: str, new: str, floor: float) -> float:
-    """The ratio of two texts, or 0 once a cheap upper bound falls below `floor`."""
-    if old == new:
-        return 1.0
-    total = len(old) + len(new)
-    if not total or 2.0 * min(len(old), len(new)) / total < floor:
-        return 0.0
-    matcher = difflib.SequenceMatcher(None, old, new)
-    if matcher.quick_ratio() < floor:
-        return 0.0
-    return matcher.ratio()
-
-
-def _renumber(group: pa.Table) -> pa.Table:
-    """Each vanished section, in number order, takes the closest free new section."""
-    rows = sorted(
-        zip(
-            group["section_number"].to_pylist(),
-            group["section_text"].to_pylist(),
-            group["event_type"].to_pylist(),
-        )
-    )
-    free = [(number, text) for number, text, event in rows if event == "introduced"]
-    known: dict[tuple[str, str], float] = {}
-    taken = []
-    for number, text, event in rows:
-        if event != "removed":
-            continue
-        best = None
-        for at, (_, body) in enumerate(free):
-            pair = (text, body)
-            if pair not in known:
-                known[pair] = _ratio_at_least(text, body, RENUMBERED_RATIO)
-            if known[pair] >= RENUMBERED_RATIO and (best is None or known[pair] > best[1]):
-                best = (at, known[pair])
-        if best:
-            taken.append((number, free.pop(best[0])[0], round(best[1], 4)))
-    keys = {name: [group[name][0].as_py()] * len(taken) for name in ("bill_id", "version_id")}
-    found = {
-        name: [row[i] for row in taken]
-        for i, name in enumerate(("old_number", "new_number", "similarity"))
-    }
-    return pa.table({**keys, **found}, schema=RENUMBERED)
-
-
 def renumbered(changes: DataFrame, sections: DataFrame) -> DataFrame:
     """Vanished sections found again under a new number.
 
-    Groups hold the changed sections of one version pair. Those come from two
-    version texts, each of which is one value of one row, so no group outgrows
-    what a row already holds.
+    Only distinct texts of version pairs that lost and gained sections are
+    compared; the greedy choice sees numbers, hashes and ratios.
     """
     moved = changes.filter(F.col("event_type").isin("removed", "introduced") & F.col("from_version_id").isNotNull())
     two_sided = (
@@ -153,21 +89,18 @@ def renumbered(changes: DataFrame, sections: DataFrame) -> DataFrame:
         .filter("kinds = 2")
         .drop("kinds")
     )
-    texts = _texts(sections)
-    side = F.when(F.col("event_type") == "removed", F.col("from_version_id")).otherwise(
-        F.col("version_id")
-    )
-    rows = (
-        moved.join(two_sided, ["bill_id", "version_id"], "left_semi")
+    pair = ["bill_id", "version_id"]
+    side = F.when(F.col("event_type") == "removed", F.col("from_version_id")).otherwise(F.col("version_id"))
+    rows = session.checkpointed(
+        moved.join(two_sided, pair, "left_semi")
         .withColumn("holder", side)
-        .join(
-            texts.withColumnRenamed("version_id", "holder"), ["holder", "section_number"]
-        )
-        .select("bill_id", "version_id", "event_type", "section_number", "section_text")
+        .join(_texts(sections).withColumnRenamed("version_id", "holder"), ["holder", "section_number"])
+        .select(*pair, "event_type", F.col("section_number").alias("number"), F.sha2("section_text", 256).alias("sha"), F.col("section_text").alias("text"))
     )
-    ddl = "bill_id long, version_id long, old_number string, new_number string, similarity double"
-    spread = session.spread(rows, "bill_id", "version_id")
-    return spread.groupBy("bill_id", "version_id").applyInArrow(_renumber, ddl)
+    old, new = (rows.filter(F.col("event_type") == event).drop("event_type") for event in ("removed", "introduced"))
+    texts = [df.groupBy(*pair, "sha").agg(F.first("text").alias("text")) for df in (old, new)]
+    pairs = alike.alike_pairs(*texts, pair, RENUMBERED_RATIO)
+    return alike.first_choices(old.drop("text"), new.drop("text"), pairs, pair)
 
 
 def _texts(sections: DataFrame) -> DataFrame:

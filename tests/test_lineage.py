@@ -1,11 +1,12 @@
 import difflib
 import math
+import random
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
-from ledgerline.operators import lineage, scope
+from ledgerline.operators import alike, lineage, scope
 
 
 def test_undated_versions_come_last(spark):
@@ -65,6 +66,47 @@ def test_lineage_matches_brute_force(spark):
     assert changed and changed[0]["diff"].startswith("--- v10:section-4")
 
 
+def drifting(seed, size):
+    """Texts, many alike and some equal, under numbers that sort as text."""
+    rng = random.Random(seed)
+    words = [f"word{i}" for i in range(60)]
+    texts = []
+    for _ in range(size):
+        if texts and rng.random() < 0.6:
+            text = list(rng.choice(texts))
+            for _ in range(rng.choice([0, 0, 1, 2, 6])):
+                text[rng.randrange(len(text))] = rng.choice("qz ")
+            texts.append("".join(text))
+        else:
+            texts.append(" ".join(rng.choices(words, k=rng.randint(4, 30))))
+    return texts
+
+
+def test_renumbering_of_many_sections_equals_brute_force(spark):
+    texts = drifting(11, 160)
+    versions = [(10, {str(i): t for i, t in enumerate(texts[:80])}), (11, {str(i): t for i, t in enumerate(texts[70:], 500)} | {"3": texts[3], "4": "changed"})]
+    heads = spark.createDataFrame([(1, v, f"v{v}", f"2024-01-{v}") for v, _ in versions], "bill_id long, version_id long, version_code string, issued_on string")
+    rows = [(v, n, i, t) for v, held in versions for i, (n, t) in enumerate(held.items())]
+    sections = spark.createDataFrame(rows, "version_id long, section_number string, ordinal int, section_text string")
+    found = {(r["version_id"], r["section_number"], r["event_type"]) for r in lineage.lineage_events(sections, heads, with_text=False).collect()}
+    expected = expected_events(versions)
+    assert found == expected and sum(e == "renumbered" for *_, e in expected) > 20
+
+
+def test_bounds_lose_no_alike_pair():
+    texts = drifting(5, 60) + ["", "a", "ab", "ab" * 300, "ab" * 290 + "x" * 20]
+    for floor in (0.5, 0.9):
+        found = {(i, j) for i, j, _ in alike.ratios(texts, texts, floor)}
+        assert found == {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if difflib.SequenceMatcher(None, a, b).ratio() >= floor}
+
+
+def test_blocks_of_a_large_pair_are_many_rows(spark):
+    rows = spark.range(1000).select(F.lit(1).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("text")).withColumn("sha", F.sha2("text", 256))
+    blocks = alike._blocks(rows, ["k"], "old").collect()
+    assert len(blocks) >= 1000 // alike.BLOCK_TEXTS and max(len(b["old_shas"]) for b in blocks) <= alike.BLOCK_TEXTS
+    assert sorted(s for b in blocks for s in b["old_shas"]) == sorted(r["sha"] for r in rows.collect())
+
+
 def test_attribution_needs_overlap_and_dates(spark):
     events = spark.createDataFrame(
         [(1, 7, "2024-01-01", "2024-02-01", "grants for rural road repair and bridges")],
