@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
@@ -54,26 +54,45 @@ def _names(entities: DataFrame, side: str) -> DataFrame:
     )
 
 
-def entity_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of entities that share an id, a name or an alias; the best reason per pair.
+def match_classes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Members of the classes of entities that share an id or a name: one row per class, side and entity.
 
-    Three equi-joins in two: shared ids, and names of comparable types where both
-    names being the own name means an exact match and anything else an alias.
+    kind 'id' with the id's name and value, or 'name' with the type group and the
+    name; `own` marks an entity's normalized name; `lefts` and `rights` count the
+    members of the class. A name held by n and m entities is n + m rows, not n * m;
+    `unfolded` gives the pairs.
     """
-    by_id = _ids(left, "left_id").join(_ids(right, "right_id"), ["k", "v"]).select(
-        "left_id", "right_id", F.lit(1).alias("tier"), "k", "v"
-    )
-    exact = F.col("left_id_own") & F.col("right_id_own")
-    by_name = _names(left, "left_id").join(_names(right, "right_id"), ["type_group", "name"]).select(
-        "left_id",
-        "right_id",
-        F.when(exact, 2).otherwise(3).alias("tier"),
-        F.lit("").alias("k"),
-        F.when(exact, F.col("name")).otherwise("").alias("v"),
-    )
+    def members(side: str, rows: DataFrame) -> DataFrame:
+        ids = _ids(rows, "entity_id").select(F.lit("id").alias("kind"), "k", "v", F.lit(side).alias("side"), "entity_id", F.lit(True).alias("own"))
+        names = _names(rows, "entity_id")
+        return ids.unionByName(names.select(F.lit("name").alias("kind"), F.col("type_group").alias("k"), F.col("name").alias("v"), F.lit(side).alias("side"), "entity_id", F.col("entity_id_own").alias("own")))
+
+    rows = members("left", left).unionByName(members("right", right))
+    rows = rows.groupBy("kind", "k", "v", "side", "entity_id").agg(F.max("own").alias("own"))
+    sizes = rows.groupBy("kind", "k", "v").agg(F.count_if(F.col("side") == "left").alias("lefts"), F.count_if(F.col("side") == "right").alias("rights"))
+    return rows.join(sizes.filter("lefts > 0 AND rights > 0"), ["kind", "k", "v"])
+
+
+def class_links(classes: DataFrame) -> DataFrame:
+    """(entity_id, kind, links): how many members of the right side a left entity meets in its classes of a kind."""
+    mine = classes.filter("side = 'left'")
+    return mine.groupBy("entity_id", "kind").agg(F.sum("rights").alias("links"))
+
+
+def unfolded(classes: DataFrame) -> DataFrame:
+    """Pairs of entities in a common class, each with its best reason."""
+    key = ["kind", "k", "v"]
+    left = classes.filter("side = 'left'").select(*key, F.col("entity_id").alias("left_id"), F.col("own").alias("left_own"))
+    right = classes.filter("side = 'right'").select(*key, F.col("entity_id").alias("right_id"), F.col("own").alias("right_own"))
+    exact = F.col("left_own") & F.col("right_own")
+    named = F.col("kind") == "name"
     best = (
-        by_id.unionByName(by_name)
+        left.join(right, key)
         .filter("left_id <> right_id")
+        .select(
+            "left_id", "right_id", F.when(~named, 1).when(exact, 2).otherwise(3).alias("tier"),
+            F.when(named, "").otherwise(F.col("k")).alias("k"), F.when(named & ~exact, "").otherwise(F.col("v")).alias("v"),
+        )
         .groupBy("left_id", "right_id")
         .agg(F.min(F.struct("tier", "k", "v")).alias("best"))
     )
@@ -102,6 +121,11 @@ def entity_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def entity_matches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of entities that share an id, a name or an alias; the best reason per pair."""
+    return unfolded(match_classes(left, right))
+
+
 def _endpoints(relationships: DataFrame) -> DataFrame:
     """Each relationship once per entity it touches."""
     ends = F.array_distinct(F.array("source_entity_id", "target_entity_id"))
@@ -123,6 +147,12 @@ def correlate(links: DataFrame, entities: DataFrame, relationships: DataFrame) -
     return found.join(own, ["bill_id", "right_id"], "left_anti")
 
 
+def direct_relationships(links: DataFrame, relationships: DataFrame) -> DataFrame:
+    """The external relationships behind `direct_evidence`, one row each."""
+    linked = links.select("bill_id", "entity_id").distinct()
+    return linked.join(_endpoints(relationships.filter(F.col("source_system").isin(EXTERNAL_SYSTEMS))), "entity_id")
+
+
 def direct_evidence(links: DataFrame, relationships: DataFrame) -> DataFrame:
     """Bill entities that external relationships touch directly."""
     linked = links.select("bill_id", "entity_id").distinct()
@@ -144,12 +174,51 @@ def direct_evidence(links: DataFrame, relationships: DataFrame) -> DataFrame:
     )
 
 
-def traverse(links: DataFrame, relationships: DataFrame, depth: int = 2) -> DataFrame:
-    """Relationships within `depth` (1 to 3) steps of the entities each bill names.
+def _numbered_bills(links: DataFrame) -> DataFrame:
+    """(bill_id, number): bills numbered without gaps, so that their bits lie close together."""
+    bills = links.select("bill_id").distinct()
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpointed(bills.repartitionByRange(parts, "bill_id").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition.
+    offsets = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    local = F.row_number().over(Window.partitionBy("part").orderBy("bill_id"))
+    return placed.withColumn("at", local).join(offsets, "part").select("bill_id", (F.col("at") + F.col("skip")).alias("number"))
+
+
+def reach(links: DataFrame, relationships: DataFrame, depth: int = 2) -> DataFrame:
+    """(relationship_id, step, bills): how many bills first reach a relationship at each step.
+
+    Bills are bits. An entity has one bitmap for every 32,768 bills, a step takes
+    the union of an entity's bitmaps to its relationships and back, and unions
+    combine before the shuffle: a hub that all bills name sends one bitmap along
+    each of its edges, not one row per bill.
+    """
+    edges = checkpointed(_endpoints(relationships).select("relationship_id", "entity_id"))
+    bills = checkpointed(_numbered_bills(links))
+    named = links.select("bill_id", "entity_id").distinct().join(bills, "bill_id")
+    slot, bit = F.bitmap_bucket_number("number"), F.bitmap_bit_position("number")
+    held = checkpointed(named.groupBy("entity_id", slot.alias("slot")).agg(F.bitmap_construct_agg(bit).alias("bits")))
+    counts = []
+    for step in range(1, depth + 1):
+        touched = checkpointed(held.join(edges, "entity_id").groupBy("relationship_id", "slot").agg(F.bitmap_or_agg("bits").alias("bits")))
+        counts.append(touched.groupBy("relationship_id").agg(F.sum(F.bitmap_count("bits")).alias("bills")).withColumn("step", F.lit(step)))
+        if step < depth:
+            held = checkpointed(touched.join(edges, "relationship_id").groupBy("entity_id", "slot").agg(F.bitmap_or_agg("bits").alias("bits")))
+    upto = counts[0]
+    for part in counts[1:]:
+        upto = upto.unionByName(part)
+    # What is reached within a step stays reached, so a step's own bills are the growth.
+    before = F.lag("bills", 1, 0).over(Window.partitionBy("relationship_id").orderBy("step"))
+    return upto.withColumn("bills", F.col("bills") - before).filter("bills > 0").select("relationship_id", "step", "bills")
+
+
+def traverse(links: DataFrame, relationships: DataFrame, depth: int = 2, most: int | None = 3) -> DataFrame:
+    """Relationships within `depth` steps of the entities each bill names; `most` bounds the depth.
 
     One join per step; a step starts from entities the bill has not reached yet.
     """
-    depth = T.clamped(depth, 1, 3)
+    depth = max(1, depth if most is None else min(depth, most))
     edges = _endpoints(relationships).select("relationship_id", "entity_id")
     frontier = links.select("bill_id", "entity_id").distinct()
     seen = frontier

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from ledgerline.functions import diff as D
 from ledgerline.functions import text as T
 from ledgerline.operators import ordered
+from ledgerline.session import shared_path
 
 
 def _size(limit: int | None, most: int | None) -> int:
@@ -56,6 +58,65 @@ def page(df: DataFrame, order: list[str], offset: int, limit: int, most: int | N
     return rows.withColumn("next_offset", F.when(after < F.col("total"), after))
 
 
+class Pages:
+    """A table kept in order, so that any page of it is read from the parts that hold it.
+
+    The rows are range-sorted by `order` (names; nulls first) and written, one
+    folder per part. The index has one row per part: its rows, and its first and
+    last place in the order. A page at any offset reads the parts that the counts
+    name, usually one; a page after a cursor those whose last row is beyond it.
+    Rows that agree in `order` must agree altogether or their order is free.
+    """
+
+    def __init__(self, df: DataFrame, order: list[str], parts: int | None = None):
+        spark = df.sparkSession
+        parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.order, self.schema, self.path, self.spark = order, df.schema, shared_path(spark, "pages"), spark
+        dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+        dealt.sortWithinPartitions(*order).write.partitionBy("_part").parquet(self.path)
+        place = F.struct(*order)
+        kept = spark.read.schema(dealt.schema).parquet(self.path).groupBy("_part").agg(F.count(F.lit(1)).alias("rows"), F.max(place).alias("last"))
+        self.index = sorted(kept.collect(), key=lambda row: row["_part"])
+        self.total = sum(row["rows"] for row in self.index)
+
+    def _read(self, parts: list[int]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/_part={part}" for part in parts])
+
+    def page(self, offset: int, limit: int | None = None, most: int | None = None) -> DataFrame:
+        """As `page`: rows `offset` to `offset + limit` with the total and the next offset."""
+        start, size = max(0, offset), _size(limit, most)
+        chosen, before, skipped = [], 0, None
+        for row in self.index:
+            if before + row["rows"] > start and before < start + size:
+                skipped = before if skipped is None else skipped
+                chosen.append(row["_part"])
+            before += row["rows"]
+        rows = self._read(chosen).orderBy(*self.order).offset(start - (skipped or 0)).limit(size)
+        after = start + size
+        return rows.withColumns({"total": F.lit(self.total).cast("long"), "next_offset": F.lit(after if after < self.total else None).cast("int")})
+
+    def after(self, cursor: tuple, limit: int | None = None, most: int | None = None) -> DataFrame:
+        """The first rows beyond `cursor`, the order's values of the last row seen; needs no offset."""
+        size = _size(limit, most)
+        at = F.struct(*[F.lit(value).cast(self.schema[name].dataType).alias(name) for name, value in zip(self.order, cursor)])
+        beyond = self.spark.createDataFrame([(row["_part"], row["last"], row["rows"]) for row in self.index], _index_schema(self.schema, self.order))
+        chosen, held = [], 0
+        # One row per part.
+        for row in beyond.filter(F.col("last") > at).orderBy("part").collect():
+            chosen.append(row["part"])
+            held += row["rows"] if len(chosen) > 1 else 0
+            if held >= size:
+                break
+        return self._read(chosen).filter(F.struct(*self.order) > at).orderBy(*self.order).limit(size)
+
+
+def _index_schema(schema: Ty.StructType, order: list[str]) -> Ty.StructType:
+    last = Ty.StructType([schema[name] for name in order])
+    return Ty.StructType().add("part", Ty.LongType()).add("last", last).add("rows", Ty.LongType())
+
+
 def by_id(df: DataFrame, column: str, value: object) -> DataFrame:
     """Point lookup; the predicate reaches the Parquet scan."""
     return df.filter(F.col(column) == value)

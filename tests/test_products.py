@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import correlation
-from ledgerline.plans import overlap, packets, queue, watch
+from ledgerline.operators import components
+from ledgerline.plans import listing, overlap, packets, queue, watch
 
 
 def entity(spark, rows):
@@ -42,6 +43,45 @@ def test_walk_depth(spark):
     assert [reach(d) for d in (1, 2, 3, 9)] == [{100}, {100, 101}, {100, 101, 102}, {100, 101, 102}]
 
 
+def test_reach_counts_what_the_walk_finds(spark):
+    """A hub that all bills name, and a chain; bills far apart in number."""
+    links = spark.range(200).select((F.col("id") * 1_000_003).alias("bill_id"), F.when(F.col("id") % 5 == 0, F.col("id") % 7).otherwise(10).alias("entity_id"))
+    edges = spark.createDataFrame([(100, 10, 20, "fec"), (101, 30, 20, "fec"), (102, 30, 40, "lda"), (103, 40, 3, "lda"), (104, 5, 5, "lda")],
+        "relationship_id long, source_entity_id long, target_entity_id long, source_system string")
+    for depth in (1, 2, 4):
+        walked = correlation.traverse(links, edges, depth, most=None).groupBy("relationship_id", "step").count()
+        got = correlation.reach(links, edges, depth)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in walked.collect())
+
+
+def test_a_name_of_many_is_one_class(spark):
+    left = entity(spark, [(i, "person", "Ann", "ann", None, None) for i in range(300)])
+    right = entity(spark, [(1000 + i, "person", "Ann", "ann", None, None) for i in range(200)] + [(5000, "person", "Bob", "bob", None, None)])
+    classes = correlation.match_classes(left, right)
+    rows = classes.collect()
+    assert len(rows) == 500 and {(r["lefts"], r["rights"]) for r in rows} == {(300, 200)}
+    assert {r["links"] for r in correlation.class_links(classes).collect()} == {200}
+    assert correlation.unfolded(classes).count() == 300 * 200
+
+
+def test_pages_at_any_offset_and_after_a_cursor(spark):
+    rows = spark.range(500).select((F.col("id") * 37 % 90).alias("a"), F.when(F.col("id") % 11 != 0, F.sha2(F.col("id").cast("string"), 256)).alias("b"), "id")
+    order = ["a", "b", "id"]
+    kept = listing.Pages(rows, order, parts=12)
+    assert len(kept.index) > 5
+    for offset, limit in ((0, 10), (41, 100), (123, 1), (490, 30), (500, 5), (7000, 5), (0, 500)):
+        want = listing.page(rows, order, offset, limit).collect()
+        assert [tuple(r) for r in kept.page(offset, limit).collect()] == [tuple(r) for r in want]
+    # One part is read for a page that lies in one.
+    files = kept.page(10, 5).inputFiles()
+    assert len({f.split("_part=")[1].split("/")[0] for f in files}) == 1
+    seen, cursor = [], (-1, None, -1)
+    while page := kept.after(cursor, 60).collect():
+        seen += page
+        cursor = tuple(page[-1][name] for name in order)
+    assert seen == rows.orderBy(*order).collect()
+
+
 def items(spark, keys):
     rows = [
         ("2024-01-01", "A", key, "", False, True, "s" * (i % 9), i) for i, key in enumerate(keys)
@@ -102,6 +142,20 @@ def test_overlap_of_a_third_of_all_rows(spark):
     assert sum(k.startswith(base) for k in kept) == 1
 
 
+def test_a_hot_bucket_of_unlike_keys_falls_apart(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(300)]
+    keys = [" ".join(rng.choices(words, k=9)) for _ in range(400)]
+    keys += [k[:-1] + "!" for k in keys[:40]]
+    frame = items(spark, keys)
+    nodes = frame.select("date", "institution", "issue", F.xxhash64("date", "institution", "issue").alias("node"))
+    links = overlap.verified(nodes).select(F.col("new").alias("a"), F.col("old").alias("b"))
+    sizes = [r["count"] for r in components.connected(links).groupBy("root").count().collect()]
+    assert max(sizes) <= 3 and len(sizes) >= 35
+    rows = [("2024-01-01", "A", key, "", False, True, "s" * (i % 9), i) for i, key in enumerate(keys)]
+    assert sorted(tuple(r) for r in overlap.merge(frame).collect()) == plain_fold(rows)
+
+
 def entries(spark, with_urls=True):
     url = "https://x" if with_urls else None
     kinds = [
