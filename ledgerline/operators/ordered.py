@@ -1,9 +1,11 @@
 """Windows that survive a hot key.
 
-A plain window sorts all rows of a key in one task. Here a key with more than
-`rows_per_task` rows is cut into slices along its order; every slice is a window
-of its own and the slices are stitched by one small row per slice. Keys below
-the bound, found by a count over the key columns only, use the plain window.
+A plain window sorts all rows of a key in one task. Here the rows of keys with
+more than `rows_per_task` rows are range-partitioned by the key and the whole
+order, so a slice is a stretch of the order whatever its columns are; every slice
+is a window of its own and the slices are stitched by one small row per slice.
+Keys below the bound, found by a count over the key columns only, use the plain
+window. Results are the same either way; only ties of the whole order are free.
 """
 
 from __future__ import annotations
@@ -18,20 +20,12 @@ from ledgerline.session import checkpointed
 ROWS_PER_TASK = 2_000_000
 
 
-def _hot_cuts(df: DataFrame, keys: list[str], by: str, rows_per_task: int) -> DataFrame | None:
+def _hot_keys(df: DataFrame, keys: list[str], rows_per_task: int) -> tuple[DataFrame, int] | None:
+    """Keys above the bound and the number of slices that bring all of them below it."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = checkpointed(counts.filter(F.col("_n") > rows_per_task))
-    if hot.isEmpty():
-        return None
-    parts = 64
-    shares = [i / parts for i in range(1, parts)]
-    cuts = (
-        df.select(*keys, by)
-        .join(hot.drop("_n"), _same(df, hot, keys), "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(by, shares, 10_000).alias("_cuts"))
-    )
-    return checkpointed(cuts)
+    rows = hot.agg(F.sum("_n")).first()[0]
+    return None if rows is None else (hot.drop("_n"), -(-2 * rows // rows_per_task))
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -41,17 +35,16 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return condition
 
 
-def _sliced(df: DataFrame, keys: list[str], cuts: DataFrame, by: str) -> DataFrame:
-    cuts = cuts.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "_cuts")
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & df[key].eqNullSafe(cuts[f"_c_{key}"])
-    below = F.size(F.filter(F.col("_cuts"), lambda cut: cut < F.col(by)))
-    return (
-        df.join(cuts, condition, "left")
-        .withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(below))
-        .drop("_cuts", *[f"_c_{k}" for k in keys])
-    )
+def _sliced(df: DataFrame, keys: list[str], hot: tuple[DataFrame, int], order: list[Column]) -> DataFrame:
+    """Rows with a slice number that ascends with the order of their key.
+
+    Slices are the partitions of a range sort. They are written, since a number
+    taken from a partition must not change when a task is repeated.
+    """
+    known, slices = hot
+    many = df.join(known, _same(df, known, keys), "left_semi").repartitionByRange(slices, *[F.col(k).asc_nulls_first() for k in keys], *order)
+    few = df.join(known, _same(df, known, keys), "left_anti").withColumn("_slice", F.lit(0))
+    return checkpointed(many.withColumn("_slice", F.spark_partition_id())).unionByName(few)
 
 
 def _stitch(rows: DataFrame, per_slice: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,16 +66,12 @@ def positions(
     name: str,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """1-based place of each row within its key.
-
-    The first of `order` names a number, date or time column; later ones may be
-    any ordering.
-    """
+    """1-based place of each row within its key; `order` holds names and orderings."""
     by_order = [F.col(c).asc() if isinstance(c, str) else c for c in order]
-    cuts = _hot_cuts(df, keys, order[0], rows_per_task)
-    if cuts is None:
+    hot = _hot_keys(df, keys, rows_per_task)
+    if hot is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*by_order)))
-    rows = _sliced(df, keys, cuts, order[0])
+    rows = _sliced(df, keys, hot, by_order)
     local = Window.partitionBy(*keys, "_slice").orderBy(*by_order)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -106,11 +95,11 @@ def previous(
 ) -> DataFrame:
     """Adds, for each new name, the value its column had one row earlier."""
     by_order = [F.col(c).asc() for c in order]
-    cuts = _hot_cuts(df, keys, order[0], rows_per_task)
-    if cuts is None:
+    hot = _hot_keys(df, keys, rows_per_task)
+    if hot is None:
         whole = Window.partitionBy(*keys).orderBy(*by_order)
         return df.withColumns({new: F.lag(old).over(whole) for new, old in columns.items()})
-    rows = _sliced(df, keys, cuts, order[0])
+    rows = _sliced(df, keys, hot, by_order)
     local = Window.partitionBy(*keys, "_slice").orderBy(*by_order)
     across = Window.partitionBy(*keys).orderBy("_slice")
     kept = F.struct(*[F.col(old).alias(new) for new, old in columns.items()])
@@ -141,11 +130,11 @@ def carry_forward(
 ) -> DataFrame:
     """Adds the latest non-NULL value of `column` up to and including each row."""
     by_order = [F.col(c).asc() for c in order]
-    cuts = _hot_cuts(df, keys, order[0], rows_per_task)
-    if cuts is None:
+    hot = _hot_keys(df, keys, rows_per_task)
+    if hot is None:
         upto = Window.partitionBy(*keys).orderBy(*by_order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.last(column, ignorenulls=True).over(upto))
-    rows = _sliced(df, keys, cuts, order[0])
+    rows = _sliced(df, keys, hot, by_order)
     local = (
         Window.partitionBy(*keys, "_slice")
         .orderBy(*by_order)
@@ -175,8 +164,3 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], count: int =
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= count).drop("_rank")
 
-
-def leading_bytes(value: Column) -> Column:
-    """A number that orders texts like their first seven bytes, to slice text orders by."""
-    head = F.rpad(F.substring(F.hex(F.coalesce(value, F.lit(""))), 1, 14), 14, "0")
-    return F.conv(head, 16, 10).cast("long")

@@ -89,7 +89,7 @@ def scope_entries(sections: DataFrame, outliers: DataFrame, versions: DataFrame)
         F.lit("Section subject matter is distant from the bill's scope and its neighbours."),
         F.concat(F.lit("Divergent terms: "), "divergent_terms", F.lit(".")), F.col("source_url"),
         {c: F.col(c) for c in ("category", "confidence", "anchor_similarity", "peer_similarity", "peer_cutoff")},
-        [ordered.leading_bytes(F.col("category")), F.col("category"), F.format_string("%.9f", 1 - F.col("confidence"))],
+        [F.lit(0), F.col("category"), F.format_string("%.9f", 1 - F.col("confidence"))],
     )
 
 
@@ -138,7 +138,7 @@ def entity_entries(sections: DataFrame, links: DataFrame, urls: DataFrame) -> Da
         F.concat("name", F.lit(" is linked to this section as "), F.replace("link_type", F.lit("_"), F.lit(" ")), F.lit(".")),
         F.col("evidence"), F.col("source_url"),
         {"entity_type": F.col("entity_type"), "confidence": F.col("confidence")},
-        [ordered.leading_bytes(F.col("link_type")), F.concat_ws("|", "link_type", "normalized_name"), F.col("evidence")],
+        [F.lit(0), F.concat_ws("|", "link_type", "normalized_name"), F.col("evidence")],
     )
 
 
@@ -152,7 +152,7 @@ def correlation_entries(sections: DataFrame, links: DataFrame, correlations: Dat
         F.concat("name", F.lit(" correlates with external evidence for "), "matched_name", F.lit(".")),
         F.col("evidence"), F.lit(None).cast("string"),
         {"match_basis": F.col("match_basis"), "confidence": F.col("confidence")},
-        [ordered.leading_bytes(F.col("normalized_name")), F.concat_ws("|", "match_basis", "normalized_name", "matched_name"), F.col("evidence")],
+        [F.lit(0), F.concat_ws("|", "match_basis", "normalized_name", "matched_name"), F.col("evidence")],
     )
 
 
@@ -172,12 +172,17 @@ def relationship_entries(
     )
 
 
-def fiscal_entries(sections: DataFrame, findings: DataFrame, documents: DataFrame, top: int = 20) -> DataFrame:
-    """The `top` fiscal findings of a bill, shown with each of its sections."""
-    best = ordered.first_rows(
+def fiscal_context(findings: DataFrame, top: int = 20) -> DataFrame:
+    """The `top` fiscal findings of each bill: the surest first, then by hash. A packet shows that many, whatever the bill has."""
+    return ordered.first_rows(
         findings.select("bill_id", "document_id", "category", "confidence", "statement", "evidence", "source_kind", "evidence_hash"),
         ["bill_id"], [F.col("confidence").desc(), F.col("evidence_hash")], top,
-    ).join(documents.select("document_id", "source_url"), "document_id", "left")
+    )
+
+
+def fiscal_entries(sections: DataFrame, findings: DataFrame, documents: DataFrame, top: int = 20) -> DataFrame:
+    """The `top` fiscal findings of a bill, shown with each of its sections."""
+    best = fiscal_context(findings, top).join(documents.select("document_id", "source_url"), "document_id", "left")
     rows = sections.select("bill_id", "version_id", "section_id").join(best, "bill_id")
     return _entry(
         rows, "F", "bill_level_fiscal_context", F.col("statement"), F.col("evidence"), F.col("source_url"),
