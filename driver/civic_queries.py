@@ -444,6 +444,28 @@ def weekly_civic(spark, sf_dir):
     return week_items(spark, sf_dir).drop("week", "institution")
 
 
+TITLED = """
+SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Item ' || CAST(p_size AS STRING) || '. Consider and take action on the ' || p_name || ' ' || p_type
+    WHEN p_size % 3 = 1 THEN 'AGENDA' ELSE p_size || '.2a) Approval of ' || p_name END AS title,
+  CASE WHEN p_size % 2 = 0 THEN 'Discuss adoption of the ' || p_type || ', ' || p_brand ELSE '7: ' || p_type || ' (' || p_name || ')' END AS synopsis FROM part
+"""
+HEAD_WORDS = r"""array_to_string(regexp_extract_all(lower(regexp_replace({0}, '(?i)^\s*(?:item\s+)?(?:\d+(?:\.\d+)*[a-z]?|[a-z])\s*[.): -]+', '')), '\w+'), ' ')"""
+LEADING = r"""regexp_replace({0}, '^(?:(?:consider|discuss)(?: and (?:take )?action on)?|approval of|approve|adoption of|adopt|authorization of|authorize)\s+(?:the\s+)?', '')"""
+
+
+@query(
+    "issue_keys",
+    f"""
+    WITH t AS (SELECT p_partkey, {HEAD_WORDS.format('title')} AS t, {HEAD_WORDS.format('synopsis')} AS s FROM ({TITLED}) AS x),
+    c AS (SELECT p_partkey, CASE WHEN length(t) < 25 OR t IN ('agenda', 'minutes', 'meeting packet', 'discussion and possible action') THEN s ELSE t END AS k FROM t)
+    SELECT p_partkey, {LEADING.format(LEADING.format('k'))} AS issue FROM c
+    """,
+)
+def issue_keys(spark, sf_dir):
+    """The words by which items of one meeting are compared."""
+    return view(spark, sf_dir, TITLED).select("p_partkey", T.issue_key(F.col("title"), F.col("synopsis")).alias("issue"))
+
+
 @query("overlap_merge")
 def overlap_merge(spark, sf_dir):
     """Items of all weeks with overlapping ones merged, alike wordings included."""

@@ -70,6 +70,19 @@ def direct_evidence(spark, sf_dir):
     )
 
 
+@query(
+    "direct_relationships",
+    f"""
+    WITH rel AS (SELECT * FROM ({corpus.RELATIONSHIPS}) AS r WHERE source_system IN ('fec', 'lda')),
+    ends AS (SELECT source_entity_id AS entity_id, relationship_id, source_system FROM rel UNION SELECT target_entity_id, relationship_id, source_system FROM rel)
+    SELECT l.bill_id, l.entity_id, relationship_id, source_system FROM (SELECT DISTINCT bill_id, entity_id FROM ({corpus.ENTITY_LINKS}) AS x) AS l JOIN ends USING (entity_id)
+    """,
+)
+def direct_relationships(spark, sf_dir):
+    """The ids of the relationships that touch bill entities directly."""
+    return correlation.direct_relationships(view(spark, sf_dir, corpus.ENTITY_LINKS), view(spark, sf_dir, corpus.RELATIONSHIPS))
+
+
 # Orders and parts as a graph of low degree: each line item relates the two.
 GRAPH_LINKS = "SELECT o_custkey AS bill_id, o_orderkey AS entity_id FROM orders"
 GRAPH_EDGES = """
@@ -99,6 +112,40 @@ def graph_walk(spark, sf_dir):
     return reached.groupBy("bill_id", "step").agg(F.count(F.lit(1)).alias("relationships"))
 
 
+@query(
+    "graph_reach",
+    f"""
+    WITH links AS ({GRAPH_LINKS}), edges AS ({GRAPH_EDGES}),
+    one AS (SELECT DISTINCT bill_id, relationship_id, target_entity_id FROM links JOIN edges ON source_entity_id = entity_id),
+    two AS (SELECT DISTINCT o.bill_id, e.relationship_id FROM (SELECT DISTINCT bill_id, target_entity_id FROM one) o
+      JOIN edges e USING (target_entity_id))
+    SELECT relationship_id, CASE WHEN first THEN 1 ELSE 2 END AS step, count(*) AS bills FROM (
+      SELECT two.bill_id, two.relationship_id, one.relationship_id IS NOT NULL AS first
+      FROM two LEFT JOIN one USING (bill_id, relationship_id)) AS x GROUP BY ALL
+    """,
+)
+def graph_reach(spark, sf_dir):
+    """How many bills first reach each relationship at one and at two steps."""
+    return correlation.reach(view(spark, sf_dir, GRAPH_LINKS), view(spark, sf_dir, GRAPH_EDGES), depth=2)
+
+
+@query(
+    "match_classes",
+    f"""
+    WITH rows AS (
+      SELECT 'id' AS kind, k, v, CASE WHEN entity_id < 1000000000 THEN 'left' ELSE 'right' END AS side, entity_id, true AS own FROM ({IDS}) AS i
+      UNION ALL SELECT 'name', g, name, CASE WHEN entity_id < 1000000000 THEN 'left' ELSE 'right' END, entity_id, own FROM ({NAMES}) AS n),
+    members AS (SELECT kind, k, v, side, entity_id, bool_or(own) AS own FROM rows GROUP BY ALL),
+    sizes AS (SELECT kind, k, v, count(*) FILTER (side = 'left') AS lefts, count(*) FILTER (side = 'right') AS rights FROM members GROUP BY ALL)
+    SELECT kind, k, v, side, entity_id, own, lefts, rights FROM members JOIN sizes USING (kind, k, v) WHERE lefts > 0 AND rights > 0
+    """,
+)
+def match_classes(spark, sf_dir):
+    """Customers and suppliers that share an id or a name, one row per member."""
+    rows = corpus.entities(spark, sf_dir)
+    return correlation.match_classes(rows.filter("entity_id < 1000000000"), rows.filter("entity_id >= 1000000000"))
+
+
 CHANGES = f"""
 WITH heads AS ({corpus.VERSION_HEADS}),
   p AS (SELECT bill_id, version_id, lag(version_id) OVER (PARTITION BY bill_id
@@ -137,6 +184,42 @@ def lineage_events(spark, sf_dir):
     )
 
 
+# Clauses of a bill are a few hash texts that move between numbers: alike means equal here.
+MOVING = """
+SELECT l_orderkey AS version_id, CAST(l_linenumber AS STRING) AS section_number, 0 AS ordinal,
+  sha2(CAST(o_custkey * 10 + (l_linenumber * 3 + l_orderkey) % 7 AS STRING), 256) AS section_text
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+"""
+
+
+@query(
+    "lineage_moves",
+    f"""
+    WITH s AS (SELECT DISTINCT version_id, section_number, section_text AS t FROM ({MOVING.replace('sha2(', 'sha256(').replace(', 256)', ')')}) AS m),
+    p AS (SELECT bill_id, version_id, lag(version_id) OVER (PARTITION BY bill_id
+        ORDER BY CASE WHEN issued_on IS NULL THEN 1 ELSE 0 END, issued_on, version_id) AS from_version_id FROM ({corpus.VERSION_HEADS}) AS h),
+    cur AS (SELECT p.*, section_number, t FROM p JOIN s USING (version_id)),
+    old AS (SELECT p.*, section_number, t FROM p JOIN s ON s.version_id = p.from_version_id),
+    c AS (SELECT coalesce(cur.bill_id, old.bill_id) AS bill_id, coalesce(cur.version_id, old.version_id) AS version_id, coalesce(cur.section_number, old.section_number) AS section_number,
+        old.t AS old_t, cur.t AS new_t, coalesce(cur.from_version_id, old.from_version_id) AS from_version_id
+      FROM cur FULL JOIN old ON cur.version_id = old.version_id AND cur.section_number = old.section_number),
+    gone AS (SELECT *, row_number() OVER (PARTITION BY version_id, old_t ORDER BY section_number) AS k FROM c WHERE new_t IS NULL),
+    come AS (SELECT *, row_number() OVER (PARTITION BY version_id, new_t ORDER BY section_number) AS k FROM c WHERE old_t IS NULL AND from_version_id IS NOT NULL),
+    moved AS (SELECT g.bill_id, g.version_id, g.section_number AS old_number, n.section_number FROM gone g JOIN come n ON n.version_id = g.version_id AND n.new_t = g.old_t AND n.k = g.k)
+    SELECT bill_id, version_id, 'renumbered' AS event_type, old_number, section_number FROM moved
+    UNION ALL
+    SELECT bill_id, version_id, CASE WHEN old_t IS NULL THEN 'introduced' WHEN new_t IS NULL THEN 'removed' ELSE 'modified' END, section_number, section_number FROM c
+    WHERE old_t IS DISTINCT FROM new_t
+      AND NOT (new_t IS NULL AND (version_id, section_number) IN (SELECT (version_id, old_number) FROM moved))
+      AND NOT (old_t IS NULL AND (version_id, section_number) IN (SELECT (version_id, section_number) FROM moved))
+    """,
+)
+def lineage_moves(spark, sf_dir):
+    """Events of clauses that move: which number became which."""
+    events = lineage.lineage_events(view(spark, sf_dir, MOVING), corpus.version_heads(spark, sf_dir), with_text=False)
+    return events.select("bill_id", "version_id", "event_type", "old_number", "section_number")
+
+
 def tokens_sql(text: str, stopwords: list[str]) -> str:
     listed = ", ".join(quoted(w) for w in stopwords)
     return f"""list_filter(list_transform(regexp_extract_all({text}, {quoted(r"\b[A-Za-z][A-Za-z0-9'-]{2,}\b")}), lambda w: lower(w)),
@@ -164,6 +247,10 @@ FROM f QUALIFY row_number() OVER (PARTITION BY bill_id, event_id ORDER BY confid
 @query("amendment_attribution", ATTRIBUTED)
 def amendment_attribution(spark, sf_dir):
     """Every section text against the amendments of its bill."""
+    return attributed(spark, sf_dir)
+
+
+def attributed(spark, sf_dir):
     pairs = lineage.version_pairs(corpus.version_heads(spark, sf_dir))
     events = (
         corpus.sections(spark, sf_dir)

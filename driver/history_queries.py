@@ -84,6 +84,20 @@ def revision_log(spark, sf_dir):
     return log.select("user_id", "seq", "sha256", "previous_sha256")
 
 
+@query(
+    "revision_listing",
+    """
+    WITH o AS (SELECT user_id, event_id AS seq, ts, sha256(props) AS sha256 FROM events),
+    p AS (SELECT *, lag(sha256) OVER (PARTITION BY user_id ORDER BY ts, seq) AS previous_sha256 FROM o)
+    SELECT user_id, seq, sha256, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) AS place FROM p WHERE sha256 IS DISTINCT FROM previous_sha256
+    """,
+)
+def revision_listing(spark, sf_dir):
+    """Revisions of each document, the newest first."""
+    log = history.revision_log(_observations(spark, sf_dir), ["user_id"], ["observed_at", "seq"])
+    return history.revision_listing(log, ["user_id"], ["observed_at", "seq"]).select("user_id", "seq", "sha256", "place")
+
+
 @query(
     "distinct_revisions",
     """

@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from driver import corpus
 from driver.base import query, table, view
-from driver.graph_queries import CHANGES, SCOPED, scope_bills
+from driver.graph_queries import ATTRIBUTED, CHANGES, CORRELATED, SCOPED, attributed, scope_bills
 from driver.scan_queries import (
     FISCAL_BILLS, FISCAL_DOCUMENTS, LATEST_SECTIONS, LINKS_SQL, COMPARED, _fiscal, fiscal_sql, findings_sql,
 )
 
 from driver.sqltext import quoted
 from ledgerline.functions import rules as R
-from ledgerline.operators import entities, external, lineage, metrics, ordered, scan, scope
-from ledgerline.plans import listing, packets, queue, report, watch
-from ledgerline.session import checkpointed
+from ledgerline.operators import correlation, entities, external, history, lineage, metrics, ordered, scan, scope
+from ledgerline.plans import listing, packets, provenance, queue, report, watch
+from ledgerline.session import checkpointed, shared_path
 from ledgerline.sources import tables
 
 # A filing for each supplier named in bill texts: one matched record, one relationship.
@@ -507,6 +507,122 @@ def research_runs(spark, sf_dir):
     return runs.select("run_id", "steps", "skipped", "failed", "status", "title")
 
 
+@query(
+    "research_failures",
+    f"""
+    SELECT run_id, count(*) AS steps, CASE WHEN run_id % 4 = 1 THEN 'failed' WHEN count(*) FILTER (status = 'failed') > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status
+    FROM ({STEPS}) AS s GROUP BY run_id
+    """,
+)
+def research_failures(spark, sf_dir):
+    """Runs of which some broke off."""
+    steps = research(spark, sf_dir)
+    errors = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("run_id"), F.when(F.col("n_nationkey") % 4 == 1, "source did not answer").alias("error"))
+    return external.run_status(steps, errors).select("run_id", "steps", "status")
+
+
+@query(
+    "research_ordered",
+    f"SELECT run_id, entity_id, source_system, status, row_number() OVER (PARTITION BY run_id ORDER BY entity_id, source_system) AS place FROM ({STEPS}) AS s",
+)
+def research_ordered(spark, sf_dir):
+    """The steps of each run in order."""
+    return external.numbered_steps(research(spark, sf_dir)).select("run_id", "entity_id", "source_system", "status", "place")
+
+
+@query(
+    "research_correlations",
+    f"SELECT run_id, left_id, right_id, match_basis, confidence FROM (SELECT DISTINCT run_id FROM ({STEPS}) AS s) AS r JOIN ({CORRELATED}) AS c ON c.bill_id = r.run_id",
+)
+def research_correlations(spark, sf_dir):
+    """What the entities of each researched bill correlate with."""
+    found = correlation.correlate(view(spark, sf_dir, corpus.ENTITY_LINKS), corpus.entities(spark, sf_dir), view(spark, sf_dir, corpus.RELATIONSHIPS))
+    return external.packet_correlations(research(spark, sf_dir), found).select("run_id", "left_id", "right_id", "match_basis", "confidence")
+
+
+@query("receipt_records", f"SELECT DISTINCT contributor_type, contributor_name, committee_id, record_id FROM ({RECEIPT_ROWS}) AS r")
+def receipt_records(spark, sf_dir):
+    """The record ids behind each receipt relationship."""
+    return external.receipt_records(external.receipts(view(spark, sf_dir, RECEIPTS)))
+
+
+# Provenance.
+PROVEN = "jurisdiction, session_code, bill_type, bill_number"
+
+
+@query(
+    "event_provenance",
+    f"""
+    SELECT c.bill_id, c.version_id, c.section_number, c.event_type, {PROVEN}, v.version_code, v.issued_on, v.source_url,
+      o.version_code AS from_version_code, o.issued_on AS from_issued_on, o.source_url AS from_source_url
+    FROM ({CHANGES}) AS c JOIN ({corpus.VERSION_HEADS}) AS v ON v.version_id = c.version_id LEFT JOIN ({corpus.VERSION_HEADS}) AS o ON o.version_id = c.from_version_id
+    JOIN ({corpus.BILLS}) AS b ON b.bill_id = c.bill_id WHERE event_type <> 'unchanged'
+    """,
+)
+def event_provenance(spark, sf_dir):
+    """Provision events with their bill and both versions."""
+    heads = corpus.version_heads(spark, sf_dir)
+    changes = lineage.section_changes(corpus.sections(spark, sf_dir), lineage.version_pairs(heads)).filter("event_type <> 'unchanged'")
+    rows = provenance.of_events(changes.drop("old_sha", "new_sha"), heads, corpus.bills(spark, sf_dir))
+    return rows.drop("title", "from_version_id")
+
+
+@query(
+    "correlation_provenance",
+    f"""
+    WITH c AS ({CORRELATED}), e AS ({corpus.ENTITIES}), r AS ({corpus.RELATIONSHIPS}),
+    ends AS (SELECT source_entity_id AS entity_id, r.* FROM r UNION ALL SELECT target_entity_id, r.* FROM r WHERE target_entity_id <> source_entity_id)
+    SELECT c.bill_id, left_id, right_id, match_basis, a.canonical_name AS left_name, z.canonical_name AS right_name, z.entity_type AS right_type,
+      relationship_id, source_system, relation_type, ends.source_url, observed_on, bill_number
+    FROM c JOIN e a ON a.entity_id = left_id JOIN e z ON z.entity_id = right_id JOIN ends ON ends.entity_id = right_id JOIN ({corpus.BILLS}) AS b ON b.bill_id = c.bill_id
+    """,
+)
+def correlation_provenance(spark, sf_dir):
+    """Correlations with both entities and each relationship of the matched one."""
+    entities_, relations = corpus.entities(spark, sf_dir), view(spark, sf_dir, corpus.RELATIONSHIPS)
+    found = correlation.correlate(view(spark, sf_dir, corpus.ENTITY_LINKS), entities_, relations)
+    rows = provenance.of_correlations(found, entities_, relations, corpus.bills(spark, sf_dir))
+    return rows.select(
+        "bill_id", "left_id", "right_id", "match_basis", "left_name", "right_name", "right_type", "relationship_id",
+        "source_system", "relation_type", "source_url", "observed_on", "bill_number",
+    )
+
+
+@query(
+    "scope_provenance",
+    f"""
+    SELECT o.bill_id, o.section_id, o.category, s.section_number, s.heading, v.version_code, v.source_url, b.bill_number
+    FROM ({SCOPED}) AS o JOIN ({LATEST_SECTIONS}) AS s USING (section_id) JOIN ({corpus.VERSION_HEADS}) AS v ON v.version_id = s.version_id
+    JOIN ({corpus.BILLS}) AS b ON b.bill_id = o.bill_id
+    """,
+)
+def scope_provenance(spark, sf_dir):
+    """Scope outliers with their section, version and bill."""
+    sections = checkpointed(corpus.latest_sections(spark, sf_dir))
+    found = scope.scope_outliers(sections, scope_bills(spark, sf_dir))
+    rows = provenance.of_outliers(found, sections, corpus.version_heads(spark, sf_dir), corpus.bills(spark, sf_dir))
+    return rows.select("bill_id", "section_id", "category", "section_number", "heading", "version_code", "source_url", "bill_number")
+
+
+@query(
+    "amendment_provenance",
+    f"""
+    SELECT x.bill_id, event_id, x.amendment_id, basis, section_number, event_type, amendment_date, search_text AS amendment_text
+    FROM ({ATTRIBUTED}) AS x JOIN (SELECT section_id, section_number, version_id FROM ({corpus.SECTIONS}) AS s) AS s ON s.section_id = event_id
+    JOIN ({CHANGES}) AS c USING (version_id, section_number) JOIN ({corpus.AMENDMENTS}) AS a ON a.amendment_id = x.amendment_id
+    """,
+)
+def amendment_provenance(spark, sf_dir):
+    """Candidate amendments with the event they may explain and their own text."""
+    heads = corpus.version_heads(spark, sf_dir)
+    sections = corpus.sections(spark, sf_dir)
+    changes = lineage.section_changes(sections, lineage.version_pairs(heads)).select("version_id", "section_number", "event_type")
+    events = sections.select(F.col("section_id").alias("event_id"), "version_id", "section_number").join(changes, ["version_id", "section_number"])
+    amendments = view(spark, sf_dir, corpus.AMENDMENTS)
+    rows = provenance.of_attributions(attributed(spark, sf_dir), events, amendments)
+    return rows.select("bill_id", "event_id", "amendment_id", "basis", "section_number", "event_type", "amendment_date", "amendment_text")
+
+
 # Listings.
 @query("newest_records", "SELECT event_id, user_id FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id DESC LIMIT 100")
 def newest_records(spark, sf_dir):
@@ -524,6 +640,29 @@ def page(spark, sf_dir):
     return listing.page(rows, ["o_orderdate", "o_orderkey"], 200, 50).drop("o_orderdate")
 
 
+@query(
+    "page_deep",
+    """
+    WITH o AS (SELECT o_orderkey, o_orderpriority, o_orderdate, row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS n, count(*) OVER () AS total FROM orders),
+    p AS (SELECT 'offset' AS way, o_orderkey, total, CASE WHEN total // 4 * 3 + 80 < total THEN total // 4 * 3 + 80 END AS next_offset FROM o WHERE n > total // 4 * 3 AND n <= total // 4 * 3 + 80)
+    SELECT * FROM p
+    UNION ALL SELECT 'cursor', o_orderkey, total, NULL FROM o WHERE n > total // 4 * 3 + 80 AND n <= total // 4 * 3 + 160
+    """,
+)
+def page_deep(spark, sf_dir):
+    """A page three quarters down the orders, and the page after its last row."""
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderdate", "o_orderkey")
+    kept = listing.Pages(rows, ["o_orderpriority", "o_orderdate", "o_orderkey"])
+    first = kept.page(kept.total // 4 * 3, 80)
+    # One row: the cursor a reader holds.
+    last = first.orderBy(F.desc("o_orderpriority"), F.desc("o_orderdate"), F.desc("o_orderkey")).first()
+    after = kept.after((last["o_orderpriority"], last["o_orderdate"], last["o_orderkey"]), 80)
+    shown = ["o_orderkey", "total", "next_offset"]
+    return first.select(F.lit("offset").alias("way"), *shown).unionByName(
+        after.select(F.lit("cursor").alias("way"), "o_orderkey", F.lit(kept.total).cast("long").alias("total"), F.lit(None).cast("int").alias("next_offset"))
+    )
+
+
 @query("record_lookup", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey = 77")
 def record_lookup(spark, sf_dir):
     return listing.by_id(table(spark, sf_dir, "orders"), "o_orderkey", 77).select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -595,6 +734,84 @@ def watch_rules(spark, sf_dir):
     return watch.upsert_rules(empty, valid).drop("active", "seq")
 
 
+@query(
+    "watch_rules_again",
+    f"""
+    WITH v AS (SELECT target_type, upper(jurisdiction) AS jurisdiction, congress, lower(bill_type) AS bill_type, bill_number, CASE WHEN target_type = 'session' THEN session END AS session, name, seq,
+        auto_research, auto_report, seq % 4 = 0 AS stored, seq % 8 <> 0 OR seq % 4 <> 0 AS active FROM ({RULES}) AS r
+      WHERE congress IS NOT NULL AND NOT (target_type = 'congress' AND upper(jurisdiction) <> 'US') AND NOT (target_type = 'session' AND upper(jurisdiction) = 'US')),
+    s AS (SELECT target_type, jurisdiction, congress, bill_type, bill_number, session, arg_min(name, seq) AS name, min(seq) AS seq, false AS new, arg_max(active, seq) AS active,
+        arg_max(auto_research, seq) AS auto_research, arg_max(auto_report, seq) AS auto_report FROM v WHERE stored GROUP BY ALL),
+    u AS (SELECT target_type, jurisdiction, congress, bill_type, bill_number, session, name, seq, new, active, auto_research, auto_report FROM s
+      UNION ALL SELECT target_type, jurisdiction, congress, bill_type, bill_number, session, name, seq, true, true, auto_research, auto_report FROM v WHERE NOT stored)
+    SELECT target_type, jurisdiction, congress, bill_type, bill_number, session, arg_min(name, (new, seq)) AS name, arg_max(active, (new, seq)) AS active,
+      arg_max(auto_research, (new, seq)) AS auto_research, arg_max(auto_report, (new, seq)) AS auto_report FROM u GROUP BY ALL
+    """,
+)
+def watch_rules_again(spark, sf_dir):
+    """Requests for targets that are stored already: they keep their name, become active and take the flags."""
+    valid, _ = watch.validated(view(spark, sf_dir, RULES))
+    stored = watch.upsert_rules(valid.limit(0).withColumn("active", F.lit(True)), valid.filter("seq % 4 = 0"))
+    last = valid.filter("seq % 4 = 0").withColumn("session", F.when(F.col("target_type") == "session", F.col("session")))
+    state = last.groupBy(*watch.TARGET).agg(F.max_by(F.col("seq") % 8 != 0, "seq").alias("_active"))
+    held = stored.join(state, history.same_key(stored, state, watch.TARGET)).select(*[stored[c] for c in stored.columns if c != "active"], F.col("_active").alias("active"))
+    return watch.upsert_rules(held, valid.filter("seq % 4 <> 0")).drop("seq")
+
+
+@query(
+    "watch_patches",
+    """
+    SELECT c_custkey AS rule_id, coalesce((SELECT arg_max(o_orderstatus = 'O', o_orderkey) FILTER (o_orderstatus <> 'P') FROM orders WHERE o_custkey = c_custkey), c_acctbal > 0) AS active,
+      coalesce((SELECT arg_max(o_orderkey % 2 = 0, o_orderkey) FILTER (o_orderpriority = '1-URGENT') FROM orders WHERE o_custkey = c_custkey), false) AS auto_research, true AS auto_report
+    FROM customer
+    """,
+)
+def watch_patches(spark, sf_dir):
+    """Rules after patches that give some flags each; the last given value of a flag counts."""
+    rules = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rule_id"), (F.col("c_acctbal") > 0).alias("active"), F.lit(False).alias("auto_research"), F.lit(True).alias("auto_report"))
+    status, urgent = F.col("o_orderstatus"), F.col("o_orderpriority") == "1-URGENT"
+    patches = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("rule_id"), F.when(status != "P", status == "O").alias("active"),
+        F.when(urgent, F.col("o_orderkey") % 2 == 0).alias("auto_research"), F.lit(None).cast("boolean").alias("auto_report"), F.col("o_orderkey").alias("at"),
+    )
+    return watch.patch_rules(rules, patches)
+
+
+@query(
+    "watch_keys",
+    f"""
+    SELECT bill_id, 'bill' AS kind, upper(jurisdiction) || ':' || session_code || ':' || lower(bill_type) || ':' || bill_number AS key FROM ({corpus.BILLS}) AS b
+    UNION ALL SELECT bill_id, 'action', action_date || '|' || text FROM ({corpus.ACTIONS}) AS a
+    UNION ALL SELECT bill_id, 'document', document_type || '|' || source_url FROM ({corpus.DOCUMENTS}) AS d
+    UNION ALL SELECT o_custkey, 'amendment', 'hamdt|' || CAST(o_orderkey AS STRING) FROM orders
+    UNION ALL SELECT o_custkey, 'version', sha256(o_orderpriority) FROM orders
+    """,
+)
+def watch_keys(spark, sf_dir):
+    """The keys by which watches tell what is new."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("bill_id"), F.lit("hamdt").alias("amendment_type"), F.col("o_orderkey").alias("amendment_number"), F.sha2("o_orderpriority", 256).alias("sha256"))
+    shown = lambda rows, kind, key: rows.select("bill_id", F.lit(kind).alias("kind"), key.alias("key"))
+    parts = [
+        shown(corpus.bills(spark, sf_dir), "bill", history.bill_key()),
+        shown(view(spark, sf_dir, corpus.ACTIONS), "action", history.child_key("action")),
+        shown(view(spark, sf_dir, corpus.DOCUMENTS), "document", history.child_key("document")),
+        shown(orders, "amendment", history.child_key("amendment")),
+        shown(orders, "version", history.child_key("version")),
+    ]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union
+
+
+@query("written_table", f"SELECT bill_id, title, jurisdiction FROM ({corpus.BILLS}) AS b WHERE jurisdiction = 'TX'")
+def written_table(spark, sf_dir):
+    """Bills written by jurisdiction, and one partition of them read back."""
+    path = shared_path(spark, "bills")
+    tables.write_table(corpus.bills(spark, sf_dir).select("bill_id", "title", "jurisdiction"), path, ["jurisdiction"])
+    return spark.read.parquet(path).filter("jurisdiction = 'TX'").select("bill_id", "title", "jurisdiction")
+
+
 @query(
     "watch_rule_problems",
     f"""

@@ -10,6 +10,7 @@ from driver.sqltext import distinct_in_order, excerpt, matches, quoted, strip
 from ledgerline.functions import rules as R
 from ledgerline.functions import text as T
 from ledgerline.operators import entities, fiscal, history, metrics, scan, sections as S
+from ledgerline.plans import packets
 
 RULE_MONEY = r"(?i)\$\s?([0-9][0-9,]*(?:\.\d+)?)\s*(million|billion|thousand)?"
 
@@ -290,6 +291,29 @@ def fiscal_comparison(spark, sf_dir):
     return found.select("bill_id", "document_id", "category", "confidence", "evidence")
 
 
+FISCAL_HASHED = f"""
+SELECT bill_id, document_id, source_kind, category, confidence, sha256(concat_ws('|', category, source_kind, coalesce(CAST(document_id AS STRING), 'None'), evidence)) AS evidence_hash
+FROM ({fiscal_sql(f'{FISCAL_BILLS} UNION ALL {FISCAL_DOCUMENTS}')}) AS own
+UNION ALL SELECT bill_id, document_id, 'comparison', category, confidence, sha256(concat_ws('|', category, 'comparison', coalesce(CAST(document_id AS STRING), 'None'), evidence)) FROM ({COMPARED}) AS cmp
+"""
+
+
+@query("fiscal_hashes", FISCAL_HASHED)
+def fiscal_hashes(spark, sf_dir):
+    """The hash by which each fiscal finding is known."""
+    return _fiscal(spark, sf_dir).select("bill_id", "document_id", "source_kind", "category", "confidence", "evidence_hash")
+
+
+@query(
+    "fiscal_context",
+    f"""SELECT bill_id, category, evidence_hash FROM ({FISCAL_HASHED}) AS h
+    QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY confidence DESC, evidence_hash) <= 20""",
+)
+def fiscal_context(spark, sf_dir):
+    """The twenty fiscal findings that the packets of a bill show."""
+    return packets.fiscal_context(_fiscal(spark, sf_dir)).select("bill_id", "category", "evidence_hash")
+
+
 @query(
     "fiscal_provenance",
     f"""
@@ -440,6 +464,22 @@ LEFT JOIN (SELECT bill_id, count(*) FILTER (link_type = 'named_geography') AS ge
 """
 
 
+@query(
+    "bill_finding_counts",
+    f"SELECT bill_id, kind, count(*) AS findings FROM ({findings_sql(LATEST_SECTIONS)}) AS f GROUP BY ALL",
+)
+def bill_finding_counts(spark, sf_dir):
+    """Findings of each bill's latest text by kind."""
+    return metrics.finding_counts(scan.section_findings(corpus.latest_sections(spark, sf_dir), ["bill_id"]))
+
+
+@query("bill_entity_types", f"SELECT bill_id, entity_type, count(*) AS links FROM ({LINKS_SQL}) AS l GROUP BY ALL")
+def bill_entity_types(spark, sf_dir):
+    """Entities of each bill's latest text by type."""
+    sections = corpus.latest_sections(spark, sf_dir)
+    return metrics.entity_types(entities.links(entities.section_mentions(sections, ["bill_id", "section_id"])))
+
+
 @query("bill_metrics", METRICS_SQL)
 def bill_metrics(spark, sf_dir):
     sections = corpus.latest_sections(spark, sf_dir)

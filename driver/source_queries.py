@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driver import corpus
-from driver.base import query, texts, view
+from driver.base import ORACLES, query, texts, view
 from ledgerline.operators import classify
+from ledgerline.session import shared_path
 from ledgerline.sources import bills, pages
+from ledgerline.streaming import feeds
 
 BILL_PAYLOADS = """
 SELECT c_custkey, '{"congress":119,"type":"' || CASE WHEN c_nationkey % 5 = 0 THEN 'HR' WHEN c_nationkey % 5 = 1 THEN 's' WHEN c_nationkey % 5 = 2 THEN 'XX' ELSE 'HJRES' END
@@ -65,7 +67,10 @@ def json_quarantine(spark, sf_dir):
 )
 def json_children(spark, sf_dir):
     """Sponsors, actions, amendments and versions of all payloads."""
-    rows = good(spark, sf_dir)
+    return payload_children(good(spark, sf_dir))
+
+
+def payload_children(rows):
     parts = [
         bills.sponsor_rows(rows).select("number", F.col("role").alias("child"), F.col("full_name").alias("value"), F.col("external_id").alias("detail")),
         bills.action_rows(rows).select("number", F.lit("action"), "text", "action_date"),
@@ -106,8 +111,10 @@ FROM customer
 )
 def xml_children(spark, sf_dir):
     """People, actions, versions and documents of bill histories."""
-    key = ["c_custkey"]
-    rows = bills.parse_history(view(spark, sf_dir, HISTORIES), key)
+    return history_children(bills.parse_history(view(spark, sf_dir, HISTORIES), ["c_custkey"]), ["c_custkey"])
+
+
+def history_children(rows, key):
     actions = bills.history_actions(rows, key)
     none = F.lit(None).cast("string")
     parts = [
@@ -123,6 +130,81 @@ def xml_children(spark, sf_dir):
     return union
 
 
+def land(spark, rows, label, files=4):
+    """Payloads (c_custkey, payload) as text files that land one after the other, one payload per line."""
+    path = shared_path(spark, label)
+    for part in range(files):
+        rows.filter(F.col("c_custkey") % files == part).select("payload").coalesce(1).write.mode("append").text(path)
+    return path
+
+
+@query("landed_json_children", ORACLES["json_children"])
+def landed_json_children(spark, sf_dir):
+    """The children of payloads that were read from landed files."""
+    path = land(spark, view(spark, sf_dir, BILL_PAYLOADS), "payloads")
+    return payload_children(bills.read_json(spark, path)[0])
+
+
+@query(
+    "landed_json_quarantine",
+    f"""
+    WITH p AS (SELECT p.*, c_nationkey FROM ({BILL_PAYLOADS}) AS p JOIN customer USING (c_custkey))
+    SELECT CASE WHEN c_nationkey = 9 THEN 'not valid JSON' WHEN c_nationkey = 8 THEN 'no bill number' ELSE 'bill type not followed' END AS reason,
+      CASE WHEN c_nationkey NOT IN (8, 9) THEN CAST(c_custkey AS STRING) END AS number, CASE WHEN c_nationkey = 9 THEN sha256(payload) END AS record_sha256,
+      CAST(c_custkey % 4 AS BIGINT) AS batch_id
+    FROM p WHERE c_nationkey % 5 = 2 OR c_nationkey IN (8, 9)
+    """,
+)
+def landed_json_quarantine(spark, sf_dir):
+    """Lines set aside by a stream that takes one landed file a batch."""
+    path = land(spark, view(spark, sf_dir, BILL_PAYLOADS), "payloads")
+    out = shared_path(spark, "captured")
+    stream = bills.landed_json(spark, path, stream=True, files_per_batch=1)
+    feeds.run_batches(stream, feeds.capture(bills.split_corrupt, out), f"{out}-checkpoint")
+    bad = spark.read.parquet(f"{out}/quarantine")
+    corrupt = F.col("_corrupt_record").isNotNull()
+    return bad.select(
+        "reason", F.when(~corrupt, F.nullif("number", F.lit(""))).alias("number"),
+        F.when(corrupt, F.sha2("_corrupt_record", 256)).alias("record_sha256"), F.col("batch_id").cast("long").alias("batch_id"),
+    )
+
+
+#: Of one nation the histories lack a closing tag.
+LANDED_HISTORIES = f"""
+SELECT h.c_custkey, CASE WHEN c_nationkey = 4 THEN replace(payload, '</caption>', '') ELSE payload END AS payload
+FROM ({HISTORIES}) AS h JOIN customer ON customer.c_custkey = h.c_custkey
+"""
+
+
+@query(
+    "landed_history_children",
+    "SELECT child, value, detail FROM (" + ORACLES["xml_children"].replace("c_nationkey <> 3", "c_nationkey NOT IN (3, 4)") + ") AS x",
+)
+def landed_history_children(spark, sf_dir):
+    """The children of histories that were read from landed XML files; an address names its history."""
+    path = land(spark, view(spark, sf_dir, LANDED_HISTORIES), "histories")
+    rows = bills.read_history(spark, path)[0]
+    key = F.regexp_extract(F.col("billtext.docTypes.bill.versions.version")[0]["WebHTMLURL"], r"HB(\d+)I", 1).alias("c_custkey")
+    return history_children(rows.select(key, "*"), ["c_custkey"]).drop("c_custkey")
+
+
+@query(
+    "landed_history_quarantine",
+    f"""
+    SELECT CASE WHEN c_nationkey = 4 THEN 'not valid XML' ELSE 'no caption' END AS reason, count(*) AS records, CAST(customer.c_custkey % 4 AS BIGINT) AS batch_id
+    FROM ({LANDED_HISTORIES}) AS h JOIN customer ON customer.c_custkey = h.c_custkey WHERE c_nationkey IN (3, 4) GROUP BY ALL
+    """,
+)
+def landed_history_quarantine(spark, sf_dir):
+    """Records set aside by a stream over XML files, one file a batch."""
+    path = land(spark, view(spark, sf_dir, LANDED_HISTORIES), "histories")
+    out = shared_path(spark, "captured")
+    stream = bills.landed_histories(spark, path, stream=True, files_per_batch=1)
+    feeds.run_batches(stream, feeds.capture(bills.split_histories, out), f"{out}-checkpoint")
+    bad = spark.read.parquet(f"{out}/quarantine")
+    return bad.groupBy("reason", F.col("batch_id").cast("long").alias("batch_id")).agg(F.count(F.lit(1)).alias("records"))
+
+
 INDEXES = """
 SELECT o_custkey AS index_id, o_orderkey, 'bills/HB' || lpad(CAST(o_orderkey % 300 AS STRING), 5, '0') || '.xml and SJR ' || CAST(o_orderkey % 7 + 1 AS STRING) || ', HB '
   || CAST(o_orderkey % 300 AS STRING) AS raw FROM orders
@@ -180,6 +262,36 @@ def link_frontier(spark, sf_dir):
     return pages.frontier(rows, roots, ["example.com", "example.org"], ["the", "an"], depth=2)
 
 
+# The given pages under addresses that links reach: each page also links to two others, of which one lies on a host that is not followed.
+LINKED_PAGES = """
+SELECT page_id, 'https://' || CASE WHEN page_id % 5 = 4 THEN 'other.org' ELSE 'a.example.com' END || '/the/' || CAST(page_id AS STRING) AS url,
+  html || '<a href="/the/' || CAST((page_id * 7 + 3) % (SELECT count(*) FROM pages) AS STRING) || '">next</a><a href="https://a.example.com/the/'
+  || CAST((page_id * 11 + 5) % (SELECT count(*) FROM pages) AS STRING) || '">far</a>' AS html
+FROM pages
+"""
+
+
+@query(
+    "link_walk",
+    f"""
+    WITH RECURSIVE p AS MATERIALIZED ({LINKED_PAGES}),
+    l AS MATERIALIZED (SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM p),
+    e AS MATERIALIZED (SELECT DISTINCT url, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^https://[^/]+') || href ELSE href END AS target FROM l),
+    f AS MATERIALIZED (SELECT * FROM e WHERE regexp_matches(target, '^https://([^/]*[.])?example[.]com/') AND contains(target, '/the/')),
+    walk(url, depth) AS (
+      SELECT url, 0 FROM p WHERE page_id % 5 = 0
+      UNION SELECT target, depth + 1 FROM walk JOIN f USING (url) WHERE depth < 2),
+    w AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url)
+    SELECT w.url, w.depth, page_id FROM w LEFT JOIN p USING (url)
+    """,
+)
+def link_walk(spark, sf_dir):
+    """Addresses within two links of a fifth of the pages; a link is followed on one host and below one path."""
+    rows = pages.page_texts(view(spark, sf_dir, LINKED_PAGES))
+    roots = rows.filter("page_id % 5 = 0").select("url")
+    return pages.frontier(rows, roots, ["example.com"], ["/the/"], depth=2)
+
+
 @query(
     "page_hosts",
     r"""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host,

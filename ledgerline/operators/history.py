@@ -95,6 +95,15 @@ def merge_bills(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def child_key(kind: str) -> Column:
+    """Text key of a bill's version, action, amendment or document, as watches compare them."""
+    parts = {
+        "version": ["sha256"], "action": ["action_date", "text"],
+        "amendment": ["amendment_type", "amendment_number"], "document": ["document_type", "source_url"],
+    }
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in parts[kind]])
+
+
 def with_text_hash(versions: DataFrame, text: str = "text") -> DataFrame:
     body = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
     return versions.withColumn(text, body).withColumn("sha256", F.sha2(F.col(text), 256))
@@ -127,6 +136,11 @@ def revision_log(
     return seen.filter(changed)
 
 
+def revision_listing(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Revisions of each document, the newest first, with their place."""
+    return ordered.positions(log, keys, [F.col(c).desc() for c in order], "place")
+
+
 def current_documents(observations: DataFrame, keys: list[str]) -> DataFrame:
     """Current row of each observed document.
 

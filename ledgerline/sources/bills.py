@@ -23,10 +23,27 @@ BILL_JSON = (
 FORMATS = ["Formatted XML", "Formatted Text", "PDF"]
 
 
+def _landed(reader, file_format: str, schema: str, path: str, files_per_batch: int | None) -> DataFrame:
+    reader = reader.format(file_format).schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    if file_format == "xml":
+        reader = reader.option("rowTag", "bill")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path).select("*", F.col("_metadata.file_name").alias("file_name"))
+
+
+def landed_json(spark: SparkSession, path: str, stream: bool = False, files_per_batch: int | None = None) -> DataFrame:
+    """Bill payloads of landed files, one per line, with the name of their file.
+
+    A line that is no payload is a row too: its text is in _corrupt_record.
+    `split_corrupt` tells both apart.
+    """
+    return _landed(spark.readStream if stream else spark.read, "json", BILL_JSON, path, files_per_batch)
+
+
 def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Landed bill payloads, one per line, and the lines that are no payload."""
-    raw = spark.read.schema(BILL_JSON).option("mode", "PERMISSIVE").json(path)
-    return split_corrupt(raw)
+    """Landed bill payloads and the lines that are no payload."""
+    return split_corrupt(landed_json(spark, path))
 
 
 def parse_json(raw: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
@@ -142,8 +159,21 @@ VERSION_CODES = {
 ROLES = [("authors", "sponsor"), ("coauthors", "cosponsor"), ("sponsors", "sponsor"), ("cosponsors", "cosponsor")]
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", "bill").schema(BILL_XML).load(path)
+def landed_histories(spark: SparkSession, path: str, stream: bool = False, files_per_batch: int | None = None) -> DataFrame:
+    """Bill histories of landed XML files with the name of their file; as `landed_json`."""
+    return _landed(spark.readStream if stream else spark.read, "xml", BILL_XML + ", _corrupt_record string", path, files_per_batch)
+
+
+def split_histories(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Usable histories, and those set aside with the reason."""
+    reason = F.when(F.col("_corrupt_record").isNotNull(), "not valid XML").when(F.coalesce("caption", F.lit("")) == "", "no caption")
+    marked = rows.withColumn("reason", reason)
+    return marked.filter("reason IS NULL").drop("reason", "_corrupt_record"), marked.filter("reason IS NOT NULL")
+
+
+def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Landed histories and the records that are none."""
+    return split_histories(landed_histories(spark, path))
 
 
 def parse_history(raw: DataFrame, keys: list[str], column: str = "payload") -> DataFrame:

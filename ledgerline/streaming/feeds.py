@@ -8,20 +8,24 @@ that is repeated after a failure leaves no second copy.
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerline.functions import text as T
 from ledgerline.operators import classify, history
 from ledgerline.plans import watch
-from ledgerline.session import checkpointed
+from ledgerline.session import checkpointed, settings
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -43,18 +47,24 @@ def landed(
     return reader.load(path)
 
 
+#: State is kept on disk; only what a batch touches is in memory.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
 def run_batches(
     stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
-) -> None:
-    """Handles all landed files, batch by batch, and returns."""
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(handle)
-        .start()
-    )
+) -> list[dict]:
+    """Handles all landed files, batch by batch; the progress of the last batches."""
+    with settings(stream.sparkSession, STATE):
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(handle)
+            .start()
+        )
     query.awaitTermination()
+    return [json.loads(progress.json) for progress in query.recentProgress]
 
 
 def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -65,15 +75,18 @@ def append_to(path: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, batch_id: write_batch(batch, batch_id, path)
 
 
-def stored_batches(spark: SparkSession, path: str, schema: Ty.StructType) -> DataFrame:
-    """What earlier batches wrote; empty before the first."""
-    reader = spark.read.schema(schema).option("recursiveFileLookup", "false")
-    try:
-        return reader.option("basePath", path).parquet(f"{path}/batch_id=*")
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
+def capture(split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], path: str) -> Callable[[DataFrame, int], None]:
+    """Batch handler: usable rows go to `path`/good, the others with their reason to `path`/quarantine.
+
+    The files of a batch are parsed once.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        good, bad = split(checkpointed(batch))
+        write_batch(good, batch_id, f"{path}/good")
+        write_batch(bad, batch_id, f"{path}/quarantine")
+
+    return handle
 
 
 # Weekly counts.
@@ -131,53 +144,100 @@ def document_changes(observations: DataFrame) -> DataFrame:
 
 # Change events.
 def once(events: DataFrame, keys: list[str]) -> DataFrame:
-    """The first event of each key over the life of the stream."""
+    """The first event of each key over the life of the stream; the state is the keys."""
     return events.dropDuplicates(keys)
 
 
-EVENT = Ty.StructType(
-    [
-        Ty.StructField("rule_id", Ty.LongType()),
-        Ty.StructField("bill_id", Ty.LongType()),
-        Ty.StructField("event_type", Ty.StringType()),
-        Ty.StructField("event_key", Ty.StringType()),
-    ]
-)
-
+class Recent(StatefulProcessor):
+    """An event counts if its key was not seen for the time to live before it.
 
-def emit_watch_events(rules: DataFrame, bills: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """Batch handler: events of watched bills that were not emitted before.
+    The state of a key is the time it was last seen. A timer at the end of the
+    time to live removes it, so the state holds only keys seen lately.
+    """
 
-    Emitted events are the files of earlier batches; a repeated batch ignores its own.
+    def __init__(self, live_ms: int):
+        self.live_ms = live_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.last.get()
+        last = held[0] if held else None
+        times = np.sort(np.concatenate([frame["_at"].to_numpy() for frame in rows]))
+        before = np.r_[times[0] - self.live_ms - 1 if last is None else last, times[:-1]]
+        if last is not None:  # what comes after its successors changes nothing
+            before = np.maximum(before, last)
+        first = times[times - before > self.live_ms]
+        newest = int(times[-1]) if last is None else max(last, int(times[-1]))
+        if newest != last:
+            if last is not None:
+                self.handle.deleteTimer(last + self.live_ms)
+            self.last.update((newest,))
+            self.handle.registerTimer(newest + self.live_ms)
+        yield pd.DataFrame({**{f"_k{i}": [value] * len(first) for i, value in enumerate(key)}, "_at": first})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame({**{f"_k{i}": [] for i in range(len(key))}, "_at": []})
+
+    def close(self) -> None:
+        pass
+
+
+def recent(events: DataFrame, keys: list[str], at: str, live: timedelta, late: str = "1 day") -> DataFrame:
+    """(keys, at): events whose key was not seen for `live` before them, each once.
+
+    A repeated batch and rows that come late but within `late` change nothing;
+    rows that come later than that are dropped. Times are counted in
+    milliseconds. The state is one time for each key seen within `live`.
     """
+    numbered = events.withWatermark(at, late).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], at, F.unix_millis(at).alias("_at"))
+    made = numbered.groupBy(*[f"_k{i}" for i in range(len(keys))])
+    schema = Ty.StructType([*(Ty.StructField(f"_k{i}", events.schema[k].dataType) for i, k in enumerate(keys)), Ty.StructField("_at", Ty.LongType())])
+    found = made.transformWithStateInPandas(Recent(int(live.total_seconds() * 1000)), schema, "Append", "EventTime")
+    return found.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.timestamp_millis("_at").alias(at))
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        earlier = stored_batches(
-            batch.sparkSession, path, Ty.StructType([*EVENT.fields, Ty.StructField("batch_id", Ty.LongType())])
-        ).filter(F.col("batch_id") < batch_id)
-        write_batch(watch.unseen(earlier, watch.for_rules(batch, rules, bills)), batch_id, path)
 
-    return handle
+def watch_events(events: DataFrame, rules: DataFrame, bills: DataFrame) -> DataFrame:
+    """Events of watched bills, each once per rule over the life of the stream.
+
+    events: a stream of bill_id, event_type, event_key. Rules and bills are read
+    anew by every batch; the state is the keys that were emitted.
+    """
+    return once(watch.for_rules(events, rules, bills), ["rule_id", "event_type", "event_key"])
 
 
 def refresh_changed(
-    build: Callable[[DataFrame], DataFrame], path: str, column: str = "bill_id", buckets: int = 1000
+    build: Callable[[DataFrame], DataFrame], store: str, path: str, column: str = "bill_id", buckets: int = 1000
 ) -> Callable[[DataFrame, int], None]:
     """Batch handler: recomputes derived rows of the buckets whose bills changed.
 
-    `build` gets the changed buckets and returns the full rows of those buckets with
-    a `bucket` column; only their partitions are replaced. A changed bucket without
-    rows is emptied.
+    Landed rows are stored below `store` by bucket and batch; a repeated batch
+    replaces its own. `build` gets all stored rows of the changed buckets, with
+    their `bucket`, and returns the derived rows of those buckets; only their
+    partitions below `path` are replaced. A changed bucket without rows is
+    emptied. Buckets that did not change are neither read nor written.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select(F.pmod(F.xxhash64(column), F.lit(buckets)).alias("bucket")).distinct()
-        rows = checkpointed(build(touched))
-        history.rebuild_partitions(rows, path, "bucket")
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+        landed = batch.withColumns({"bucket": bucket, "batch_id": F.lit(batch_id)})
+        with settings(spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
+            landed.write.mode("overwrite").partitionBy("bucket", "batch_id").parquet(store)
         # At most `buckets` numbers.
-        emptied = touched.join(rows.select("bucket").distinct(), "bucket", "left_anti").collect()
-        for row in emptied:
-            rows.drop("bucket").limit(0).write.mode("overwrite").parquet(f"{path}/bucket={row['bucket']}")
+        touched = [row["bucket"] for row in landed.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        places = [f"{store}/bucket={number}" for number in touched]
+        stored = spark.read.schema(landed.schema).option("basePath", store).parquet(*places)
+        rows = checkpointed(build(stored.drop("batch_id")))
+        history.rebuild_partitions(rows, path, "bucket")
+        left = {row["bucket"] for row in rows.select("bucket").distinct().collect()}
+        for number in set(touched) - left:
+            rows.drop("bucket").limit(0).write.mode("overwrite").parquet(f"{path}/bucket={number}")
 
     return handle
 

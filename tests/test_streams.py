@@ -1,3 +1,5 @@
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ledgerline.operators import history
@@ -43,7 +45,8 @@ def test_watch_events_are_emitted_once(spark):
         "bill_id long, jurisdiction string, session_code string, congress int, bill_type string, bill_number string")
     out = shared_path(spark, "events")
     stream = feeds.landed(spark, path, rows.schema, files_per_batch=1)
-    feeds.run_batches(stream, feeds.emit_watch_events(rules, known, out), out + "-cp")
+    progress = feeds.run_batches(feeds.watch_events(stream, rules, known), feeds.append_to(out), out + "-cp")
+    assert len(progress) >= 3
     found = spark.read.parquet(out)
     assert found.count() == found.dropDuplicates(["rule_id", "event_type", "event_key"]).count()
     assert {r["rule_id"]: r["count"] for r in found.groupBy("rule_id").count().collect()} == {1: 5, 2: 10}
@@ -81,15 +84,50 @@ def test_history_index_lists_each_bill_once(spark):
     assert bills.history_index(rows, ["id"], limit=2).count() == 2
 
 
-def test_a_changed_bucket_without_rows_is_emptied(spark):
-    path = shared_path(spark, "buckets")
-    held = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "bill_id long, gone int")
-    bucket = F.pmod(F.xxhash64("bill_id"), F.lit(1000))
+def test_only_changed_buckets_are_rebuilt_and_emptied(spark):
+    store, path = shared_path(spark, "store"), shared_path(spark, "buckets")
+    asked = []
 
     def build(rows):
-        return lambda touched: rows.withColumn("bucket", bucket).join(touched, "bucket", "left_semi")
-
-    feeds.refresh_changed(build(held), path)(held, 0)
-    assert spark.read.parquet(path).count() == 3
-    feeds.refresh_changed(build(held.filter("bill_id <> 2")), path)(held.filter("bill_id = 2"), 1)
-    assert {r.bill_id for r in spark.read.parquet(path).collect()} == {1, 3}
+        asked.append({r.bucket for r in rows.select("bucket").distinct().collect()})
+        return rows.groupBy("bucket", "bill_id").agg(F.sum("amount").alias("amount")).filter("amount > 0")
+
+    handle = feeds.refresh_changed(build, store, path, buckets=50)
+    first = spark.createDataFrame([(1, 5), (2, 5), (3, 5)], "bill_id long, amount int")
+    handle(first, 0)
+    second = spark.createDataFrame([(2, -5), (3, 1)], "bill_id long, amount int")
+    for _ in range(2):  # a repeated batch replaces its own rows
+        handle(second, 1)
+    assert {(r.bill_id, r.amount) for r in spark.read.parquet(path).collect()} == {(1, 5), (3, 6)}
+    buckets = {r.bill_id: r.b for r in first.select("bill_id", F.pmod(F.xxhash64("bill_id"), F.lit(50)).alias("b")).collect()}
+    assert asked == [set(buckets.values())] + 2 * [{buckets[2], buckets[3]}]
+
+
+def at(day, hour=0):
+    return f"2024-01-{day:02d} {hour:02d}:00:00"
+
+
+def test_recent_events_have_bounded_state(spark):
+    """Repeated batches and late rows emit nothing; keys that are gone leave the state."""
+    files = [
+        [("a", at(1)), ("b", at(1)), ("a", at(2))],
+        [("a", at(3)), ("c", at(4)), ("a", at(3, 1))],
+        [("a", at(3)), ("c", at(4)), ("a", at(3, 1))],  # the batch once more
+        [("a", at(20)), ("d", at(20))],
+        [("b", at(21)), ("c", at(1)), ("a", at(19, 12))],  # c is too late, a late but in order of its key
+        [("e", at(30))],
+    ]
+    path = shared_path(spark, "landed")
+    for rows in files:
+        spark.createDataFrame(rows, "key string, t string").select("key", F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(path)
+    out = shared_path(spark, "recent")
+    stream = feeds.landed(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    progress = feeds.run_batches(feeds.recent(stream, ["key"], "ts", timedelta(days=5)), feeds.append_to(out), out + "-cp")
+    found = spark.read.parquet(out).select("key", F.date_format("ts", "d").cast("int").alias("day")).collect()
+    assert sorted((r.key, r.day) for r in found) == [("a", 1), ("a", 20), ("b", 1), ("b", 21), ("c", 4), ("d", 20), ("e", 30)]
+    assert len({r.batch_id for r in spark.read.parquet(out).collect()}) >= 3
+    values = [p["stateOperators"][0]["customMetrics"] for p in progress if p["stateOperators"]]
+    assert values
+    last = next(p for p in reversed(progress) if p["stateOperators"])
+    # Of five keys only the last one is remembered: its time and its timer.
+    assert last["stateOperators"][0]["numRowsTotal"] <= 3
