@@ -22,9 +22,11 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ from ledgerline.llm.common import ARROW, STEP, Tables, settings
 
 #: UTF-8 bytes of text in a chunk and in one call of the tokenizers; one longer text is a chunk and a call of its own.
 CHUNK, CALL = 24 << 20, 1 << 20
+#: Characters of pre-tokens that a task keeps with their ids before it starts anew.
+KNOWN = 64 << 20
 
 SPLIT = "chunk bigint, row_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, codes binary, times binary, pairs array<bigint>, held array<bigint>"
 OUT = "row_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
@@ -53,14 +57,15 @@ def byte_level() -> dict[str, int]:
 class Pair:
     """The two tokenizers and their tokens' bytes; files are read on the driver, tokenizers made where they are used."""
 
-    def __init__(self, bpe_path: str, piece_path: str):
+    def __init__(self, bpe_path: str, piece_path: str, pattern: str):
         with open(bpe_path, encoding="utf-8") as f:
             self.bpe = f.read()
         with open(piece_path, "rb") as f:
             self.pieces = f.read()
+        self.pattern = pattern
 
     def __getstate__(self) -> dict:
-        return {"bpe": self.bpe, "pieces": self.pieces}
+        return {"bpe": self.bpe, "pieces": self.pieces, "pattern": self.pattern}
 
     def load(self) -> Pair:
         if hasattr(self, "a"):
@@ -71,6 +76,7 @@ class Pair:
 
         self.a = Tokenizer.from_str(self.bpe)
         self.a.encode_special_tokens = True
+        self.find, self.known, self.known_size = regex.compile(self.pattern).findall, {}, 0
         self.b = sentencepiece.SentencePieceProcessor(model_proto=self.pieces)
         to_byte = byte_level()
         vocabulary = json.loads(self.bpe)["model"]["vocab"]
@@ -84,12 +90,22 @@ class Pair:
         self.a_size, self.b_size = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
         return self
 
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        """Ids of side A: a pre-token is encoded when it is first met, and then known."""
+        words = [self.find(t) for t in texts]
+        new = list(set().union(*words).difference(self.known))
+        if self.known_size > KNOWN:
+            self.known, self.known_size = {}, 0
+            new = list(set().union(*words))
+        self.known.update(zip(new, (e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False))))
+        self.known_size += sum(64 + len(w) for w in new)
+        return [list(chain.from_iterable(map(self.known.__getitem__, found))) for found in words]
+
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both sides; none where either side's bytes are not the text's."""
         found = []
-        sides = zip(texts, self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1))
-        for text, a, b in sides:
-            a, want = a.ids, (" " + text).encode()
+        for text, a, b in zip(texts, self.encode_a([" " + t for t in texts]), self.b.encode(texts, num_threads=1)):
+            want = (" " + text).encode()
             same = b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
             found.append((a, b) if same else ([], []))
         return found
@@ -228,11 +244,11 @@ def _add_up(docs: pa.Table, counts: pa.Table) -> pa.Table:
     return pa.table([pa.array(made[f.name], f.type) if f.name in made else docs.column(f.name) for f in plain_schema(OUT)], schema=plain_schema(OUT))
 
 
-def align(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, call_bytes: int = CALL) -> DataFrame:
+def align(docs: DataFrame, bpe_path: str, piece_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, call_bytes: int = CALL) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for each row of `docs`.
 
     Side A encodes a blank and the text by the byte-level vocabulary in
-    `bpe_path`, side B the text by the piece model in `piece_path`; strings of
+    `bpe_path`, whose pre-tokens are the matches of `pattern`; side B the text by the piece model in `piece_path`; strings of
     special tokens are plain text. n_best counts links whose pair of ids is held
     by as many documents as any pair of its A id, count_sum adds up those
     numbers over all links. Texts that are null or empty, or whose bytes either
@@ -242,7 +258,7 @@ def align(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     tables = Tables(spark, "align")
-    held = spark.sparkContext.broadcast(Pair(bpe_path, piece_path))
+    held = spark.sparkContext.broadcast(Pair(bpe_path, piece_path, pattern))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     chunks = tables.save("chunks", rows.mapInArrow(_split(held, chunk_bytes, call_bytes), SPLIT))
     listed = chunks.where("pairs is not null").select("chunk", F.posexplode(F.arrays_zip("pairs", "held")).alias("at", "p"))

@@ -31,8 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    return bpe.digests(encoded, vocabulary)
+    return bpe.encode_with_digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
 @query("op6_minhash_dedup")
@@ -103,4 +102,4 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op12_token_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)

@@ -7,7 +7,7 @@ import pytest
 
 from ledgerline.llm import align
 
-PATHS = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+PATHS = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
 def texts():
@@ -79,5 +79,17 @@ def test_whole_long_text_missing_and_repeated_ids(spark):
     assert got[0] == got[1] and got[0][5] >= 2 and got[2] == (True, 0, 0, 0, 0, 0, 0, "")
 
 
+def test_known_words_equal_the_library_on_whole_texts(spark):
+    draw = random.Random(12)
+    signs = "ab é漢🙂1² .,'!\t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2028\u3000\u200b_-İʼ"
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    given += ["".join(draw.choices(signs, k=draw.randint(1, 60))) for _ in range(3000)] + ["it's WE'LL they've  I'd\n\n 'tis", " " * 5000 + "x", "a" * 20000]
+    given = [" " + t for t in given if t]
+    pair = align.Pair(*PATHS).load()
+    want = [e.ids for e in pair.a.encode_batch(given, add_special_tokens=False)]
+    for size in (7, len(given)):
+        assert [ids for k in range(0, len(given), size) for ids in pair.encode_a(given[k : k + size])] == want
+
+
 def test_no_rows(spark):
     assert align.align(spark.createDataFrame([], "doc_id bigint, text string"), *PATHS).collect() == []
