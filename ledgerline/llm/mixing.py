@@ -4,12 +4,17 @@ A classifier fitted on a labelled table gives every document a probability for
 each domain. Document rates r >= 0 then solve a least-squares problem: the
 expected tokens of domain d, the sum of r * tokens * p(d), shall be the target
 share of the budget, and rates shall stay near 1. Errors are weighted by the
-domain's own tokens, so small domains count. At the solution a row's rate is
-1 - (its probabilities . prices) / pull, cut at the bounds, with one price for
-each domain: its weighted error. So the prices alone are sought, by Newton steps
-with a line search on the dual problem; each look is one aggregate of the whole
-table, with D totals and D * D of the rows whose rates are free to move. Steps go
-on until the totals agree with the prices.
+domain's own tokens, so small domains count.
+
+The rates are fitted by projected gradient steps. A step takes the D totals of
+the present rates, one aggregate of the whole table, and moves one price for each
+domain along the gradient, with a step that fits the domain's own tokens; the
+rates follow by projection, 1 - (probabilities . prices) / pull cut at the
+bounds. So a step's expression does not grow with the number of steps, and
+nothing but D numbers leaves the executors. Step lengths are spectral: the next
+one follows from what the last one did to the gradient, and one that made the
+gradient much larger than lately is taken back. Steps go on until the totals
+agree with the prices.
 """
 
 from __future__ import annotations
@@ -43,11 +48,11 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
     mark is in a domain than overall, by documents and smoothed. At most
     `labelled_rows` labelled documents are read; this bounds the training set only.
     """
-    known = labelled.where(F.col("domain").isin(domains)).select(F.col(id_col).alias("_known"), "domain").groupBy("_known").agg(F.min("domain").alias("domain"))
-    total = known.count()
-    draw = F.pmod(F.xxhash64("_known"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, labelled_rows / max(1, total)))
-    picked = known.where(draw).limit(labelled_rows)
-    texts = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_known")).select("domain", F.coalesce(text_col, F.lit("")).alias("text"))
+    known = labelled.where(F.col("domain").isin(domains)).select(F.col(id_col).alias("known"), "domain").groupBy("known").agg(F.min("domain").alias("domain"))
+    # The least hashes: the same rows however the table is dealt.
+    picked = known.orderBy(F.xxhash64("known"), "known").limit(labelled_rows)
+    own = docs.select(F.col(id_col).alias("known"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = own.join(F.broadcast(picked), "known").select("domain", "text")
     sizes = {r.domain: r["n"] for r in texts.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     whole = sum(sizes.values())
     prior = [math.log((sizes.get(d, 0) + 1) / (whole + len(domains))) for d in domains]
@@ -83,14 +88,14 @@ def posteriors(docs: DataFrame, weights: DataFrame, prior: list[float], id_col:
     return powers.select("id", "n_tokens", *((F.col(f"e{i}") / total).alias(f"p{i}") for i in range(count)))
 
 
-def fit_rates(tables: Tables, members: DataFrame, shares: list[float], budget: float | None = None, pull: float = 0.001, most: float | None = None, steps: int = 100, close: float = 1e-8) -> DataFrame:
+def fit_rates(tables: Tables, members: DataFrame, shares: list[float], budget: float | None = None, pull: float = 0.001, most: float | None = None, steps: int = 1000, close: float = 1e-8) -> DataFrame:
     """`members` (id, n_tokens, p0, p1, ...) with a column rate, fitted on all of them.
 
     `shares` are the targets, `budget` the wanted number of tokens (None: as
     many as there are), `pull` the weight that keeps rates near 1, `most` an
     upper bound. No tokens give a rate of 1. Prices are settled when no total
     differs from what they ask for by more than `close` of the target; if they
-    are not after `steps` aggregates, that is an error.
+    are not after `steps` steps of one aggregate each, that is an error.
     """
     shares = [float(s) for s in shares]
     domains = range(len(shares))
@@ -102,40 +107,36 @@ def fit_rates(tables: Tables, members: DataFrame, shares: list[float], budget: f
     soft = np.array([max((sums[1 + i] or 0.0) / budget, 1e-9) for i in domains])
     target = np.array(shares)
 
-    def rates(prices: np.ndarray) -> tuple[Column, Column]:
+    def rates(prices: np.ndarray) -> Column:
         free = F.lit(1.0) - sum((F.col(f"p{i}") * F.lit(float(prices[i] / pull)) for i in domains), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), free)
-        return free, rate if most is None else F.least(F.lit(float(most)), rate)
-
-    def look(prices: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Value, slope and curvature of the dual problem."""
-        free, rate = rates(prices)
-        # Rates at a bound do not move with the prices.
-        moves = (F.col("free") >= 0) & (F.lit(True) if most is None else F.col("free") <= float(most))
-        # The least of a row's pull and price, less what a rate of 0 has.
-        cost = F.col("n_tokens") * F.col("rate") * (F.col("rate") / 2 - F.col("free"))
-        row = members.select("*", free.alias("free"), rate.alias("rate")).agg(
-            F.sum(cost), *(F.sum(F.col("rate") * x) for x in part), *(F.sum(F.when(moves, part[i] * F.col(f"p{j}"))) for i in domains for j in domains)
-        ).first()
-        found = np.array([float(x or 0) / budget for x in row])
-        now, gram = found[1 : 1 + len(shares)], found[1 + len(shares) :].reshape(len(shares), -1)
-        value = pull * found[0] - prices @ target - prices @ (soft * prices) / 2
-        return float(value), now - target - soft * prices, np.diag(soft) + gram / pull
+        return rate if most is None else F.least(F.lit(float(most)), rate)
+
+    def gap(prices: np.ndarray) -> np.ndarray:
+        """Each domain's total less its target and what its price asks for."""
+        row = members.select("*", rates(prices).alias("rate")).agg(*(F.sum(F.col("rate") * x) for x in part)).first()
+        return np.array([float(x or 0) / budget for x in row]) - target - soft * prices
 
     # Sums are exact to some 1e-12 only.
     near = max(close, 1e-12) * np.maximum(target, 1e-6)
-    prices = np.zeros(len(shares))
-    value, slope, curve = look(prices)
-    for _ in range(steps):
+    # The totals answer to the prices by at most this much, so a length of 1 is always safe.
+    size = 1 / (soft * (1 + 1 / pull))
+    prices, length, norms = np.zeros(len(shares)), 1.0, []
+    slope = gap(prices)
+    for step in range(steps):
         if (np.abs(slope) <= near).all():
-            return members.select("*", rates(prices)[1].alias("rate"))
-        move = np.linalg.solve(curve, slope)
-        size = 1.0
-        tried = look(prices + move)
-        while tried[0] < value + 0.1 * size * (slope @ move) and np.abs(tried[1]).max() > np.abs(slope).max() / 2 and size > 1e-6:
-            size /= 2
-            tried = look(prices + size * move)
-        prices, (value, slope, curve) = prices + size * move, tried
+            return members.select("*", rates(prices).alias("rate"))
+        norms = [*norms[-9:], slope @ (size * slope)]
+        tried = prices + length * size * slope
+        found = gap(tried)
+        if length > 1 and found @ (size * found) > 4 * max(norms):
+            length = max(1.0, length / 10)
+            continue
+        moved, fell = tried - prices, slope - found
+        prices, slope = tried, found
+        bend = moved @ fell
+        # The two spectral lengths in turn.
+        length = 1.0 if bend <= 0 else max(1.0, moved @ (moved / size) / bend if step % 2 else bend / (fell @ (size * fell)))
     raise RuntimeError(f"rates are not settled after {steps} steps: totals are off by {np.abs(slope).max():.3g}")
 
 
@@ -168,6 +169,10 @@ def label_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def resample(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of `docs`, each as often as `mixed` says; null ids meet null ids."""
-    copies = mixed.select(F.col(id_col).alias("_mixed_id"), F.col("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_mixed_id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    # Numbered columns: none of the input's names can clash with those used here.
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    own = f"c{docs.columns.index(id_col)}"
+    copies = mixed.select(F.col(id_col).alias("mixed_id"), "copies").where("copies > 0")
+    joined = numbered.join(copies, F.col(own).eqNullSafe(F.col("mixed_id")))
+    drawn = joined.select(*numbered.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    return drawn.toDF(*docs.columns)

@@ -27,7 +27,7 @@ def test_rates_equal_plain_projected_gradient(spark):
     members = spark.createDataFrame([(i, int(n[i]), *(float(x) for x in p[i])) for i in range(200)], "id bigint, n_tokens bigint, p0 double, p1 double, p2 double")
     shares = np.array([0.7, 0.1, 0.2])
     for most in (None, 1.0):
-        rated = mixing.fit_rates(Tables(spark, "test-mixing"), members, list(shares), pull=0.2, most=most, steps=40, close=0)
+        rated = mixing.fit_rates(Tables(spark, "test-mixing"), members, list(shares), pull=0.2, most=most, steps=60, close=1e-10)
         got = np.array([r.rate for r in rated.orderBy("id").collect()])
         want = solve(n, p, shares, n.sum(), 0.2, most or np.inf)
         assert np.abs(got - want).max() < 0.02
@@ -104,3 +104,23 @@ def test_odd_rows(spark):
     empty = mixing.mix(docs.limit(0), mixing.label_domains(labels), TARGETS)
     assert empty.collect() == [] and mixing.resample(docs.limit(0), empty).collect() == []
     assert mixing.mix(docs, mixing.label_domains(labels.limit(0)), TARGETS).count() == 5
+
+
+def test_names_of_further_columns_do_not_matter(spark):
+    names = ["domain", "known", "_known", "copies", "_copies", "copy", "_copy", "mixed_id", "_mixed_id", "c0", "c1", "id", "n_tokens", "rate", "w", "at", "n"]
+    rows = [(i, "good words here " * (i % 5) if i % 2 else f"bad {i} stuff", *names) for i in range(40)]
+    plain = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    wide = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = mixing.label_domains(spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id bigint, quality int, toxic int"))
+    mixed = mixing.mix(wide, labels, TARGETS)
+    assert sorted(mixed.collect()) == sorted(mixing.mix(plain, labels, TARGETS).collect())
+    back = mixing.resample(wide, mixed)
+    assert back.columns == wide.columns
+    assert sorted(r.doc_id for r in back.collect()) == sorted(r.doc_id for r in mixing.resample(plain, mixed).collect())
+
+
+def test_the_sample_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = mixing.label_domains(spark.read.parquet(f"{SF}/labels.parquet"))
+    found = [sorted(mixing.fit_domains(docs.repartition(n), labels.repartition(n), list(TARGETS), labelled_rows=100)[0].collect()) for n in (1, 7)]
+    assert found[0] == found[1]
