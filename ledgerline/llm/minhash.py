@@ -250,13 +250,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     none are rows of their own.
     """
     tables = Tables(docs.sparkSession, "one-of-each")
-    others = F.xxhash64(*(F.col(c) for c in docs.columns if c not in (id_col, text_col)))
-    marked = docs.withColumn("_key", F.unhex(F.concat(F.md5(text_col), F.lpad(F.hex(others), 16, "0"))))
-    placed = _components(tables, marked.select(F.col(id_col).alias("id"), F.col("_key").alias("key"), F.col(text_col).alias("text")))
+    # Numbered columns: none of the input's names can clash with those used here.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    others = F.xxhash64(F.lit(0), *(F.col(c) for c in names if c not in (own, text)))
+    numbered = docs.toDF(*names)
+    marked = numbered.withColumn("key", F.unhex(F.concat(F.coalesce(F.md5(text), F.lit("0" * 32)), F.lpad(F.hex(others), 16, "0"))))
+    placed = _components(tables, marked.select(F.col(own).alias("id"), "key", F.col(text).alias("text")))
     best = placed.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"))
-    best = tables.save("best", best.select(F.col("best.id").alias("_best_id"), F.col("best.key").alias("_best_key")))
-    worded = F.coalesce(F.col(text_col), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    same = (F.col("_key") == F.col("_best_key")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("_best_id"))
+    best = tables.save("best", best.select(F.col("best.id").alias("best_id"), F.col("best.key").alias("best_key")))
+    worded = F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    same = (F.col("key") == F.col("best_key")) & F.col(own).cast("bigint").eqNullSafe(F.col("best_id"))
     # Rows that agree in all columns are one row here.
-    kept = marked.where(worded).join(best, same, "left_semi").dropDuplicates([id_col, "_key"])
-    return kept.drop("_key").unionByName(docs.where(~worded))
+    kept = marked.where(worded).join(best, same, "left_semi").dropDuplicates([own, "key"])
+    return kept.drop("key").unionByName(numbered.where(~worded)).toDF(*docs.columns)

@@ -112,3 +112,16 @@ def test_outline_bits_of_borrowing_bins_are_independent():
             a, b = (minhash.outline(np.sort(s)) for s in (items, items[: size * 3 // 4]))
             agree.append(minhash.FINE - sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)))
         assert abs(np.mean(agree) - 896) < 4 and np.std(agree) < 14
+
+
+def test_one_of_each_whatever_the_further_columns_are(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(3, base), (1, base), (None, base), (7, "quite another text of more than five words"), (7, "quite another text of more than five words"), (8, None), (9, " ")]
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = minhash.one_of_each(plain)
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 7, 8, 9]
+    names = ["key", "_key", "best_id", "_best_id", "best_key", "id", "root", "n", "node", "none", "best", "c0", "c1", "worded"]
+    wide = spark.createDataFrame([(*r, *names) for r in rows], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = minhash.one_of_each(wide)
+    assert kept.columns == wide.columns and sorted(r.doc_id for r in kept.collect()) == [1, 7, 8, 9]
