@@ -2,15 +2,20 @@
 
 One classifier sees a document's text content (shares of hashed byte triples),
 the other its metadata and layout (source, language, length, lines, kinds of
-signs). Each is fitted on labelled rows; in every round each view labels the
-pool rows it is sure of, and the other view learns from them. Both views are
-calibrated on labelled rows kept apart and combined by a logistic function
-fitted on the same rows. All documents are scored in one pass without a shuffle.
+signs). Each is fitted on labelled rows. A round is one pass over all documents
+without a label: each view labels those it is sure of, and the other view takes a
+Newton step towards them. What a task gives for that are sums over its documents,
+of a size that the views fix; the sums are added up in two steps, and together
+weigh as much as a share of the labelled rows, however many documents there are.
+Sums are of whole numbers, so they do not depend on how documents are dealt.
+Both views are calibrated on labelled rows kept apart and combined by a logistic
+function fitted on the same rows. All documents are scored in one pass without a
+shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -19,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import LOWER, SPACE, arrow_map, arrow_schema, mix
+from ledgerline.llm.common import LOWER, SPACE, Tables, arrow_map, arrow_schema, mix
 
 #: A document goes below this probability: a good document lost counts for more than a bad one kept.
 THRESHOLD = 0.3
+#: A view labels a document beyond this probability; all such labels together weigh as this share of the labelled rows.
+SURE, SHARE = 0.95, 0.45
+#: Whole steps of a column and of a residual in sums over documents, and the bound of a column.
+FINE, RESIDUAL, FAR = 64, 256, 10
 TRIPLES, SOURCES, LANGS = 512, 32, 8
 TEXT_SIZE = TRIPLES + 3
 _KIND = np.full(256, 7, np.uint8)
@@ -129,21 +138,47 @@ class Model:
         return np.c_[_sigmoid(a), _sigmoid(b), _sigmoid(first * np.clip(a, -12, 12) + second * np.clip(b, -12, 12) + bias)]
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 3, sure: float = 0.95) -> Model:
-    """Fits both views on rows and pool; a third of the labelled rows calibrates."""
+def sums(text: np.ndarray, meta: np.ndarray, views: list[Linear], sure: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """What each view learns from the rows that the other one is sure of: their number, slope and curvature, in whole numbers."""
+    told = [_sigmoid(v.logit(x)) for v, x in zip(views, (text, meta))]
+    out = []
+    for view, x, other in ((views[0], text, told[1]), (views[1], meta, told[0])):
+        confident = (other >= sure) | (other <= 1 - sure)
+        z = np.clip(np.rint((x[confident] - view.centre) * view.scale * FINE), -FAR * FINE, FAR * FINE).astype(np.float64)
+        z = np.c_[z, np.full(len(z), float(FINE))]
+        p = _sigmoid(z @ np.r_[view.weights, view.bias] / FINE)
+        residual = np.rint(((other[confident] >= 0.5) - p) * RESIDUAL)
+        curve = np.maximum(np.rint(p * (1 - p) * RESIDUAL), 1)
+        # Products stay below 2**53, so these are exact.
+        out.append((len(z), (z.T @ residual).astype(np.int64), ((z * curve[:, None]).T @ z).astype(np.int64)))
+    return out
+
+
+def _step(view: Linear, x: np.ndarray, y: np.ndarray, learned: tuple[int, np.ndarray, np.ndarray], ridge: float = 5.0) -> Linear:
+    """`view` after one Newton step on labelled rows and on what the other view taught."""
+    z = np.c_[(x - view.centre) * view.scale, np.ones(len(x))].astype(np.float64)
+    w, held = np.r_[view.weights, view.bias], np.r_[np.full(x.shape[1], ridge), 1e-6]
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    count, slope, bend = learned
+    weight = SHARE * len(x) / max(1, count)
+    slope = z.T @ (y - p) + weight * slope / (FINE * RESIDUAL) - held * w
+    bend = (z * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ z + weight * bend / (FINE * FINE * RESIDUAL) + np.diag(held)
+    w = w + np.linalg.solve(bend, slope)
+    return Linear(view.centre, view.scale, w[:-1], float(w[-1]))
+
+
+def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[list[Linear]], list[tuple[int, np.ndarray, np.ndarray]]], rounds: int = 3) -> Model:
+    """Fits both views on rows and pool; a third of the labelled rows calibrates.
+
+    `pool` gives `sums` over all rows without a label for the present views.
+    """
     kept = np.arange(len(y)) % 3 == 0
     train = ~kept
     if len(set(y[train])) < 2 or len(set(y[kept])) < 2:
         return Model()
     views = [Linear.fit(x[train], y[train], np.ones(train.sum())) for x in (text, meta)]
-    for _ in range(rounds if len(pool_text) else 0):
-        told = [_sigmoid(v.logit(x)) for v, x in zip(views, (pool_text, pool_meta))]
-        views = []
-        for x, pool, other in ((text, pool_text, told[1]), (meta, pool_meta, told[0])):
-            confident = (other >= sure) | (other <= 1 - sure)
-            labels = np.r_[y[train], other[confident] >= 0.5]
-            weight = np.r_[np.ones(train.sum()), np.full(confident.sum(), 0.3)]
-            views.append(Linear.fit(np.r_[x[train], pool[confident]], labels.astype(float), weight))
+    for _ in range(rounds):
+        views = [_step(v, x[train], y[train], learned) for v, x, learned in zip(views, (text, meta), pool(views))]
     logits = [v.logit(x[kept]) for v, x in zip(views, (text, meta))]
     calibration = []
     for logit in logits:
@@ -171,29 +206,66 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([text_view(t) for t in texts]), np.stack([meta_view(t, *rest) for t, *rest in zip(texts, *columns[1:])])
 
 
-def _sample(rows: DataFrame, bound: int, *key: str) -> DataFrame:
-    """At most `bound` rows, drawn by a hash of `key`."""
-    total = rows.count()
-    part = F.pmod(F.xxhash64(*key), F.lit(1 << 30))
-    return rows.where(part < int((1 << 30) * min(1.0, bound / max(1, total)))).limit(bound)
+SUMS = "view int, n bigint, slope binary, bend binary"
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a partition's rows, one row per view."""
+    total: dict[int, list] = {}
+    for batch in batches:
+        for view, n, *parts in zip(*(column.to_pylist() for column in batch.columns)):
+            arrays = [np.frombuffer(x, np.int64) for x in parts]
+            held = total.setdefault(view, [0, *(np.zeros_like(x) for x in arrays)])
+            held[0] += n
+            for k, x in enumerate(arrays):
+                held[1 + k] = held[1 + k] + x
+    yield _sums_batch([(view, n, slope, bend) for view, (n, slope, bend) in sorted(total.items())])
+
+
+def _sums_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (("view", pa.int32()), ("n", pa.int64()), ("slope", pa.binary()), ("bend", pa.binary()))
+    columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2].tobytes() for r in rows], [r[3].tobytes() for r in rows]]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, kinds)], names=[name for name, _ in kinds])
+
+
+def learned(tables: Tables, rows: DataFrame, views: list[Linear], sure: float = SURE) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """`sums` over all `rows`, each task's first, then in groups, then altogether."""
+    held = rows.sparkSession.sparkContext.broadcast(views)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            found = sums(*_views(batch), held.value, sure)
+            total = found if total is None else [(n + m, a + c, b + d) for (n, a, b), (m, c, d) in zip(total, found)]
+        if total is not None:
+            yield _sums_batch([(view, *parts) for view, parts in enumerate(total)])
+
+    few = {"spark.sql.execution.arrow.maxRecordsPerBatch": "8"}
+    tasks = tables.save("sums", rows.mapInArrow(run, SUMS))
+    groups = tables.save("groups", tasks.repartition("view", F.xxhash64("slope")).mapInArrow(_added, SUMS), **few)
+    whole = tables.save("whole", groups.coalesce(1).mapInArrow(_added, SUMS), **few).collect()
+    out = []
+    for view, x in enumerate(views):
+        size = len(x.weights) + 1
+        mine = [r for r in whole if r.view == view]
+        out.append((mine[0].n, np.frombuffer(mine[0].slope, np.int64), np.frombuffer(mine[0].bend, np.int64).reshape(size, size)) if mine else (0, np.zeros(size, np.int64), np.zeros((size, size), np.int64)))
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = 6000, pool_rows: int = 6000, rounds: int = 3) -> Model:
-    """A model from at most `labelled_rows` labelled documents and `pool_rows` others.
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = 6000, rounds: int = 3) -> Model:
+    """A model from at most `labelled_rows` labelled documents and all documents without a label.
 
-    The bounds limit the training set only. Several labels of one document count
-    by their mean; labels that are null or have no document are left out. Where
-    the labels hold one class or none, the model keeps every document.
+    The labelled ones are those of the least hashes of their id. Several labels of
+    one document count by their mean; labels that are null or have no document are
+    left out. Where the labels hold one class or none, the model keeps every document.
     """
+    tables = Tables(docs.sparkSession, "cotraining")
     rows = _input(docs, id_col, text_col)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("_label_id"))
     known = known.agg((F.avg(label_col) >= 0.5).cast("int").alias("_y"))
-    picked = _sample(known, labelled_rows, "_label_id")
-    part = F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1 << 30))
-    share = min(1.0, 1.5 * pool_rows / max(1, docs.count()))
-    # Both samples are bounded by a parameter: safe to send to every task.
-    sample = rows.join(F.broadcast(picked), F.col("_id") == F.col("_label_id"), "left")
-    sample = sample.where(F.col("_y").isNotNull() | (part < int((1 << 30) * share))).drop("_label_id")
+    # Bounded by a parameter: safe to send to every task.
+    picked = tables.save("labels", known.orderBy(F.xxhash64("_label_id"), "_label_id").limit(labelled_rows))
+    marked = rows.join(F.broadcast(picked), F.col("_id") == F.col("_label_id"), "left").drop("_label_id")
 
     schema = arrow_schema("y int, id bigint, text binary, meta binary")
 
@@ -203,13 +275,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             columns = [batch.column(batch.schema.get_field_index("_y")), batch.column(0), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    seen = sample.mapInArrow(make, "y int, id bigint, text binary, meta binary")
-    got = seen.where("y is not null").limit(2 * labelled_rows).collect()
-    pool = seen.where("y is null").limit(pool_rows).collect()
-    order = sorted(range(len(got)), key=lambda i: (got[i].id, got[i].text))
-    matrix = lambda rows, name, width: np.array([np.frombuffer(r[name], np.float32) for r in rows], np.float32).reshape(-1, width)
-    got = [got[i] for i in order]
-    return cotrain(matrix(got, "text", TEXT_SIZE), matrix(got, "meta", META_SIZE), np.array([r.y for r in got], float), matrix(pool, "text", TEXT_SIZE), matrix(pool, "meta", META_SIZE), rounds)
+    got = marked.where("_y is not null").mapInArrow(make, "y int, id bigint, text binary, meta binary")
+    # Rows that repeat an id could be many: as many count as ids may.
+    got = sorted(got.orderBy("id", "text", "meta").limit(labelled_rows).collect(), key=lambda r: (r.id, r.text, r.meta))
+    matrix = lambda name, width: np.array([np.frombuffer(r[name], np.float32) for r in got], np.float32).reshape(-1, width)
+    others = marked.where("_y is null").drop("_y")
+    return cotrain(matrix("text", TEXT_SIZE), matrix("meta", META_SIZE), np.array([r.y for r in got], float), lambda views: learned(tables, others, views), rounds)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,12 +24,40 @@ def test_pool_helps_when_labels_are_few():
     text = (draw.normal(size=(1200, 8)) + 1.2 * y[:, None]).astype(np.float32)
     meta = (draw.normal(size=(1200, 8)) + 1.2 * y[:, None]).astype(np.float32)
     few = slice(0, 24)
-    alone = cotraining.cotrain(text[few], meta[few], y[few].astype(float), text[:0], meta[:0])
-    both = cotraining.cotrain(text[few], meta[few], y[few].astype(float), text[24:700], meta[24:700])
+    taught = lambda rows: lambda views: cotraining.sums(text[rows], meta[rows], views, cotraining.SURE)
+    alone = cotraining.cotrain(text[few], meta[few], y[few].astype(float), taught(slice(0, 0)))
+    both = cotraining.cotrain(text[few], meta[few], y[few].astype(float), taught(slice(24, 700)))
     right = lambda m: ((m.scores(text[700:], meta[700:])[:, 2] > 0.5) == y[700:]).mean()
     assert right(both) >= right(alone) - 0.01 and right(both) > 0.9
 
 
+def plain_scores(docs, labels, labelled_rows=6000):
+    """The same model from one array of all documents, and each document scored by itself."""
+    rows = [(r.doc_id, (r.text or "").encode(), r.source, r.lang, r.n_chars) for r in docs.select("doc_id", "text", "source", "lang", "n_chars").collect()]
+    text, meta = np.stack([cotraining.text_view(r[1]) for r in rows]), np.stack([cotraining.meta_view(*r[1:]) for r in rows])
+    known = {}
+    for r in labels.collect():
+        if r.quality is not None and r.doc_id is not None:
+            known.setdefault(r.doc_id, []).append(r.quality)
+    known = {i: float(np.mean(q) >= 0.5) for i, q in known.items()}
+    assert len(known) <= labelled_rows
+    picked = sorted((r[0], text[i].tobytes(), meta[i].tobytes(), i) for i, r in enumerate(rows) if r[0] in known)
+    mine = [i for *_, i in picked]
+    others = [i for i, r in enumerate(rows) if r[0] not in known]
+    model = cotraining.cotrain(text[mine], meta[mine], np.array([known[i] for i, *_ in picked]), lambda views: cotraining.sums(text[others], meta[others], views, cotraining.SURE))
+    return {r[0]: model.scores(text[i : i + 1], meta[i : i + 1])[0] for i, r in enumerate(rows)}
+
+
+def test_scores_equal_plain_numpy_however_documents_are_dealt(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    want = plain_scores(docs, labels)
+    for parts in (1, 5):
+        dealt = docs.repartition(parts)
+        got = cotraining.score(dealt, cotraining.train(dealt, labels.repartition(parts))).collect()
+        assert len(got) == len(want) and all(np.allclose([r.text_score, r.meta_score, r.score], want[r.doc_id], atol=1e-9) for r in got)
+        assert all(r.kept == (r.score >= cotraining.THRESHOLD) for r in got)
+
+
 def test_odd_rows_and_missing_labels(spark):
     rows = [(1, None, None, None, None, "a", 0.5), (1, "", "en", "s", 0, "a", 0.5), (None, "x " * 100000, "en", "s", 5, "a", 0.5), (2, "ok", "en", "s", 2, "a", 0.5), (2, "ok", "en", "s", 2, "a", 0.5)]
     docs = spark.createDataFrame(rows, DOCS)
