@@ -56,17 +56,30 @@ def _open(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("/", "file:")) else f"/{uri}")
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
-    """A record as one gzip member. A revisit has no block; its headers keep digest and length of the payload."""
-    block = payload if kind == "response" else b""
+#: Pages carry no time of capture; records state this one.
+CAPTURED = "1970-01-01T00:00:00Z"
+
+
+def _member(headers: list[str], block: bytes) -> bytes:
+    lines = ["WARC/1.1", *headers, f"Content-Length: {len(block)}", "", ""]
+    return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n", 6, mtime=0)
+
+
+def information(file: str, captured: str = CAPTURED) -> bytes:
+    """The record that begins an archive, as one gzip member."""
+    name = uuid.uuid5(uuid.NAMESPACE_URL, file)
+    return _member(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {captured}", f"WARC-Filename: {file}", "Content-Type: application/warc-fields"], b"software: ledgerline\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(page_id: int | None, url: str, payload: bytes, digest: str, kind: str, refers_to: int | None, captured: str = CAPTURED) -> bytes:
+    """A record as one gzip member: the head of an HTTP answer, and in a response the payload after it."""
     # One header per line, whatever the address holds.
     target = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {target}",
-            f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {len(payload)}"]
+    headers = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {captured}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}", "", ""]
-    return gzip.compress("\r\n".join(head).encode() + block + b"\r\n\r\n", 6, mtime=0)
+        headers += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    return _member([*headers, "Content-Type: application/http; msgtype=response"], head + (payload if kind == "response" else b""))
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
@@ -78,6 +91,12 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return headers, data[cut + 4 : cut + 4 + int(headers["Content-Length"])]
 
 
+def answer(block: bytes) -> tuple[int, bytes]:
+    """The length that an HTTP answer states, and what follows its head."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    return int(re.search(rb"(?im)^content-length: (\d+)", head)[1]), body
+
+
 CAPTURES = "url_key string, page_id bigint, file string, start bigint, size bigint, digest string, kind string"
 
 
@@ -103,7 +122,10 @@ def write_archives(pages: DataFrame, tables: Tables, id_col: str = "page_id", ur
                 first, page = row["first"], row["page_id"]
                 kind = "revisit" if row["shared"] and first is not None and first != page else "response"
                 member = record(page, row["url"], payload, row["digest"], kind, first)
-                out = out or fs.open_output_stream(f"{base}/{name}", compression=None)
+                if out is None:
+                    out, first_record = fs.open_output_stream(f"{base}/{name}", compression=None), information(name)
+                    out.write(first_record)
+                    at = len(first_record)
                 out.write(member)
                 made.append((url_key(row["url"]), page, name, at, len(member), row["digest"], kind))
                 at += len(member)
@@ -240,14 +262,15 @@ def read_records(captures: DataFrame, root: str, payloads: bool = True) -> DataF
                     name, file = want, fs.open_input_file(f"{base}/{want}")
                 headers, block = parse(file.read_at(size, start))
                 kind = headers["WARC-Type"]
+                length, payload = answer(block)
                 if kind == "response":
-                    length, digest = len(block), hashlib.sha256(block).hexdigest()
+                    length, digest = len(payload), hashlib.sha256(payload).hexdigest()
                     if headers["WARC-Payload-Digest"] != f"sha256:{digest}":
                         raise ValueError(f"{want} at {start}: payload and digest differ")
                 else:
-                    length, digest = int(headers["WARC-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha256:")
+                    digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
                 refers = number(headers["WARC-Refers-To"]) if kind == "revisit" else None
-                out.append((number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], length, digest, kind, refers, block if payloads and kind == "response" else None))
+                out.append((number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], length, digest, kind, refers, payload if payloads and kind == "response" else None))
             if out:
                 yield _rows(out, fields)
 

@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 import pytest
 
@@ -20,7 +21,28 @@ def test_url_key(url, key):
 def test_record_round_trip():
     for payload in (b"", b"\r\n\r\n", "é\n".encode() * 500):
         headers, block = warc.parse(warc.record(7, "http://a b\r\nX: y/é", payload, hashlib.sha256(payload).hexdigest(), "response", None))
-        assert block == payload and headers["WARC-Record-ID"] == "<urn:page:7>" and headers["WARC-Target-URI"] == "http://a%20b%0D%0AX:%20y/é"
+        assert warc.answer(block) == (len(payload), payload) and headers["WARC-Record-ID"] == "<urn:page:7>" and headers["WARC-Target-URI"] == "http://a%20b%0D%0AX:%20y/é"
+
+
+def test_archives_hold_what_the_format_asks_for(spark):
+    rows = [(i, f"http://a.b/{i}", "same payload " * 20 if i < 3 else f"own {i}", "d", 1) for i in range(6)]
+    tables = Tables(spark, "test-warc")
+    captures = warc.write_archives(spark.createDataFrame(rows, SCHEMA).coalesce(1), tables).orderBy("start").collect()
+    with open(f"{tables.path('archives')}/{captures[0].file}", "rb") as f:
+        data, members = f.read(), []
+    while data:
+        one = zlib.decompressobj(31)
+        members.append(one.decompress(data))
+        data = one.unused_data
+    heads = [m.split(b"\r\n\r\n")[0].decode().split("\r\n") for m in members]
+    kinds = [next(h.split(": ")[1] for h in head if h.startswith("WARC-Type")) for head in heads]
+    assert kinds[0] == "warcinfo" and sorted(kinds[1:]) == ["response"] * 4 + ["revisit"] * 2
+    for head, member in zip(heads, members):
+        names = {h.split(":")[0] for h in head[1:]}
+        assert head[0] == "WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Type", "Content-Length"} <= names
+        length = int(next(h.split(": ")[1] for h in head if h.startswith("Content-Length")))
+        assert member.endswith(b"\r\n\r\n") and len(member) == member.index(b"\r\n\r\n") + 4 + length + 4
+    assert all(m.split(b"\r\n\r\n", 1)[1].startswith(b"HTTP/1.1 200 OK\r\n") for m in members[1:])
 
 
 def test_equals_sql(spark):
