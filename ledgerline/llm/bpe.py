@@ -214,19 +214,20 @@ def _join_back(docs: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table([docs.column("row_id").combine_chunks(), ids], names=["row_id", "ids"])
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, name: str | None = None) -> DataFrame:
     """(id, ids) for each row of `docs`: the ids of its whole text, array<int>.
 
     `vocabulary` is the path of a rank file, `pattern` splits texts into
     pre-tokens that are encoded separately; special tokens are ordinary text.
     Null and empty texts have no ids. Rows that repeat an id, or have none, each
-    give a row. Other columns are not read. No rows give no rows.
+    give a row. Other columns are not read. No rows give no rows. The result is
+    read from a catalog table `name` over files in the shared folder.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "bpe")
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"bpe_chunks_{uuid.uuid4().hex}"
+    name = name or f"bpe_chunks_{uuid.uuid4().hex}"
     split = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(_split(pattern, chunk_bytes), SPLIT)
     with settings(spark, STEP):
         split.write.format("parquet").option("compression", "zstd").option("path", tables.path("chunks")).bucketBy(buckets, "chunk").saveAsTable(name)
@@ -239,6 +240,15 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     return joined.select(F.col("row_id").cast(docs.schema[id_col].dataType).alias(id_col), "ids")
 
 
+def encode_with_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """`digests` of `encode`, written; the chunk table's name is given back to the catalog, also after a failure."""
+    name = f"bpe_chunks_{uuid.uuid4().hex}"
+    try:
+        return digests(encode(docs, vocabulary, pattern, id_col, text_col, name=name), vocabulary, id_col, keep_ids)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 class Tokens:
     """The token-byte table: bytes of all tokens, and where each id's begin."""
 

@@ -36,6 +36,14 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark, library, chunk_byte
     assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == digests
 
 
+def test_the_catalog_keeps_no_table(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id bigint, text string")
+    before = {t.name for t in spark.catalog.listTables()}
+    got = bpe.encode_with_digests(docs, VOCABULARY, public_tokenizers.PATTERN)
+    assert {t.name for t in spark.catalog.listTables()} <= before
+    assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == [(1, 2), (2, 0)]
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert bpe.digests(bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY).collect() == []
