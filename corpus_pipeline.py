@@ -53,8 +53,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document with their digest and that of the text decoded from them."""
-    encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN)
-    return bpe.digests(encoded, VOCABULARY, keep_ids=True)
+    return bpe.encode_with_digests(docs, VOCABULARY, public_tokenizers.PATTERN, keep_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
