@@ -26,7 +26,8 @@ FORMATS = ["Formatted XML", "Formatted Text", "PDF"]
 def _landed(reader, file_format: str, schema: str, path: str, files_per_batch: int | None) -> DataFrame:
     reader = reader.format(file_format).schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     if file_format == "xml":
-        reader = reader.option("rowTag", "bill")
+        # A record that is broken must not end its file.
+        reader = reader.options(rowTag="bill", useLegacyXMLParser="true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(path).select("*", F.col("_metadata.file_name").alias("file_name"))

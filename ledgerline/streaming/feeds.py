@@ -165,7 +165,7 @@ class Recent(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.last.get()
         last = held[0] if held else None
-        times = np.sort(np.concatenate([frame["_at"].to_numpy() for frame in rows]))
+        times = np.sort(np.concatenate([frame["seen"].to_numpy() for frame in rows]))
         before = np.r_[times[0] - self.live_ms - 1 if last is None else last, times[:-1]]
         if last is not None:  # what comes after its successors changes nothing
             before = np.maximum(before, last)
@@ -176,11 +176,16 @@ class Recent(StatefulProcessor):
                 self.handle.deleteTimer(last + self.live_ms)
             self.last.update((newest,))
             self.handle.registerTimer(newest + self.live_ms)
-        yield pd.DataFrame({**{f"_k{i}": [value] * len(first) for i, value in enumerate(key)}, "_at": first})
+        yield self._rows(key, first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
-        yield pd.DataFrame({**{f"_k{i}": [] for i in range(len(key))}, "_at": []})
+        yield self._rows(key, np.zeros(0, np.int64))
+
+    @staticmethod
+    def _rows(key: tuple, times: np.ndarray) -> pd.DataFrame:
+        named = {f"k{i}": pd.Series([value] * len(times), dtype=object) for i, value in enumerate(key)}
+        return pd.DataFrame({**named, "seen": pd.Series(times, dtype="int64")})
 
     def close(self) -> None:
         pass
@@ -193,11 +198,11 @@ def recent(events: DataFrame, keys: list[str], at: str, live: timedelta, late: s
     rows that come later than that are dropped. Times are counted in
     milliseconds. The state is one time for each key seen within `live`.
     """
-    numbered = events.withWatermark(at, late).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], at, F.unix_millis(at).alias("_at"))
-    made = numbered.groupBy(*[f"_k{i}" for i in range(len(keys))])
-    schema = Ty.StructType([*(Ty.StructField(f"_k{i}", events.schema[k].dataType) for i, k in enumerate(keys)), Ty.StructField("_at", Ty.LongType())])
-    found = made.transformWithStateInPandas(Recent(int(live.total_seconds() * 1000)), schema, "Append", "EventTime")
-    return found.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.timestamp_millis("_at").alias(at))
+    names = [f"k{i}" for i in range(len(keys))]
+    numbered = events.withWatermark(at, late).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(at).alias("moment"), F.unix_millis(at).alias("seen"))
+    schema = Ty.StructType([*(Ty.StructField(n, events.schema[k].dataType) for k, n in zip(keys, names)), Ty.StructField("seen", Ty.LongType())])
+    found = numbered.groupBy(*names).transformWithStateInPandas(Recent(int(live.total_seconds() * 1000)), schema, "Append", "EventTime")
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], F.timestamp_millis("seen").alias(at))
 
 
 def watch_events(events: DataFrame, rules: DataFrame, bills: DataFrame) -> DataFrame:
