@@ -48,3 +48,18 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
                 rows = session.spread(rows, "l_orderkey")
             rows.createOrReplaceTempView(name)
     return spark.sql(sql)
+
+
+_STORED: dict[tuple, object] = {}
+
+
+def stored(build: Callable) -> Callable:
+    """What `build` (spark, sf_dir) makes is written once in a session and read by every query."""
+
+    def once(spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, sf_dir, build.__module__, build.__name__)
+        if key not in _STORED:
+            _STORED[key] = build(spark, sf_dir)
+        return _STORED[key]
+
+    return once

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from driver import corpus
-from driver.base import query, table, texts, view
+from driver.base import query, stored, table, texts, view
 from driver.sqltext import distinct_in_order, quoted
 from ledgerline.functions import rules as R
 from ledgerline.functions import text as T
@@ -428,6 +428,7 @@ FROM w WHERE category NOT IN ('other_civic', 'vote_action', 'public_hearing') AN
 """
 
 
+@stored
 def week_items(spark, sf_dir):
     """The record and item tables are written first, as they are stored in use."""
     docs = checkpointed(documents(spark, sf_dir))
@@ -435,7 +436,7 @@ def week_items(spark, sf_dir):
     rows = checkpointed(S.agenda_items(texts_only, KEY))
     found = civic.signal_findings(texts_only, rows, KEY)
     known = S.recover_sections(rows, texts_only, KEY)
-    return weekly.civic_items(docs, checkpointed(known), checkpointed(found))
+    return checkpointed(weekly.civic_items(docs, checkpointed(known), checkpointed(found)))
 
 
 @query("weekly_civic", CIVIC_SQL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driver import corpus
 from driver.base import query, table, texts, view
 from ledgerline.functions import text as T
-from ledgerline.operators import history, lineage, ordered, sections as S
+from ledgerline.operators import canonical, history, lineage, ordered, sections as S
 
 
 @query(
@@ -98,6 +98,33 @@ def revision_listing(spark, sf_dir):
     return history.revision_listing(log, ["user_id"], ["observed_at", "seq"]).select("user_id", "seq", "sha256", "place")
 
 
+# Nested payloads: rows are named by ids, which are no content; two writers order and space them differently.
+PAYLOADS = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN
+    '{"id":' || CAST(o_orderkey AS STRING) || ',"title":"' || o_orderpriority || '","rate":0.25,"open":true,"bill":{"bill_id":' || CAST(o_custkey AS STRING) || ',"status":"' || o_orderstatus
+    || '","order_ids":[1,2],"notes":[]},"items":[{"item_id":7,"qty":' || CAST(o_custkey % 9 AS STRING) || ',"tags":["a",null]},{"qty":2.5,"tags":{}}]}'
+  ELSE
+    '{ "items": [ {"tags": ["a", null], "qty": ' || CAST(o_custkey % 9 AS STRING) || '}, {"tags": {}, "qty": 2.50, "part_id": {"deep": 1}} ], "open": true, "rate": 0.250, "title": "' || o_orderpriority
+    || '", "bill": {"notes": [], "status": "' || o_orderstatus || '"} }' END AS payload FROM orders
+"""
+
+
+@query(
+    "content_hashes",
+    f"""
+    WITH p AS ({PAYLOADS}),
+    t AS (SELECT o_orderkey, j.type, j.atom, j.value, replace(replace(substr(j.fullkey, 2), '.', '/'), '[', '/[') AS path FROM p, json_tree(p.payload) AS j),
+    l AS (SELECT o_orderkey, path || '=' || CASE WHEN type = 'NULL' THEN 'null' WHEN type = 'VARCHAR' THEN 's:' || (atom ->> '$') WHEN type = 'BOOLEAN' THEN 'b:' || CAST(atom AS VARCHAR)
+        WHEN type IN ('OBJECT', 'ARRAY') THEN CAST(value AS VARCHAR) ELSE 'n:' || CAST(CAST(CAST(atom AS VARCHAR) AS DOUBLE) AS VARCHAR) END AS line
+      FROM t WHERE NOT regexp_matches(path, '/(id|[^/]*_ids?)(/|$)') AND (type NOT IN ('OBJECT', 'ARRAY') OR CAST(value AS VARCHAR) IN ('[]', '{{}}')))
+    SELECT o_orderkey, sha256(string_agg(line, chr(10) ORDER BY line)) AS content_hash FROM l GROUP BY o_orderkey
+    """,
+)
+def content_hashes(spark, sf_dir):
+    """Hashes of nested payloads without the ids in them."""
+    return canonical.content_hashes(view(spark, sf_dir, PAYLOADS), ["o_orderkey"])
+
+
 @query(
     "distinct_revisions",
     """

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driver import corpus
-from driver.base import query, table, view
+from driver.base import query, stored, table, view
 from driver.graph_queries import ATTRIBUTED, CHANGES, CORRELATED, SCOPED, attributed, scope_bills
 from driver.scan_queries import (
-    FISCAL_BILLS, FISCAL_DOCUMENTS, LATEST_SECTIONS, LINKS_SQL, COMPARED, _fiscal, fiscal_sql, findings_sql,
+    FISCAL_BILLS, FISCAL_DOCUMENTS, FISCAL_HASHED, LATEST_SECTIONS, LINKS_SQL, COMPARED, _fiscal, fiscal_sql, findings_sql, numbered_findings_sql,
 )
 
 from driver.sqltext import quoted
 from ledgerline.functions import rules as R
-from ledgerline.operators import correlation, entities, external, history, lineage, metrics, ordered, scan, scope
+from ledgerline.operators import correlation, entities, external, history, lineage, metrics, ordered, scan, scope, sections as S
 from ledgerline.plans import listing, packets, provenance, queue, report, watch
 from ledgerline.session import checkpointed, shared_path
 from ledgerline.sources import tables
@@ -23,6 +23,9 @@ CORRELATED_SUPPLIERS = """
 SELECT 'supplier' || CAST(s_suppkey AS STRING) || ' holdings company' AS normalized_name, 1000000000 + s_suppkey AS matched_id,
   s_name AS matched_name, 'exact_name' AS match_basis, 'Same name as ' || s_name AS evidence, 0.95 AS confidence FROM supplier
 """
+FILED_SUPPLIERS = """
+SELECT 1000000000 + s_suppkey AS entity_id, 'Supplier' || CAST(s_suppkey AS STRING) || ' Holdings Company' AS canonical_name FROM supplier
+"""
 SUPPLIER_FILINGS = """
 SELECT 1000000000 + s_suppkey AS entity_id, s_suppkey * 100 + s_nationkey AS relationship_id, 'lda_registered_to_lobby_for' AS relation_type,
   'lda' AS source_system, CASE WHEN s_nationkey % 2 = 0 THEN 'https://filings.example/' || CAST(s_suppkey AS STRING) END AS source_url,
@@ -30,12 +33,23 @@ SELECT 1000000000 + s_suppkey AS entity_id, s_suppkey * 100 + s_nationkey AS rel
 """
 
 
+def numbered_sections(sections, column):
+    """One row per version and section number: of sections that share a number the last one counts."""
+    return S.latest_duplicates(sections.select("version_id", "section_number", "ordinal", column), ["version_id", "section_number"])
+
+
+@stored
 def evidence(spark, sf_dir):
     """The stored tables a packet is built from."""
     sections = checkpointed(corpus.latest_sections(spark, sf_dir))
     heads = corpus.version_heads(spark, sf_dir)
     pairs = lineage.version_pairs(heads)
-    changes = lineage.section_changes(corpus.sections(spark, sf_dir), pairs).filter("event_type <> 'unchanged'")
+    every = corpus.sections(spark, sf_dir)
+    changes = lineage.section_changes(every, pairs).filter("event_type <> 'unchanged'").drop("old_sha", "new_sha")
+    # The text of an event is that of the version that holds it.
+    holder = F.when(F.col("event_type") == "removed", F.col("from_version_id")).otherwise(F.col("version_id"))
+    texts = numbered_sections(every, "section_text").select(F.col("version_id").alias("holder"), "section_number", F.col("section_text").alias("detail"))
+    changes = changes.withColumn("holder", holder).join(texts, ["holder", "section_number"], "left").drop("holder")
     found = scan.section_findings(sections, ["section_id"])
     outliers = scope.scope_outliers(sections, scope_bills(spark, sf_dir))
     linked = entities.links(entities.section_mentions(sections, ["bill_id", "section_id"]))
@@ -45,8 +59,9 @@ def evidence(spark, sf_dir):
         "heads": heads,
         "findings": checkpointed(found),
         "outliers": checkpointed(outliers),
-        "events": checkpointed(changes.drop("old_sha", "new_sha")),
+        "events": checkpointed(changes),
         "links": checkpointed(linked),
+        "attributions": checkpointed(attributed(spark, sf_dir)),
         "documents": documents,
         "fiscal": checkpointed(_fiscal(spark, sf_dir)),
     }
@@ -56,26 +71,69 @@ def noteworthy(e):
     return packets.noteworthy_sections(e["sections"], e["findings"], e["outliers"], e["events"], e["links"])
 
 
-def packet_entries_of(spark, sf_dir, e):
+def named_correlations(spark, sf_dir, e):
+    """Organizations of bill texts matched to the suppliers' filings by their names."""
+    none = F.lit(None)
+    named = e["links"].select("entity_type", "normalized_name").distinct().select(
+        F.xxhash64("entity_type", "normalized_name").alias("entity_id"), "entity_type", F.col("normalized_name").alias("canonical_name"), "normalized_name",
+        none.cast("map<string,string>").alias("external_ids"), none.cast("array<string>").alias("aliases"),
+    )
+    filed = view(spark, sf_dir, FILED_SUPPLIERS).select(
+        "entity_id", F.lit("organization").alias("entity_type"), "canonical_name", F.lower("canonical_name").alias("normalized_name"),
+        none.cast("map<string,string>").alias("external_ids"), none.cast("array<string>").alias("aliases"),
+    )
+    pairs = correlation.entity_matches(named, filed)
+    left = named.select(F.col("entity_id").alias("left_id"), "normalized_name")
+    right = filed.select(F.col("entity_id").alias("right_id"), F.col("canonical_name").alias("matched_name"))
+    return pairs.join(left, "left_id").join(right, "right_id").select(
+        "normalized_name", F.col("right_id").alias("matched_id"), "matched_name", "match_basis", "evidence", "confidence"
+    )
+
+
+@stored
+def packet_entries_of(spark, sf_dir):
+    """The numbered entries of all packets, written once."""
+    e = evidence(spark, sf_dir)
     chosen = checkpointed(noteworthy(e))
-    places = ordered.positions(
+    places = checkpointed(ordered.positions(
         lineage.version_order(e["heads"]), ["bill_id"], ["sort_day", "version_id"], "place"
+    ))
+    later = e["events"].filter("event_type IN ('introduced', 'modified') AND from_version_id IS NOT NULL")
+    held = numbered_sections(corpus.sections(spark, sf_dir), "section_id").select(F.col("section_id").alias("event_id"), "version_id", "section_number")
+    dated = held.join(later.select("version_id", "section_number"), ["version_id", "section_number"]).join(places.select("version_id", "place"), "version_id")
+    attributions = e["attributions"].join(dated.drop("version_id"), "event_id").drop("event_id")
+    amendments = view(spark, sf_dir, corpus.AMENDMENTS).select(
+        "amendment_id", F.lit("hamdt").alias("amendment_type"), F.col("amendment_id").cast("string").alias("amendment_number"), F.lit(None).cast("string").alias("source_url")
     )
-    events = e["events"].withColumn("detail", F.lit(None).cast("string"))
-    correlations = view(spark, sf_dir, CORRELATED_SUPPLIERS)
+    correlations = checkpointed(named_correlations(spark, sf_dir, e))
     filings = view(spark, sf_dir, SUPPLIER_FILINGS)
-    return packets.numbered(
+    return checkpointed(packets.numbered(
         [
             packets.section_entries(chosen, e["heads"]),
             packets.finding_entries(chosen, e["findings"], e["heads"]),
             packets.scope_entries(chosen, e["outliers"], e["heads"]),
-            packets.lineage_entries(chosen, events, places),
+            packets.lineage_entries(chosen, e["events"], places),
+            packets.amendment_entries(chosen, attributions, amendments),
             packets.entity_entries(chosen, e["links"], e["heads"]),
             packets.correlation_entries(chosen, e["links"], correlations),
             packets.relationship_entries(chosen, e["links"], correlations, filings),
             packets.fiscal_entries(chosen, e["fiscal"], e["documents"]),
         ]
-    )
+    ))
+
+
+def packet_headers_of(spark, sf_dir):
+    e = evidence(spark, sf_dir)
+    return packets.headers(packet_entries_of(spark, sf_dir), packets.heads(e["sections"], e["heads"], corpus.bills(spark, sf_dir)))
+
+
+STEPS = """
+WITH o AS (SELECT o_custkey AS c, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1)
+SELECT c_nationkey AS run_id, c_custkey AS entity_id, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'fec' ELSE 'lda' END AS source_system,
+  CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN CASE WHEN c_acctbal > 5000 THEN CASE WHEN n > 0 THEN 'completed' ELSE 'failed' END ELSE 'skipped' END
+    ELSE CASE WHEN f > 0 THEN 'completed' ELSE 'no_match' END END AS status
+FROM customer LEFT JOIN o ON c = c_custkey WHERE c_mktsegment <> 'BUILDING'
+"""
 
 
 LATER = f"SELECT * FROM ({CHANGES}) AS c WHERE event_type IN ('introduced', 'modified') AND from_version_id IS NOT NULL"
@@ -91,6 +149,14 @@ def noteworthy_sections(spark, sf_dir):
     return noteworthy(evidence(spark, sf_dir)).select("bill_id", "section_id")
 
 
+PLACES = f"""SELECT version_id, version_code, row_number() OVER (PARTITION BY bill_id
+  ORDER BY CASE WHEN issued_on IS NULL THEN 1 ELSE 0 END, issued_on, version_id) AS place FROM ({corpus.VERSION_HEADS}) AS h"""
+EVENT_AMENDMENTS = f"""
+SELECT x.bill_id, s.section_number, place, x.amendment_id, x.confidence, x.basis FROM ({ATTRIBUTED}) AS x
+JOIN (SELECT arg_max(section_id, ordinal) AS section_id, section_number, version_id FROM ({corpus.SECTIONS}) AS ss GROUP BY section_number, version_id) AS s ON s.section_id = x.event_id
+JOIN ({CHANGES}) AS c ON c.version_id = s.version_id AND c.section_number = s.section_number AND event_type IN ('introduced', 'modified') AND from_version_id IS NOT NULL
+JOIN ({PLACES}) AS p ON p.version_id = s.version_id
+"""
 FISCAL_ALL = f"""
 SELECT bill_id, category, confidence FROM (SELECT bill_id, category, confidence FROM (
   {fiscal_sql(f'{FISCAL_BILLS} UNION ALL {FISCAL_DOCUMENTS}')}) AS own
@@ -102,6 +168,7 @@ SELECT section_id, 'S' AS prefix, count(*) AS entries FROM n GROUP BY 1
 UNION ALL SELECT section_id, 'D', count(*) FROM ({findings_sql(LATEST_SECTIONS)}) AS f GROUP BY 1
 UNION ALL SELECT section_id, 'Q', count(*) FROM ({SCOPED}) AS f GROUP BY 1
 UNION ALL SELECT n.section_id, 'L', count(*) FROM n JOIN ({CHANGES}) AS c USING (bill_id, section_number) WHERE event_type <> 'unchanged' GROUP BY 1
+UNION ALL SELECT n.section_id, 'A', count(*) FROM n JOIN ({EVENT_AMENDMENTS}) AS a USING (bill_id, section_number) GROUP BY 1
 UNION ALL SELECT section_id, 'E', count(*) FROM ({LINKS_SQL}) AS l GROUP BY 1
 UNION ALL SELECT section_id, 'C', count(*) FROM ({LINKS_SQL}) AS l JOIN ({CORRELATED_SUPPLIERS}) AS c USING (normalized_name) GROUP BY 1
 UNION ALL SELECT section_id, 'X', count(*) FROM ({LINKS_SQL}) AS l JOIN ({CORRELATED_SUPPLIERS}) AS c USING (normalized_name)
@@ -114,16 +181,47 @@ UNION ALL SELECT n.section_id, 'F', any_value(least(20, k)) FROM n
 @query("packet_numbering", f"SELECT section_id, prefix, entries, prefix || CAST(entries AS STRING) AS last_id FROM ({COUNTS}) AS c")
 def packet_numbering(spark, sf_dir):
     """Entries per section and kind, with the last evidence id given out."""
-    entries = packet_entries_of(spark, sf_dir, evidence(spark, sf_dir))
+    entries = packet_entries_of(spark, sf_dir)
     return entries.groupBy("section_id", "prefix").agg(
         F.count(F.lit(1)).alias("entries"), F.max_by("evidence_id", "place").alias("last_id")
     )
 
 
+LINKED_SUPPLIERS = f"SELECT l.*, c.matched_id, 'Supplier' || regexp_extract(c.normalized_name, '\\d+') || ' Holdings Company' AS matched_name FROM ({LINKS_SQL}) AS l JOIN ({CORRELATED_SUPPLIERS}) AS c USING (normalized_name)"
+PACKET_ROWS = f"""
+WITH n AS MATERIALIZED ({NOTEWORTHY}), texts AS (SELECT version_id, section_number, arg_max(section_text, ordinal) AS section_text FROM ({corpus.SECTIONS}) AS s GROUP BY ALL),
+links AS MATERIALIZED ({LINKED_SUPPLIERS}),
+fiscal AS (SELECT * FROM ({FISCAL_HASHED}) AS h QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY confidence DESC, evidence_hash) <= 20),
+rows AS (
+  SELECT section_id, 'S' AS prefix, 'section_text' AS kind, section_text AS evidence, 0.0::DOUBLE AS o1, '' AS o2, '' AS o3 FROM n
+  UNION ALL SELECT section_id, 'D', 'deterministic_finding', evidence, -severity, printf('%05d', rule_no) || printf('%09d', hit_no), '' FROM ({numbered_findings_sql(LATEST_SECTIONS)}) AS f
+  UNION ALL SELECT section_id, 'Q', 'scope_finding', 'Divergent terms: ' || divergent_terms || '.', 0, category, '' FROM ({SCOPED}) AS q
+  UNION ALL SELECT n.section_id, 'L', 'provision_lineage', t.section_text, place, event_type, '' FROM n JOIN ({CHANGES}) AS c USING (bill_id, section_number)
+    JOIN ({PLACES}) AS p ON p.version_id = c.version_id
+    LEFT JOIN texts t ON t.section_number = c.section_number AND t.version_id = CASE WHEN event_type = 'removed' THEN from_version_id ELSE c.version_id END
+    WHERE event_type <> 'unchanged'
+  UNION ALL SELECT n.section_id, 'A', 'candidate_amendment', basis, place, printf('%020d', round((1 - confidence) * 1e9)::BIGINT), printf('%020d', amendment_id) FROM n JOIN ({EVENT_AMENDMENTS}) AS a USING (bill_id, section_number)
+  UNION ALL SELECT section_id, 'E', link_type, evidence, 0, link_type || '|' || normalized_name, evidence FROM ({LINKS_SQL}) AS l
+  UNION ALL SELECT section_id, 'C', 'external_correlation', 'Canonical names normalize to the same value: ' || normalized_name || '.', 0, 'exact_name|' || normalized_name || '|' || matched_name, '' FROM links
+  UNION ALL SELECT section_id, 'X', 'external_relationship', relation_type, 0, normalized_name || '|' || source_system || '|' || relation_type || '|' || observed_on,
+    coalesce(r.source_url, '') || '|' || printf('%020d', relationship_id) FROM (SELECT DISTINCT section_id, normalized_name, matched_id FROM links) AS l JOIN ({SUPPLIER_FILINGS}) AS r ON r.entity_id = l.matched_id
+  UNION ALL SELECT n.section_id, 'F', 'bill_level_fiscal_context', evidence, -confidence, evidence_hash, '' FROM n JOIN fiscal USING (bill_id)
+)
+SELECT section_id, prefix || CAST(row_number() OVER (PARTITION BY section_id, prefix ORDER BY o1, o2, o3) AS STRING) AS evidence_id, kind, sha256(coalesce(evidence, '')) AS content FROM rows
+"""
+
+
+@query("packet_entries", PACKET_ROWS)
+def packet_entries(spark, sf_dir):
+    """Every entry of every packet with its evidence id and a hash of its evidence."""
+    rows = packet_entries_of(spark, sf_dir)
+    return rows.select("section_id", "evidence_id", "kind", F.sha2(F.coalesce("evidence", F.lit("")), 256).alias("content"))
+
+
 @query("packet_headers")
 def packet_headers(spark, sf_dir):
     """Hash, triggers, coverage and gaps of every packet."""
-    return packets.headers(packet_entries_of(spark, sf_dir, evidence(spark, sf_dir)))
+    return packet_headers_of(spark, sf_dir)
 
 
 COVERED = f"""
@@ -135,7 +233,7 @@ FROM ({COUNTS}) AS c GROUP BY section_id
 
 @query("packet_coverage", COVERED)
 def packet_coverage(spark, sf_dir):
-    rows = packets.headers(packet_entries_of(spark, sf_dir, evidence(spark, sf_dir)))
+    rows = packet_headers_of(spark, sf_dir)
     return rows.select(
         "section_id", "entry_count", "has_scope_analysis", "has_lineage", "has_entity_context",
         "has_external_context", "has_fiscal_context",
@@ -191,9 +289,8 @@ def _report_findings(spark, sf_dir, e):
     where = e["sections"].select("section_id", "section_number", "version_id", "bill_id").join(
         e["heads"].select("version_id", "source_url"), "version_id"
     )
-    correlated = e["links"].join(
-        view(spark, sf_dir, CORRELATED_SUPPLIERS).drop("evidence", "confidence"), "normalized_name"
-    ).select("bill_id", F.lit(0.95).alias("confidence"), "evidence")
+    matched = named_correlations(spark, sf_dir, e).select("normalized_name", "confidence")
+    correlated = e["links"].join(matched, "normalized_name").select("bill_id", matched["confidence"], "evidence")
     fiscal = e["fiscal"].join(e["documents"].select("document_id", "source_url"), "document_id", "left")
     events = e["events"].join(e["heads"].select("version_id", "source_url"), "version_id")
     return report.report_findings(
@@ -221,6 +318,25 @@ def report_counts(spark, sf_dir):
     return rows.groupBy("bill_id", "branch", "category").agg(F.count(F.lit(1)).alias("findings"))
 
 
+@query(
+    "report_parts",
+    f"""
+    SELECT bill_id, 'fiscal_analysis' AS part, category AS name, count(*) AS n FROM ({FISCAL_ALL}) AS f GROUP BY ALL
+    UNION ALL SELECT bill_id, 'lineage', 'event_count', count(*) FROM ({CHANGES}) AS c WHERE event_type <> 'unchanged' GROUP BY ALL
+    UNION ALL SELECT bill_id, 'lineage', 'later_change_count', count(*) FROM ({LATER}) AS x GROUP BY ALL
+    UNION ALL SELECT bill_id, 'scope_analysis', 'finding_count', count(*) FROM ({SCOPED}) AS s GROUP BY ALL
+    UNION ALL SELECT bill_id, 'supporting_documents', document_type, count(*) FROM ({corpus.DOCUMENTS}) AS d GROUP BY ALL
+    UNION ALL SELECT bill_id, 'evidence_packets', 'packet_count', count(*) FROM ({NOTEWORTHY}) AS n GROUP BY ALL
+    UNION ALL SELECT run_id, 'research', status, count(*) FROM ({STEPS}) AS r GROUP BY ALL
+    """,
+)
+def report_parts(spark, sf_dir):
+    """The counted parts of every report."""
+    e = evidence(spark, sf_dir)
+    steps = research(spark, sf_dir).select(F.col("run_id").alias("bill_id"), "status")
+    return report.report_parts(e["fiscal"], e["events"], e["outliers"], e["documents"], packet_headers_of(spark, sf_dir), steps)
+
+
 @query("reports")
 def reports(spark, sf_dir):
     """One JSON document per bill: identity, metrics, counts per category and packets."""
@@ -231,7 +347,7 @@ def reports(spark, sf_dir):
         bills, e["heads"], e["sections"], e["findings"].join(e["sections"].select("section_id", "bill_id"), "section_id"),
         view(spark, sf_dir, corpus.SPONSORS), view(spark, sf_dir, corpus.AMENDMENTS), e["links"],
     )
-    packed = packets.headers(packet_entries_of(spark, sf_dir, e))
+    packed = packet_headers_of(spark, sf_dir)
     latest = view(spark, sf_dir, corpus.LATEST)
     rows = report.report_headers(bills, latest, measured, found, packed, e["documents"])
     return tables.as_json(rows, ["bill_id"], "report")
@@ -386,7 +502,7 @@ FROM orders JOIN customer ON c_custkey = o_custkey
 RECEIPT_ROWS = """
 SELECT 'C' || CAST(o_custkey % 20 AS STRING) AS committee_id, o_orderkey AS seq,
   CASE WHEN o_orderpriority = '1-URGENT' THEN substr(sha256('C' || CAST(o_custkey % 20 AS STRING) || ':' || c_name || ':' || CAST(CAST(o_orderdate AS DATE) AS STRING)
-      || ':' || CAST(o_orderkey AS STRING)), 1, 24) ELSE 'R' || CAST(o_orderkey % 9000 AS STRING) END AS record_id,
+      || ':' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) || '.0:' || CAST(o_orderkey AS STRING)), 1, 24) ELSE 'R' || CAST(o_orderkey % 9000 AS STRING) END AS record_id,
   CASE WHEN c_nationkey % 2 = 0 THEN 'person' ELSE 'organization' END AS contributor_type, lower(c_name) AS contributor_name,
   floor(o_totalprice) AS amount, CAST(CAST(o_orderdate AS DATE) AS STRING) AS observed_on
 FROM orders JOIN customer ON c_custkey = o_custkey
@@ -471,15 +587,6 @@ LINKED = """
 SELECT c_nationkey AS run_id, c_nationkey AS bill_id, c_custkey AS entity_id, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'person' ELSE 'organization' END AS entity_type,
   lower(c_name) AS normalized_name, CASE WHEN c_acctbal > 5000 THEN 'P' || CAST(c_custkey AS STRING) END AS fec_candidate_id, c_mktsegment <> 'BUILDING' AS named FROM customer
 """
-STEPS = """
-WITH o AS (SELECT o_custkey AS c, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1)
-SELECT c_nationkey AS run_id, c_custkey AS entity_id, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'fec' ELSE 'lda' END AS source_system,
-  CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN CASE WHEN c_acctbal > 5000 THEN CASE WHEN n > 0 THEN 'completed' ELSE 'failed' END ELSE 'skipped' END
-    ELSE CASE WHEN f > 0 THEN 'completed' ELSE 'no_match' END END AS status
-FROM customer LEFT JOIN o ON c = c_custkey WHERE c_mktsegment <> 'BUILDING'
-"""
-
-
 def research(spark, sf_dir):
     raw = view(spark, sf_dir, FILINGS)
     filed = external.exact_client(external.filings(raw).join(raw.select("seq", "asked_client"), "seq"))

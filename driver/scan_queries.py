@@ -45,6 +45,22 @@ def findings_sql(source: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+def numbered_findings_sql(source: str) -> str:
+    """Findings with their rule's place and the place of the hit in the text."""
+    keys = "bill_id, version_id, section_id"
+    parts = [
+        f"SELECT section_id, kind, severity, evidence, {k} AS rule_no, 0 AS hit_no FROM ({first_hit_sql(source, keys, 'section_text', rule, 180, 260)}) AS r{k}(bill_id, version_id, section_id, kind, severity, detail, evidence)"
+        for k, rule in enumerate(R.SECTION_RULES)
+    ]
+    parts.append(f"SELECT section_id, 'money', 0.5, {excerpt('txt', 'start0', 'length(hit)', 140, 180)}, 100, i FROM ({matches(source, keys, 'section_text', RULE_MONEY)}) AS m")
+    parts.append(
+        f"""SELECT section_id, 'cross_reference_density', 0.45, array_to_string(d, '; '), 200, 0
+        FROM (SELECT section_id, {distinct_in_order('refs')} AS d FROM (
+          SELECT *, regexp_extract_all(section_text, {quoted('(?i)' + R.REFERENCE_RULE.pattern)}) AS refs FROM ({source}) AS s) AS r) AS q WHERE len(d) >= 2"""
+    )
+    return " UNION ALL ".join(parts)
+
+
 LATEST_SECTIONS = f"""
 SELECT * FROM ({corpus.SECTIONS}) AS sec WHERE version_id IN (SELECT version_id FROM ({corpus.LATEST}) AS l)
 """
@@ -292,13 +308,13 @@ def fiscal_comparison(spark, sf_dir):
 
 
 FISCAL_HASHED = f"""
-SELECT bill_id, document_id, source_kind, category, confidence, sha256(concat_ws('|', category, source_kind, coalesce(CAST(document_id AS STRING), 'None'), evidence)) AS evidence_hash
+SELECT bill_id, document_id, source_kind, category, confidence, evidence, sha256(concat_ws('|', category, source_kind, coalesce(CAST(document_id AS STRING), 'None'), evidence)) AS evidence_hash
 FROM ({fiscal_sql(f'{FISCAL_BILLS} UNION ALL {FISCAL_DOCUMENTS}')}) AS own
-UNION ALL SELECT bill_id, document_id, 'comparison', category, confidence, sha256(concat_ws('|', category, 'comparison', coalesce(CAST(document_id AS STRING), 'None'), evidence)) FROM ({COMPARED}) AS cmp
+UNION ALL SELECT bill_id, document_id, 'comparison', category, confidence, evidence, sha256(concat_ws('|', category, 'comparison', coalesce(CAST(document_id AS STRING), 'None'), evidence)) FROM ({COMPARED}) AS cmp
 """
 
 
-@query("fiscal_hashes", FISCAL_HASHED)
+@query("fiscal_hashes", f"SELECT bill_id, document_id, source_kind, category, confidence, evidence_hash FROM ({FISCAL_HASHED}) AS h")
 def fiscal_hashes(spark, sf_dir):
     """The hash by which each fiscal finding is known."""
     return _fiscal(spark, sf_dir).select("bill_id", "document_id", "source_kind", "category", "confidence", "evidence_hash")

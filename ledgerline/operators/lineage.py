@@ -204,12 +204,13 @@ def amendment_text(description: Column, latest_action: Column, raw: Column) -> C
     return F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts])
 
 
-def attribute(events: DataFrame, amendments: DataFrame, top: int = 10) -> DataFrame:
+def attribute(events: DataFrame, amendments: DataFrame, top: int | None = 10) -> DataFrame:
     """Candidate amendments of introduced and modified provisions.
 
     events: event_id, bill_id, from_day, to_day, new_text.
     amendments: amendment_id, bill_id, amendment_day, search_text.
-    Overlap is the share of the smaller token set. Events and amendments meet on
+    `top` candidates of an event are kept, all of them with None. Overlap is the
+    share of the smaller token set. Events and amendments meet on
     shared tokens, so pairs without one are never built; counting them combines
     on the map side.
     """
@@ -247,6 +248,8 @@ def attribute(events: DataFrame, amendments: DataFrame, top: int = 10) -> DataFr
         )
         .withColumn("confidence", F.round("confidence", 9))
     )
+    if top is None:
+        return found
     return ordered.first_rows(
         found, ["bill_id", "event_id"], [F.col("confidence").desc(), F.col("amendment_id")], top
     )

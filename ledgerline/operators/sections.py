@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import rules as R
 from ledgerline.functions import text as T
 from ledgerline.operators import ordered
+from ledgerline.session import checkpointed
 
 
 def split_sections(versions: DataFrame, text: str = "text") -> DataFrame:
@@ -59,12 +60,15 @@ def section_label(item_number: Column, heading: Column) -> Column:
     return F.when(number.rlike(r"(?i)^(?:[A-Z]|[IVXLCDM]+)$"), named)
 
 
-def _opens_item(line: Column) -> Column:
-    return (
-        line.rlike(R.AGENDA_ITEM)
-        | line.rlike(R.AGENDA_NUMBERED_ACTION)
-        | (line.rlike(R.AGENDA_ACTION) & (F.length(line) <= 1200))
-    )
+#: An unnumbered line longer than this is prose, though it begins like an action.
+LONGEST_ACTION = 1200
+
+
+def _opens_item(line: Column, longest_action: int | None) -> Column:
+    action = line.rlike(R.AGENDA_ACTION)
+    if longest_action is not None:
+        action = action & (F.length(line) <= longest_action)
+    return line.rlike(R.AGENDA_ITEM) | line.rlike(R.AGENDA_NUMBERED_ACTION) | action
 
 
 def agenda_items(
@@ -75,11 +79,13 @@ def agenda_items(
     max_items: int | None = None,
     max_heading: int | None = None,
     max_text: int | None = None,
+    longest_action: int | None = LONGEST_ACTION,
 ) -> DataFrame:
     """Agenda items of each document, in order, with the section they stand in.
 
     The bounds cut an item's lines, a document's items, headings and item texts
-    for listings; by default everything is kept.
+    for listings; by default everything is kept. An unnumbered line opens an item
+    only up to `longest_action` characters (None: whatever its length).
 
     An opening line starts an item, a contact line ends it. Both become control
     characters in the line list, so that two splits of the joined lines give the
@@ -92,7 +98,7 @@ def agenda_items(
     marked = F.transform(
         T.lines(clean),
         lambda line: F.when(line.rlike(R.CONTACT_LINE), F.lit(closed))
-        .when(_opens_item(line), F.concat(F.lit(opened), line))
+        .when(_opens_item(line, longest_action), F.concat(F.lit(opened), line))
         .otherwise(line),
     )
     segments = F.split(F.array_join(marked, "\n"), opened, -1)
@@ -175,6 +181,8 @@ def headings_in_text(documents: DataFrame, keys: list[str], text: str = "text")
         .withColumn("subject", T.heading_words(F.when(is_item, heading).otherwise(F.col("line"))))
         .filter(is_item | F.col("label").isNotNull() | F.col("line").rlike(R.AGENDA_ACTION))
     )
+    # A few lines of each text: the text itself is read once.
+    marked = checkpointed(marked.select(*keys, "line_no", "label", "subject"))
     carried = ordered.carry_forward(marked, keys, ["line_no"], "label", "section")
     return ordered.positions(
         carried.filter(F.col("label").isNull()), [*keys, "subject"], ["line_no"], "occurrence"
@@ -189,21 +197,18 @@ def recover_sections(
     before it."""
     subject = T.heading_words(F.col("heading"))
     label = section_label(F.col("item_number"), F.col("heading"))
-    named = items.withColumn("own_label", label).withColumn("subject", subject)
+    named = checkpointed(items.select(*keys, "ordinal", "agenda_section", label.alias("own_label"), subject.alias("subject")))
     bodies = ordered.positions(
         named.filter(F.col("own_label").isNull()), [*keys, "subject"], ["ordinal"], "occurrence"
     )
     found = headings_in_text(documents, keys, text).withColumnRenamed("section", "found")
-    known = bodies.join(found, [*keys, "subject", "occurrence"], "left").withColumn(
-        "anchor", F.coalesce("agenda_section", "found")
-    )
-    heads = named.filter(F.col("own_label").isNotNull()).withColumn("anchor", F.col("own_label"))
-    both = known.drop("found", "occurrence").unionByName(heads)
-    return (
-        ordered.carry_forward(both, keys, ["ordinal"], "anchor", "recovered_section")
-        .withColumn("is_header", F.col("own_label").isNotNull())
-        .drop("anchor", "subject", "own_label")
-    )
+    anchor = F.coalesce("agenda_section", "found").alias("anchor")
+    known = bodies.join(found, [*keys, "subject", "occurrence"], "left").select(*keys, "ordinal", "own_label", anchor)
+    heads = named.filter(F.col("own_label").isNotNull()).select(*keys, "ordinal", "own_label", F.col("own_label").alias("anchor"))
+    placed = ordered.carry_forward(known.unionByName(heads), keys, ["ordinal"], "anchor", "recovered_section")
+    flags = placed.select(*keys, "ordinal", "recovered_section", F.col("own_label").isNotNull().alias("is_header"))
+    # Windows move numbers and headings; the items' texts are joined last.
+    return items.join(flags, [*keys, "ordinal"]).select(*items.columns, "recovered_section", "is_header")
 
 
 def latest_duplicates(sections: DataFrame, keys: list[str]) -> DataFrame:

@@ -119,15 +119,22 @@ def lineage_entries(sections: DataFrame, events: DataFrame, places: DataFrame) -
 
 
 def amendment_entries(sections: DataFrame, attributions: DataFrame, amendments: DataFrame) -> DataFrame:
+    """Candidate amendments of the events of a section's number, event by event, the likeliest first.
+
+    attributions: bill_id, section_number, amendment_id, confidence, basis,
+    token_overlap, and place, the number of the event's version, where known.
+    """
+    place = F.col("place") if "place" in attributions.columns else F.lit(0)
     rows = sections.select("bill_id", "version_id", "section_id", "section_number").join(
-        attributions, ["bill_id", "section_number"]
+        attributions.withColumn("_at", place), ["bill_id", "section_number"]
     ).join(amendments.select("amendment_id", "amendment_type", "amendment_number", "source_url"), "amendment_id")
+    doubt = F.round((1 - F.col("confidence")) * 1e9).cast("long")
     return _entry(
         rows, "A", "candidate_amendment",
         F.concat(F.lit("Candidate amendment association: "), F.upper("amendment_type"), F.lit(" "), "amendment_number", F.lit(".")),
         F.col("basis"), F.col("source_url"),
         {"basis": F.col("basis"), "confidence": F.col("confidence"), "token_overlap": F.col("token_overlap")},
-        [-F.col("confidence"), _padded(F.col("amendment_id"))],
+        [F.col("_at"), _padded(doubt), _padded(F.col("amendment_id"))],
     )
 
 
@@ -168,19 +175,22 @@ def relationship_entries(
         F.concat(F.lit("External source records relationship type "), "relation_type", F.lit(".")),
         F.col("relation_type"), F.col("source_url"),
         {"source_system": F.col("source_system"), "observed_on": F.col("observed_on")},
-        [F.xxhash64("entity_id", "relationship_id"), F.concat_ws("|", "source_system", "relation_type", "observed_on"), F.coalesce("source_url", F.lit(""))],
+        [F.lit(0), F.concat_ws("|", "normalized_name", "source_system", "relation_type", "observed_on"), F.concat_ws("|", F.coalesce("source_url", F.lit("")), _padded(F.col("relationship_id")))],
     )
 
 
-def fiscal_context(findings: DataFrame, top: int = 20) -> DataFrame:
-    """The `top` fiscal findings of each bill: the surest first, then by hash. A packet shows that many, whatever the bill has."""
-    return ordered.first_rows(
-        findings.select("bill_id", "document_id", "category", "confidence", "statement", "evidence", "source_kind", "evidence_hash"),
-        ["bill_id"], [F.col("confidence").desc(), F.col("evidence_hash")], top,
-    )
+def fiscal_context(findings: DataFrame, top: int | None = 20) -> DataFrame:
+    """The `top` fiscal findings of each bill, the surest first, then by hash; all of them with None.
+
+    A packet shows that many, whatever the bill has.
+    """
+    rows = findings.select("bill_id", "document_id", "category", "confidence", "statement", "evidence", "source_kind", "evidence_hash")
+    if top is None:
+        return rows
+    return ordered.first_rows(rows, ["bill_id"], [F.col("confidence").desc(), F.col("evidence_hash")], top)
 
 
-def fiscal_entries(sections: DataFrame, findings: DataFrame, documents: DataFrame, top: int = 20) -> DataFrame:
+def fiscal_entries(sections: DataFrame, findings: DataFrame, documents: DataFrame, top: int | None = 20) -> DataFrame:
     """The `top` fiscal findings of a bill, shown with each of its sections."""
     best = fiscal_context(findings, top).join(documents.select("document_id", "source_url"), "document_id", "left")
     rows = sections.select("bill_id", "version_id", "section_id").join(best, "bill_id")
@@ -220,8 +230,25 @@ def _parts(digest: Column) -> list[Column]:
     return [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
 
 
-def headers(entries: DataFrame) -> DataFrame:
-    """One row per packet: hash, triggers, coverage and gaps."""
+#: What a packet says of its bill, version and section; ids are no content.
+HEAD = ["jurisdiction", "session_code", "bill_type", "bill_number", "title", "version_code", "issued_on", "version_url", "section_number", "heading"]
+
+
+def heads(sections: DataFrame, versions: DataFrame, bills: DataFrame) -> DataFrame:
+    """(section_id, head): the bill, version and section of a packet as one hash."""
+    named = sections.select("section_id", "bill_id", "version_id", "section_number", "heading")
+    rows = named.join(versions.select("version_id", "version_code", "issued_on", F.col("source_url").alias("version_url")), "version_id")
+    rows = rows.join(bills.select("bill_id", "jurisdiction", "session_code", "bill_type", "bill_number", "title"), "bill_id")
+    content = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(HEAD)]), {"ignoreNullFields": "false"})
+    return rows.select("section_id", F.sha2(content, 256).alias("head"))
+
+
+def headers(entries: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One row per packet: hash, triggers, coverage and gaps.
+
+    The hash covers the entries and, where `known` (`heads`) is given, the bill,
+    version and section.
+    """
     digest = entries.withColumn("_digest", _entry_hash())
     for i, part in enumerate(_parts(F.col("_digest"))):
         digest = digest.withColumn(f"_p{i}", part)
@@ -263,11 +290,15 @@ def headers(entries: DataFrame) -> DataFrame:
     gaps = F.when(F.col("_sourced"), F.col("_gaps")).otherwise(
         F.array_append("_gaps", F.lit("section_source_url"))
     )
-    sums = F.concat_ws(":", "entry_count", *[F.col(f"_s{i}").cast("string") for i in range(4)])
+    parts = [F.col(f"_s{i}").cast("string") for i in range(4)]
+    if known is not None:
+        grouped = grouped.join(known, "section_id")
+        parts.append(F.col("head"))
+    sums = F.concat_ws(":", "entry_count", *parts)
     return (
         grouped.withColumn("unresolved_gaps", F.array_sort(gaps))
         .withColumn("packet_hash", F.sha2(sums, 256))
-        .drop("_gaps", "_sourced", *[f"_s{i}" for i in range(4)])
+        .drop("_gaps", "_sourced", "head", *[f"_s{i}" for i in range(4)])
     )
 
 
