@@ -1,8 +1,9 @@
-"""Removal of repeated byte strings by blockwise suffix sorting over a sampled cover.
+"""Removal of repeated byte strings in buckets of a cover sampled by content.
 
 A byte goes if it lies in a 100-byte string that also starts earlier (smaller
-document, or earlier in the same one). Suffixes need sorting only as far as 100
-bytes, and only those whose bucket holds a second one:
+document, or earlier in the same one). Only windows of 100 bytes whose bucket
+holds a second one are looked at. Windows are grouped by hashes of their bytes;
+nothing depends on the order of suffixes, so none are ranked:
 
 1. Cover sample. Each 100-byte window picks the least hash of the 24-byte strings
    in it. Like a difference cover this gives any two equal windows sample points
@@ -10,13 +11,14 @@ bytes, and only those whose bucket holds a second one:
    positions; a cover by residues needs 12 % at this length.
 2. Buckets. A sample's 24 bytes name the bucket of all windows that pick it. A
    bucket of one sample holds no repeated window and is never sorted.
-3. Ranks. The samples of a bucket are ranked by their whole context (all bytes of
-   the windows that picked them). Equal contexts are long ties: they are settled
-   by rank alone, the earliest occurrence stays, the others go as a whole.
-4. Blocks. The earliest context of each rank is left. Buckets with several ranks
-   are dealt out, and a task sorts the windows of a few buckets at a time, in
-   memory bounded by a block; in each run of equal windows the first one stays.
-   Buckets of very many contexts are sorted window by window over the cluster.
+3. Contexts. A sample's context is all bytes of the windows that picked it. Equal
+   contexts of a bucket are long ties: the earliest occurrence stays, the others
+   go as a whole.
+4. Blocks. The earliest one of each context is left. Buckets with several
+   contexts are dealt out, and a task sorts the window hashes of a few buckets at
+   a time, in memory bounded by a block; in each run of equal windows the first
+   one stays. Buckets of very many contexts are grouped window by window over the
+   cluster. Wherever windows are equated, bucket and window hash both agree.
 
 Texts move twice: to cut out the contexts of step 4 and to remove what was found.
 """
@@ -203,10 +205,11 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     wanted = tables.save("wanted", wanted.groupBy("doc", "text_hash").agg(F.collect_list("w").alias("wanted")))
     cuts = tables.save("cuts", _cut(texts.join(wanted, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"]).select("doc", "text_hash", "text", "wanted")))
     blocks = tables.save("blocks", _sort_blocks(cuts.where("window is null").select("bucket", "doc", "text_hash", "start", "cut")))
-    windows = cuts.where("window is not null").select("window", "doc", "text_hash", "start")
+    # Equal windows lie in one bucket, so two independent hashes have to agree.
+    windows = cuts.where("window is not null").select("bucket", "window", "doc", "text_hash", "start")
     place = F.struct("doc", "text_hash", "start")
-    leaders = tables.save("leaders", windows.groupBy("window").agg(F.min(place).alias("leader"), F.count("*").alias("c")).where("c > 1").select("window", "leader"))
-    crowded = windows.join(leaders, "window").where(place != F.col("leader")).select("doc", "text_hash", F.col("start").alias("first"), F.col("start").alias("last"))
+    leaders = tables.save("leaders", windows.groupBy("bucket", "window").agg(F.min(place).alias("leader"), F.count("*").alias("c")).where("c > 1").select("bucket", "window", "leader"))
+    crowded = windows.join(leaders, ["bucket", "window"]).where(place != F.col("leader")).select("doc", "text_hash", F.col("start").alias("first"), F.col("start").alias("last"))
 
     runs = ties.union(blocks).union(crowded).select("doc", "text_hash", F.shiftleft("first", 32).bitwiseOR(F.col("last")).alias("run"))
     runs = tables.save("runs", runs.groupBy("doc", "text_hash").agg(F.collect_list("run").alias("runs")))
