@@ -76,7 +76,8 @@ class Pair:
 
         self.a = Tokenizer.from_str(self.bpe)
         self.a.encode_special_tokens = True
-        self.find, self.known, self.known_size = regex.compile(self.pattern).findall, {}, 0
+        self.find = regex.compile(self.pattern).findall
+        self._forget()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=self.pieces)
         to_byte = byte_level()
         vocabulary = json.loads(self.bpe)["model"]["vocab"]
@@ -90,25 +91,67 @@ class Pair:
         self.a_size, self.b_size = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
         return self
 
-    def encode_a(self, texts: list[str]) -> list[list[int]]:
-        """Ids of side A: a pre-token is encoded when it is first met, and then known."""
-        words = [self.find(t) for t in texts]
-        new = list(set().union(*words).difference(self.known))
-        if self.known_size > KNOWN:
-            self.known, self.known_size = {}, 0
-            new = list(set().union(*words))
-        self.known.update(zip(new, (e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False))))
-        self.known_size += sum(64 + len(w) for w in new)
-        return [list(chain.from_iterable(map(self.known.__getitem__, found))) for found in words]
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both sides; none where either side's bytes are not the text's."""
-        found = []
-        for text, a, b in zip(texts, self.encode_a([" " + t for t in texts]), self.b.encode(texts, num_threads=1)):
-            want = (" " + text).encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
-            found.append((a, b) if same else ([], []))
-        return found
+    def _forget(self) -> None:
+        """Starts the list of known pre-tokens anew: their numbers, and the ids of each in one array."""
+        self.numbers, self.characters = {}, 0
+        self.ids, self.stop = _Growing(), _Growing()
+
+    def _learn(self, new: list[str]) -> None:
+        found = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        for word, ids in zip(new, found):
+            if b"".join(map(self.a_bytes.__getitem__, ids)) != word.encode():
+                raise ValueError(f"side A changes the bytes of {word!r}")
+        before = len(self.numbers)
+        self.numbers.update(zip(new, range(before, before + len(new))))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.stop.add(len(self.ids) + np.cumsum(sizes))
+        self.ids.add(np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())))
+        self.characters += sum(64 + len(w) for w in new)
+
+    def encode_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of side A, text after text, and how many each text has: a pre-token is encoded when it is first met, and then known."""
+        if self.characters > KNOWN:
+            self._forget()
+        found = [self.find(t) for t in texts]
+        if any(sum(map(len, words)) != len(t) for words, t in zip(found, texts)):
+            raise ValueError("the pattern leaves out a part of a text")
+        self._learn(list(set().union(*found).difference(self.numbers)))
+        words = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
+        stop = self.stop.held()
+        size = np.diff(stop, prepend=0)
+        counts = size[words]
+        ends = np.cumsum(counts)
+        ids = self.ids.held()[np.repeat(stop[words] - ends, counts) + np.arange(int(counts.sum()))]
+        return ids, np.diff(np.r_[0, ends][np.cumsum([0, *map(len, found)])])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both sides, text after text, and how many of each side a text has; none where either side's bytes are not the text's."""
+        spaced = [" " + t if t else "" for t in texts]
+        a, n_a = self.encode_a(spaced)
+        b = [ids if b"".join(map(self.b_bytes.__getitem__, ids)) == t.encode() else [] for t, ids in zip(spaced, self.b.encode(texts, num_threads=1))]
+        n_b = np.fromiter(map(len, b), np.int64, len(b))
+        a, n_a = a[np.repeat(n_b > 0, n_a)], np.where(n_b > 0, n_a, 0)
+        return a, n_a, np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum())), n_b
+
+
+class _Growing:
+    """Numbers, one after the other, in an array that doubles."""
+
+    def __init__(self) -> None:
+        self.data, self.used = np.zeros(1 << 16, np.int64), 0
+
+    def __len__(self) -> int:
+        return self.used
+
+    def add(self, more: np.ndarray) -> None:
+        need = self.used + len(more)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data[: self.used], np.zeros(max(need, 2 * len(self.data)) - self.used, np.int64)])
+        self.data[self.used : need] = more
+        self.used = need
+
+    def held(self) -> np.ndarray:
+        return self.data[: self.used]
 
 
 def coalesce(start: np.ndarray, end: np.ndarray, side: np.ndarray) -> np.ndarray:
@@ -154,10 +197,8 @@ class _Aligned:
     """Counts, digests and distinct pairs (with their number of links) of some documents."""
 
     def __init__(self, pair: Pair, texts: list[str]):
-        found = pair.encode(texts)
         n = len(texts)
-        self.n_a, self.n_b = (np.array([len(f[k]) for f in found], np.int64) for k in (0, 1))
-        a, b = (np.array([i for f in found for i in f[k]], np.int64) for k in (0, 1))
+        a, self.n_a, b, self.n_b = pair.encode(texts)
         doc_a, doc_b = np.repeat(np.arange(n), self.n_a), np.repeat(np.arange(n), self.n_b)
         # Both sides hold the same bytes of every document, so places in all texts together agree.
         a_end, b_end = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])

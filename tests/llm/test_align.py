@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -79,7 +80,7 @@ def test_whole_long_text_missing_and_repeated_ids(spark):
     assert got[0] == got[1] and got[0][5] >= 2 and got[2] == (True, 0, 0, 0, 0, 0, 0, "")
 
 
-def test_known_words_equal_the_library_on_whole_texts(spark):
+def test_known_words_equal_the_library_on_whole_texts(spark, monkeypatch):
     draw = random.Random(12)
     signs = "ab é漢🙂1² .,'!\t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2028\u3000\u200b_-İʼ"
     given = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
@@ -87,8 +88,13 @@ def test_known_words_equal_the_library_on_whole_texts(spark):
     given = [" " + t for t in given if t]
     pair = align.Pair(*PATHS).load()
     want = [e.ids for e in pair.a.encode_batch(given, add_special_tokens=False)]
-    for size in (7, len(given)):
-        assert [ids for k in range(0, len(given), size) for ids in pair.encode_a(given[k : k + size])] == want
+    for size, known in ((7, align.KNOWN), (len(given), align.KNOWN), (50, 1000)):
+        monkeypatch.setattr(align, "KNOWN", known)
+        got = []
+        for k in range(0, len(given), size):
+            ids, counts = pair.encode_a(given[k : k + size])
+            got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == want
 
 
 def test_no_rows(spark):
