@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from driver import corpus
-from driver.base import query, stored, table, texts, view
+from driver.base import ORACLES, query, stored, table, texts, view
 from driver.sqltext import distinct_in_order, quoted
 from ledgerline.functions import rules as R
 from ledgerline.functions import text as T
@@ -175,15 +175,65 @@ def civic_organizations(spark, sf_dir):
     return linked.select("document_id", "name", "item_ordinal")
 
 
-@query("civic_view")
-def civic_view(spark, sf_dir):
-    """Everything known about a record in one row."""
+@stored
+def record_view(spark, sf_dir):
     agenda = checkpointed(agendas(spark, sf_dir))
     rows = checkpointed(S.agenda_items(agenda, KEY))
     found = civic.signal_findings(agenda, rows, KEY)
     named = civic.organization_links(entities.civic_mentions(agenda, KEY), rows, KEY)
     heads = view(spark, sf_dir, CIVIC_HEADS).select("document_id", "source_key", "title")
-    return civic.analysis_view(heads, rows, found, named)
+    revisions = agenda.select(
+        "document_id", F.col("document_id").alias("revision_id"), F.sha2("text", 256).alias("sha256"), F.lit("2024-01-01").alias("observed_at"),
+        F.when(F.col("document_id") % 3 == 0, civic.ANALYZER_VERSION).otherwise("1").alias("analyzer_version"),
+    )
+    features = view(spark, sf_dir, FEATURES).withColumn("attributes", facts.attributes(F.col("attributes_json")))
+    known = facts.facts(features, ["feature_id"]).withColumnRenamed("feature_id", "document_id")
+    return checkpointed(civic.analysis_view(heads, rows, found, named, revisions, known))
+
+
+@query("civic_view")
+def civic_view(spark, sf_dir):
+    """Everything known about a record in one row."""
+    return record_view(spark, sf_dir)
+
+
+FACTS_SQL = """
+SELECT p_partkey AS document_id, unnest([
+  {'field': 'ProjectName', 'value': p_name}, {'field': 'Status', 'value': p_type}, {'field': 'council_note', 'value': p_brand},
+  {'field': 'PZDate', 'value': CAST(1700000000000 + p_partkey * 86400000 AS STRING)},
+  {'field': 'CouncilDate', 'value': CASE WHEN p_size > 25 THEN '2024-02-1' || CAST(p_size % 10 AS STRING) ELSE 'pending' END}]) AS u FROM part
+"""
+
+
+def civic_view_sql() -> str:
+    organizations = ORACLES["civic_organizations"]
+    return f"""
+    WITH t AS ({TEXTS_SQL}), h AS (SELECT document_id, source_key FROM ({CIVIC_HEADS}) AS x)
+    SELECT document_id, 'item' AS part, ordinal AS place, heading AS name, item_text AS value FROM ({ITEMS_SQL}) AS i JOIN h USING (document_id)
+    UNION ALL SELECT document_id, 'finding', item_ordinal, category || ':' || matched_term, evidence FROM ({SIGNALS_SQL}) AS s JOIN h USING (document_id)
+    UNION ALL SELECT document_id, 'organization', item_ordinal, name, NULL FROM ({organizations}) AS o JOIN h USING (document_id)
+    UNION ALL SELECT document_id, 'revision', NULL, sha256(text), CASE WHEN document_id % 3 = 0 THEN 'true' ELSE 'false' END FROM t JOIN h USING (document_id)
+    UNION ALL SELECT document_id, 'fact', NULL, u.field, u.value FROM ({FACTS_SQL}) AS f JOIN h USING (document_id)
+    """
+
+
+@query("civic_view_rows", civic_view_sql())
+def civic_view_rows(spark, sf_dir):
+    """The view taken apart again: what each record's row holds, one row per entry."""
+    rows = record_view(spark, sf_dir)
+    none = F.lit(None)
+    held = lambda column: rows.select("document_id", F.explode(column).alias("e"))
+    parts = [
+        held("agenda_items").select("document_id", F.lit("item").alias("part"), F.col("e.ordinal").cast("long").alias("place"), F.col("e.heading").alias("name"), F.col("e.item_text").alias("value")),
+        held("findings").select("document_id", F.lit("finding"), F.col("e.item_ordinal").cast("long"), F.concat_ws(":", "e.category", "e.matched_term"), "e.evidence"),
+        held("organizations").select("document_id", F.lit("organization"), F.col("e.item_ordinal").cast("long"), "e.name", none.cast("string")),
+        rows.filter("revision IS NOT NULL").select("document_id", F.lit("revision"), none.cast("long"), "revision.sha256", F.col("analysis_ready").cast("string")),
+        held("structured_facts").select("document_id", F.lit("fact"), none.cast("long"), "e.field", "e.value"),
+    ]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.union(part)
+    return union
 
 
 REVISIONS = """

@@ -240,6 +240,31 @@ def packet_coverage(spark, sf_dir):
     )
 
 
+TRIGGERS = f"""
+WITH n AS MATERIALIZED ({NOTEWORTHY}), links AS MATERIALIZED ({LINKED_SUPPLIERS}),
+fiscal AS (SELECT * FROM ({FISCAL_HASHED}) AS h QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY confidence DESC, evidence_hash) <= 20)
+SELECT section_id, 'trigger' AS part, category AS name FROM ({SCOPED}) AS q
+UNION SELECT n.section_id, 'trigger', 'lineage_' || event_type FROM n JOIN ({CHANGES}) AS c USING (bill_id, section_number) WHERE event_type <> 'unchanged'
+UNION SELECT n.section_id, unnest(['trigger', 'gap']), unnest(['candidate_amendment', 'candidate_amendment_source_url']) FROM n JOIN ({EVENT_AMENDMENTS}) AS a USING (bill_id, section_number)
+UNION SELECT section_id, 'trigger', link_type FROM ({LINKS_SQL}) AS l
+UNION SELECT section_id, 'trigger', 'external_correlation' FROM links
+UNION SELECT section_id, 'trigger', 'external_relationship' FROM links JOIN ({SUPPLIER_FILINGS}) AS r ON r.entity_id = matched_id
+UNION SELECT section_id, 'gap', 'external_relationship_source_url' FROM links JOIN ({SUPPLIER_FILINGS}) AS r ON r.entity_id = matched_id WHERE r.source_url IS NULL
+UNION SELECT n.section_id, 'trigger', 'fiscal_' || category FROM n JOIN fiscal USING (bill_id)
+UNION SELECT n.section_id, 'gap', 'fiscal_context_source_url' FROM n JOIN fiscal USING (bill_id) WHERE document_id IS NULL
+UNION SELECT section_id, 'trigger', 'bill_text_' || kind FROM ({findings_sql(LATEST_SECTIONS)}) AS f
+"""
+
+
+@query("packet_triggers", TRIGGERS)
+def packet_triggers(spark, sf_dir):
+    """What makes each packet worth reading, and what it lacks."""
+    rows = packet_headers_of(spark, sf_dir)
+    return rows.select("section_id", F.lit("trigger").alias("part"), F.explode("trigger_types").alias("name")).union(
+        rows.select("section_id", F.lit("gap"), F.explode("unresolved_gaps"))
+    )
+
+
 def _case(column: str, names: dict[str, str], otherwise: str) -> str:
     return f"CASE {column} " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in names.items()) + f" ELSE {otherwise} END"
 

@@ -3,10 +3,6 @@ import pytest
 from driver import base, catalog, check  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-SLOW = {
-    "noteworthy_sections", "packet_numbering", "packet_headers", "packet_coverage", "report_findings", "report_counts",
-    "reports", "overlap_merge", "weekly_sections", "late_scope_outliers", "lineage_events", "civic_view",
-}
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +10,7 @@ def con():
     return check.duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(base.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(base.ORACLES))
 def test_matches_sql(spark, con, name):
     status, count, _, detail = check.compare(spark, con, SF, name)
     assert status == "ok", detail
