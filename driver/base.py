@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline import session
@@ -53,12 +54,24 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 _STORED: dict[tuple, object] = {}
 
 
+def _still_there(spark: SparkSession, made) -> bool:
+    """Whether the first file behind each frame can still be found."""
+    frames = made.values() if isinstance(made, dict) else [made]
+    try:
+        for frame in frames:
+            for file in frame.inputFiles()[:1]:
+                spark.read.format("binaryFile").load(file)
+    except AnalysisException:
+        return False
+    return True
+
+
 def stored(build: Callable) -> Callable:
-    """What `build` (spark, sf_dir) makes is written once in a session and read by every query."""
+    """What `build` (spark, sf_dir) makes is written once in a session and read by every query; it is made anew where its files are gone."""
 
     def once(spark: SparkSession, sf_dir: str):
         key = (spark.sparkContext.applicationId, sf_dir, build.__module__, build.__name__)
-        if key not in _STORED:
+        if key not in _STORED or not _still_there(spark, _STORED[key]):
             _STORED[key] = build(spark, sf_dir)
         return _STORED[key]
 
