@@ -6,15 +6,15 @@ expected tokens of domain d, the sum of r * tokens * p(d), shall be the target
 share of the budget, and rates shall stay near 1. Errors are weighted by the
 domain's own tokens, so small domains count.
 
-The rates are fitted by projected gradient steps. A step takes the D totals of
-the present rates, one aggregate of the whole table, and moves one price for each
-domain along the gradient, with a step that fits the domain's own tokens; the
-rates follow by projection, 1 - (probabilities . prices) / pull cut at the
-bounds. So a step's expression does not grow with the number of steps, and
-nothing but D numbers leaves the executors. Step lengths are spectral: the next
-one follows from what the last one did to the gradient, and one that made the
-gradient much larger than lately is taken back. Steps go on until the totals
-agree with the prices.
+The rates are fitted by projected gradient steps. A step takes the objective and
+the D totals of the present rates, one aggregate of the whole table, and moves one
+price for each domain along the gradient; the rates follow by projection, 1 -
+(probabilities . prices) / pull cut at the bounds. So a step's expression does
+not grow with the number of steps, and nothing but D + 1 numbers leaves the
+executors. The gradient is scaled, at first by the domains' own tokens and then
+by what the steps so far have shown of its change (a D x D matrix with BFGS
+updates, no second derivatives); a step that does not gain enough is shortened.
+Steps go on until the totals agree with the prices.
 """
 
 from __future__ import annotations
@@ -88,14 +88,14 @@ def posteriors(docs: DataFrame, weights: DataFrame, prior: list[float], id_col:
     return powers.select("id", "n_tokens", *((F.col(f"e{i}") / total).alias(f"p{i}") for i in range(count)))
 
 
-def fit_rates(tables: Tables, members: DataFrame, shares: list[float], budget: float | None = None, pull: float = 0.001, most: float | None = None, steps: int = 1000, close: float = 1e-8) -> DataFrame:
+def fit_rates(tables: Tables, members: DataFrame, shares: list[float], budget: float | None = None, pull: float = 0.001, most: float | None = None, steps: int = 200, close: float = 1e-8) -> DataFrame:
     """`members` (id, n_tokens, p0, p1, ...) with a column rate, fitted on all of them.
 
     `shares` are the targets, `budget` the wanted number of tokens (None: as
     many as there are), `pull` the weight that keeps rates near 1, `most` an
     upper bound. No tokens give a rate of 1. Prices are settled when no total
     differs from what they ask for by more than `close` of the target; if they
-    are not after `steps` steps of one aggregate each, that is an error.
+    are not after `steps` steps, that is an error.
     """
     shares = [float(s) for s in shares]
     domains = range(len(shares))
@@ -107,36 +107,40 @@ def fit_rates(tables: Tables, members: DataFrame, shares: list[float], budget: f
     soft = np.array([max((sums[1 + i] or 0.0) / budget, 1e-9) for i in domains])
     target = np.array(shares)
 
-    def rates(prices: np.ndarray) -> Column:
+    def rates(prices: np.ndarray) -> tuple[Column, Column]:
         free = F.lit(1.0) - sum((F.col(f"p{i}") * F.lit(float(prices[i] / pull)) for i in domains), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), free)
-        return rate if most is None else F.least(F.lit(float(most)), rate)
+        return free, rate if most is None else F.least(F.lit(float(most)), rate)
 
-    def gap(prices: np.ndarray) -> np.ndarray:
-        """Each domain's total less its target and what its price asks for."""
-        row = members.select("*", rates(prices).alias("rate")).agg(*(F.sum(F.col("rate") * x) for x in part)).first()
-        return np.array([float(x or 0) / budget for x in row]) - target - soft * prices
+    def look(prices: np.ndarray) -> tuple[float, np.ndarray]:
+        """The dual objective, and its gradient: each total less its target and what its price asks for."""
+        free, rate = rates(prices)
+        # The least of a row's pull and price, less what a rate of 0 has.
+        cost = F.col("n_tokens") * F.col("rate") * (F.col("rate") / 2 - F.col("free"))
+        row = members.select("*", free.alias("free"), rate.alias("rate")).agg(F.sum(cost), *(F.sum(F.col("rate") * x) for x in part)).first()
+        found = np.array([float(x or 0) / budget for x in row])
+        return float(pull * found[0] - prices @ target - prices @ (soft * prices) / 2), found[1:] - target - soft * prices
 
     # Sums are exact to some 1e-12 only.
     near = max(close, 1e-12) * np.maximum(target, 1e-6)
-    # The totals answer to the prices by at most this much, so a length of 1 is always safe.
-    size = 1 / (soft * (1 + 1 / pull))
-    prices, length, norms = np.zeros(len(shares)), 1.0, []
-    slope = gap(prices)
-    for step in range(steps):
+    # The totals answer to the prices by at most this much.
+    metric = np.diag(1 / (soft * (1 + 1 / pull)))
+    prices = np.zeros(len(shares))
+    value, slope = look(prices)
+    for _ in range(steps):
         if (np.abs(slope) <= near).all():
-            return members.select("*", rates(prices).alias("rate"))
-        norms = [*norms[-9:], slope @ (size * slope)]
-        tried = prices + length * size * slope
-        found = gap(tried)
-        if length > 1 and found @ (size * found) > 4 * max(norms):
-            length = max(1.0, length / 10)
-            continue
-        moved, fell = tried - prices, slope - found
-        prices, slope = tried, found
+            return members.select("*", rates(prices)[1].alias("rate"))
+        move, length = metric @ slope, 1.0
+        tried = look(prices + move)
+        while tried[0] < value + 1e-4 * length * (slope @ move) and length > 1e-6:
+            length /= 4
+            tried = look(prices + length * move)
+        moved, fell = length * move, slope - tried[1]
+        prices, (value, slope) = prices + moved, tried
         bend = moved @ fell
-        # The two spectral lengths in turn.
-        length = 1.0 if bend <= 0 else max(1.0, moved @ (moved / size) / bend if step % 2 else bend / (fell @ (size * fell)))
+        if bend > 0:
+            keep = np.eye(len(shares)) - np.outer(moved, fell) / bend
+            metric = keep @ metric @ keep.T + np.outer(moved, moved) / bend
     raise RuntimeError(f"rates are not settled after {steps} steps: totals are off by {np.abs(slope).max():.3g}")
 
 

@@ -27,7 +27,7 @@ def test_rates_equal_plain_projected_gradient(spark):
     members = spark.createDataFrame([(i, int(n[i]), *(float(x) for x in p[i])) for i in range(200)], "id bigint, n_tokens bigint, p0 double, p1 double, p2 double")
     shares = np.array([0.7, 0.1, 0.2])
     for most in (None, 1.0):
-        rated = mixing.fit_rates(Tables(spark, "test-mixing"), members, list(shares), pull=0.2, most=most, steps=60, close=1e-10)
+        rated = mixing.fit_rates(Tables(spark, "test-mixing"), members, list(shares), pull=0.2, most=most)
         got = np.array([r.rate for r in rated.orderBy("id").collect()])
         want = solve(n, p, shares, n.sum(), 0.2, most or np.inf)
         assert np.abs(got - want).max() < 0.02
