@@ -123,6 +123,75 @@ def test_attribution_needs_overlap_and_dates(spark):
     assert found[3]["basis"] == "text_overlap_only" and found[3]["confidence"] <= 0.65
 
 
+def plain_attribution(events, amendments, top):
+    """Tokens of all rows of an id count together, sizes are those of a row."""
+    token = lambda text: {w for w in words(text) if w not in T.LINEAGE_STOPWORDS}
+    out = []
+    for bill, event, text in events:
+        seen = []
+        for other, amendment, search in amendments:
+            if bill != other:
+                continue
+            shared = sum(
+                len(token(t) & token(s)) for b, e, t in events if (b, e) == (bill, event)
+                for c, a, s in amendments if (c, a) == (bill, amendment)
+            )
+            overlap = shared / max(1, min(len(token(text)), len(token(search))))
+            if shared and overlap >= 0.25:
+                seen.append((-round(min(0.65, overlap + 0.35), 9), amendment, round(overlap, 4)))
+        out += [(bill, event, a, o) for _, a, o in seen]
+    if top is None:
+        return sorted(out)
+    kept = []
+    for bill, event in {(b, e) for b, e, *_ in out}:
+        mine = sorted((-round(min(0.65, o + 0.35), 9), a, o) for b, e, a, o in out if (b, e) == (bill, event))
+        kept += [(bill, event, a, o) for _, a, o in mine[:top]]
+    return sorted(kept)
+
+
+def test_attribution_compares_pairs_within_the_bill(spark):
+    pool = "bridge lane asphalt culvert gravel paving drain curb sidewalk signal".split()
+    line = lambda seed, n: " ".join(pool[(seed * 7 + k * k + k) % 10] for k in range(n))
+    events = [(b, b * 100 + i, line(b + i, 3 + i % 4)) for b in (1, 2, 3) for i in range(12)] + [(None, 1, "bridge"), (1, None, "bridge")]
+    amendments = [(b, b * 1000 + i, line(b * 3 + i, 2 + i % 3)) for b in (1, 2, 4) for i in range(9)] + [(2, None, "bridge lane")]
+    twice = [(1, 103, "bridge lane"), (2, 1001, "gravel drain")], [(1, 1004, "bridge curb")]
+
+    def frames(e, a):
+        nothing = F.lit(None).cast("date")
+        return (
+            spark.createDataFrame(e, "bill_id long, event_id long, new_text string").withColumns({"from_day": nothing, "to_day": nothing}),
+            spark.createDataFrame(a, "bill_id long, amendment_id long, search_text string").withColumn("amendment_day", nothing),
+        )
+
+    def found(e, a, **how):
+        rows = lineage.attribute(*frames(e, a), **how).collect()
+        return sorted((r["bill_id"], r["event_id"], r["amendment_id"], r["token_overlap"]) for r in rows)
+
+    whole = lambda rows: [r for r in rows if r[0] and r[1]]
+    for top in (None, 4):
+        expected = plain_attribution(whole(events), whole(amendments), top)
+        assert expected
+        assert found(events, amendments, top=top) == expected
+        # Crowded bills are compared slice by slice.
+        assert found(events, amendments, top=top, pairs_per_task=10) == expected
+    again = events + twice[0][:1], amendments + twice[1]
+    assert found(*again, top=None) == plain_attribution(whole(again[0]), whole(again[1]), None)
+
+
+def test_attribution_shuffles_token_sets_and_no_pairs(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        day = F.current_date()
+        events = spark.range(40).select((F.col("id") % 4).alias("bill_id"), F.col("id").alias("event_id"), day.alias("from_day"), day.alias("to_day"), F.lit("bridge lane").alias("new_text"))
+        amendments = spark.range(20).select((F.col("id") % 4).alias("bill_id"), F.col("id").alias("amendment_id"), day.alias("amendment_day"), F.lit("lane").alias("search_text"))
+        rows = lineage.attribute(events, amendments)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(bill_id") == plan.count("Exchange ") == 2
+
+
 def words(text):
     import re
 
