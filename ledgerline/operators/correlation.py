@@ -186,31 +186,80 @@ def _numbered_bills(links: DataFrame) -> DataFrame:
     return placed.withColumn("at", local).join(offsets, "part").select("bill_id", (F.col("at") + F.col("skip")).alias("number"))
 
 
+def _ends(relationships: DataFrame) -> DataFrame:
+    """(relationship_id, low, high, plain): the two ends of each relationship; `plain` where all rows of an id agree in them."""
+    low, high = F.least("source_entity_id", "target_entity_id"), F.greatest("source_entity_id", "target_entity_id")
+    ends = relationships.groupBy("relationship_id").agg(
+        F.min(low).alias("low"), F.max(low).alias("low2"), F.min(high).alias("high"), F.max(high).alias("high2")
+    ).filter("low IS NOT NULL")
+    plain = F.col("relationship_id").isNotNull() & (F.col("low") == F.col("low2")) & (F.col("high") == F.col("high2"))
+    return ends.select("relationship_id", "low", "high", plain.alias("plain"))
+
+
+def _held_by_pairs(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(relationship_id, n) whose sum is the number of bills that either end holds.
+
+    Both ends' numbers, less what both hold; that is looked up from the end of
+    fewer words, so a hub's bitmap is not sent along its edges.
+    """
+    sizes = held.groupBy("entity_id").agg(F.sum(F.bit_count("bits")).alias("n"), F.count(F.lit(1)).alias("words"))
+    side = lambda end: sizes.select(F.col("entity_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("words").alias(f"words_{end}"))
+    sized = checkpointed(pairs.join(side("low"), "low", "left").join(side("high"), "high", "left"))
+    alone = F.when(F.col("low") == F.col("high"), F.lit(0)).otherwise(F.coalesce("n_high", F.lit(0)))
+    either = sized.select("relationship_id", (F.coalesce("n_low", F.lit(0)) + alone).alias("n"))
+    less = F.col("words_low") <= F.col("words_high")
+    both = sized.filter("low <> high AND n_low IS NOT NULL AND n_high IS NOT NULL").select(
+        "relationship_id", F.when(less, F.col("low")).otherwise(F.col("high")).alias("entity_id"),
+        F.when(less, F.col("high")).otherwise(F.col("low")).alias("far"),
+    )
+    theirs = held.select(F.col("entity_id").alias("far"), "word", F.col("bits").alias("far_bits"))
+    shared = both.join(held, "entity_id").join(theirs, ["far", "word"])
+    return either.unionByName(shared.select("relationship_id", (-F.bit_count(F.col("bits").bitwiseAND(F.col("far_bits")))).alias("n")))
+
+
 def reach(links: DataFrame, relationships: DataFrame, depth: int = 2) -> DataFrame:
     """(relationship_id, step, bills): how many bills first reach a relationship at each step.
 
-    Bills are bits. An entity has one bitmap for every 32,768 bills, a step takes
-    the union of an entity's bitmaps to its relationships and back, and unions
-    combine before the shuffle: a hub that all bills name sends one bitmap along
-    each of its edges, not one row per bill.
+    Bills are bits. An entity has one word for every 64 bills of which it holds
+    one; a step sends the words of each end of a relationship to the other end.
+    A relationship's bills are counted from those of its ends and get no rows of
+    their own; only ids whose rows name different ends unite their words.
     """
-    edges = checkpointed(_endpoints(relationships).select("relationship_id", "entity_id"))
+    ends = checkpointed(_ends(relationships))
+    pairs, mixed = ends.filter("plain").drop("plain"), ends.filter("NOT plain").select(F.col("relationship_id").alias("id"))
+    edges = None
+    if not mixed.isEmpty():
+        every = _endpoints(relationships).select("relationship_id", "entity_id")
+        edges = checkpointed(every.join(mixed, every["relationship_id"].eqNullSafe(mixed["id"]), "left_semi"))
     bills = checkpointed(_numbered_bills(links))
     named = links.select("bill_id", "entity_id").distinct().join(bills, "bill_id")
-    slot, bit = F.bitmap_bucket_number("number"), F.bitmap_bit_position("number")
-    held = checkpointed(named.groupBy("entity_id", slot.alias("slot")).agg(F.bitmap_construct_agg(bit).alias("bits")))
-    counts = []
+    word, bit = F.shiftright("number", 6), F.expr("shiftleft(1L, CAST(number & 63 AS INT))")
+    held = checkpointed(named.groupBy("entity_id", word.alias("word")).agg(F.bit_or(bit).alias("bits")))
+    across = pairs.filter("low <> high")
+    across = across.select(F.col("low").alias("entity_id"), F.col("high").alias("far")).unionByName(
+        across.select(F.col("high").alias("entity_id"), F.col("low").alias("far"))
+    )
+    counts = None
     for step in range(1, depth + 1):
-        touched = checkpointed(held.join(edges, "entity_id").groupBy("relationship_id", "slot").agg(F.bitmap_or_agg("bits").alias("bits")))
-        counts.append(touched.groupBy("relationship_id").agg(F.sum(F.bitmap_count("bits")).alias("bills")).withColumn("step", F.lit(step)))
+        numbers = _held_by_pairs(pairs, held)
+        if edges is not None:
+            touched = checkpointed(held.join(edges, "entity_id").groupBy("relationship_id", "word").agg(F.bit_or("bits").alias("bits")))
+            numbers = numbers.unionByName(touched.select("relationship_id", F.bit_count("bits").alias("n")))
+        numbers = numbers.withColumn("step", F.lit(step))
+        counts = numbers if counts is None else counts.unionByName(numbers)
         if step < depth:
-            held = checkpointed(touched.join(edges, "relationship_id").groupBy("entity_id", "slot").agg(F.bitmap_or_agg("bits").alias("bits")))
-    upto = counts[0]
-    for part in counts[1:]:
-        upto = upto.unionByName(part)
+            sent = held.unionByName(held.join(across, "entity_id").select(F.col("far").alias("entity_id"), "word", "bits"))
+            if edges is not None:
+                sent = sent.unionByName(touched.join(edges, "relationship_id").select("entity_id", "word", "bits"))
+            held = checkpointed(sent.groupBy("entity_id", "word").agg(F.bit_or("bits").alias("bits")))
     # What is reached within a step stays reached, so a step's own bills are the growth.
-    before = F.lag("bills", 1, 0).over(Window.partitionBy("relationship_id").orderBy("step"))
-    return upto.withColumn("bills", F.col("bills") - before).filter("bills > 0").select("relationship_id", "step", "bills")
+    upto = [F.sum(F.when(F.col("step") == step, F.col("n")).otherwise(0)).alias(f"_{step}") for step in range(1, depth + 1)]
+    grown = [
+        F.struct(F.lit(step).alias("step"), (F.col(f"_{step}") - (F.col(f"_{step - 1}") if step > 1 else 0)).cast("long").alias("bills"))
+        for step in range(1, depth + 1)
+    ]
+    steps = counts.groupBy("relationship_id").agg(*upto).select("relationship_id", F.explode(F.array(*grown)).alias("s"))
+    return steps.select("relationship_id", "s.step", "s.bills").filter("bills > 0")
 
 
 def traverse(links: DataFrame, relationships: DataFrame, depth: int = 2, most: int | None = 3) -> DataFrame:

@@ -54,6 +54,40 @@ def test_reach_counts_what_the_walk_finds(spark):
         assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in walked.collect())
 
 
+def test_reach_of_mixed_and_missing_ends(spark):
+    """Ids that repeat with other ends, one or no end, and no id at all, against sets of bills."""
+    links = [(b, e) for b in range(150) for e in (b % 13, b % 7 + 20)] + [(None, 3), (5, None)]
+    edges = [(i, i % 17, (i * 5) % 29) for i in range(60)] + [(3, 40, 2), (4, 4, None), (9, 9, None), (70, 6, 6), (71, None, None), (None, 1, 22), (None, 2, 41)]
+    held = {e: {b for b, x in links if x == e and b is not None} for e in range(50)}
+    ends = {}
+    for i, a, b in edges:
+        ends.setdefault(i, set()).update(x for x in (a, b) if x is not None)
+    want, before = set(), dict.fromkeys(ends, 0)
+    for step in (1, 2, 3):
+        touched = {i: set().union(*(held[e] for e in of)) for i, of in ends.items()}
+        want |= {(i, step, len(bills) - before[i]) for i, bills in touched.items() if len(bills) > before[i]}
+        before = {i: len(bills) for i, bills in touched.items()}
+        held = {e: held[e].union(*(touched[i] for i, of in ends.items() if e in of and i is not None)) for e in held}
+    got = correlation.reach(
+        spark.createDataFrame(links, "bill_id long, entity_id long"),
+        spark.createDataFrame([(*e, "fec") for e in edges], "relationship_id long, source_entity_id long, target_entity_id long, source_system string"), 3,
+    )
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_reach_sends_no_wide_bitmap(spark, monkeypatch):
+    """An entity of one bill is one narrow row, however many bills there are."""
+    written = []
+    real = correlation.checkpointed
+    monkeypatch.setattr(correlation, "checkpointed", lambda df, **conf: written.append(df) or real(df, **conf))
+    links = spark.range(3000).select((F.col("id") * 11).alias("bill_id"), F.col("id").alias("entity_id"))
+    edges = spark.range(3000).select("id", F.col("id").alias("source_entity_id"), (-1 - F.col("id") % 50).alias("target_entity_id"), F.lit("fec").alias("source_system")).withColumnRenamed("id", "relationship_id")
+    rows = correlation.reach(links, edges, 2)
+    assert rows.filter("step = 1").count() == 3000
+    assert all(f.dataType.simpleString() != "binary" for df in written for f in df.schema.fields)
+    assert max(df.count() for df in written) <= 6000
+
+
 def test_a_name_of_many_is_one_class(spark):
     left = entity(spark, [(i, "person", "Ann", "ann", None, None) for i in range(300)])
     right = entity(spark, [(1000 + i, "person", "Ann", "ann", None, None) for i in range(200)] + [(5000, "person", "Bob", "bob", None, None)])
