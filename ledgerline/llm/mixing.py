@@ -20,6 +20,7 @@ Steps go on until the totals agree with the prices.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import Tables
 
+#: What sums in another order may differ by, relative to the objective.
+NOISE = 1e-11
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -125,21 +128,37 @@ def fit_rates(tables: Tables, members: DataFrame, shares: list[float], budget: f
     near = max(close, 1e-12) * np.maximum(target, 1e-6)
     # The totals answer to the prices by at most this much.
     metric = np.diag(1 / (soft * (1 + 1 / pull)))
-    prices = np.zeros(len(shares))
+    prices = _settled(look, metric, near, steps)
+    return members.select("*", rates(prices)[1].alias("rate"))
+
+
+def _settled(look: Callable, metric: np.ndarray, near: np.ndarray, steps: int) -> np.ndarray:
+    """The prices at which the slope is `near` zero; `look` gives the concave objective and its slope.
+
+    Close to the end a step gains less than the sums are exact to. There the
+    slope along the step tells whether it went too far: its size has to fall.
+    """
+    prices = np.zeros(len(near))
     value, slope = look(prices)
     for _ in range(steps):
         if (np.abs(slope) <= near).all():
-            return members.select("*", rates(prices)[1].alias("rate"))
+            return prices
         move, length = metric @ slope, 1.0
+        gain, noise = slope @ move, NOISE * max(1.0, abs(value))
+
+        def short(tried: tuple[float, np.ndarray], length: float) -> bool:
+            rose = tried[0] >= value + 1e-4 * length * gain
+            return not rose and (tried[0] < value - noise or abs(tried[1] @ move) > 0.9 * gain)
+
         tried = look(prices + move)
-        while tried[0] < value + 1e-4 * length * (slope @ move) and length > 1e-6:
+        while short(tried, length) and length > 1e-6:
             length /= 4
             tried = look(prices + length * move)
         moved, fell = length * move, slope - tried[1]
         prices, (value, slope) = prices + moved, tried
         bend = moved @ fell
         if bend > 0:
-            keep = np.eye(len(shares)) - np.outer(moved, fell) / bend
+            keep = np.eye(len(near)) - np.outer(moved, fell) / bend
             metric = keep @ metric @ keep.T + np.outer(moved, moved) / bend
     raise RuntimeError(f"rates are not settled after {steps} steps: totals are off by {np.abs(slope).max():.3g}")
 
