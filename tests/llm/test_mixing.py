@@ -128,19 +128,18 @@ def test_the_sample_does_not_depend_on_partitions(spark):
 
 def test_inexact_sums_do_not_shorten_the_last_steps():
     """Sums that differ in their last digits from look to look: a step is one look, but for a few."""
-    draw = np.random.default_rng(7)
+    draw = np.random.default_rng(0)
     parts = draw.dirichlet((0.9, 0.1, 0.2), 4000)
-    shares, soft, looks = np.array([0.7, 0.1, 0.2]), parts.mean(0), []
+    shares, soft, looks = np.array([0.97, 0.01, 0.02]), parts.mean(0), []
 
     def look(prices):
         looks.append(prices)
         free = 1 - parts @ prices / 0.001
         rate = np.maximum(0, free)
-        blur = 1 + 1e-12 * draw.standard_normal(4)
-        value = (0.001 * (rate * (rate / 2 - free)).mean() - prices @ shares - prices @ (soft * prices) / 2) * blur[0] + 1e-13 * draw.standard_normal()
-        return value, (parts * rate[:, None]).mean(0) * blur[1:] - shares - soft * prices
+        value = 0.001 * (rate * (rate / 2 - free)).mean() - prices @ shares - prices @ (soft * prices) / 2
+        return value + 2e-12 * draw.standard_normal(), (parts * rate[:, None]).mean(0) - shares - soft * prices
 
     near = 1e-8 * shares
     prices = mixing._settled(look, np.diag(1 / (soft * 1001)), near, 200)
     assert len(looks) <= 25
-    assert (np.abs(look(prices)[1]) <= 2 * near).all()
+    assert (np.abs(look(prices)[1]) <= near).all()
