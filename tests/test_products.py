@@ -169,6 +169,28 @@ def test_overlap_merge_equals_the_fold(spark, seed):
     assert sorted(tuple(r) for r in overlap.merge(frame).collect()) == plain_fold(rows)
 
 
+@pytest.mark.parametrize("items_per_task", [0, 30, 10_000])
+def test_overlap_merge_is_the_same_with_and_without_pairs(spark, items_per_task):
+    rng = random.Random(11)
+    rows = []
+    for i, key in enumerate(families(11, 4)):
+        body = rng.choice(["", "b" * 60, "c" * 70 + str(rng.randrange(3))])
+        rows.append((rng.choice(["2024-01-01", "2024-01-02", "2024-01-02"]), "A", rng.choice([key, key, ""]), body, rng.random() < 0.2, rng.random() < 0.5, "s" * rng.randrange(5), i))
+    frame = spark.createDataFrame(rows, "date string, institution string, issue string, body string, official boolean, substantive boolean, synopsis string, item_id long")
+    assert sorted(tuple(r) for r in overlap.merge(frame, items_per_task=items_per_task).collect()) == plain_fold(rows)
+
+
+def test_the_fold_compares_few_keys_where_many_are_alike(monkeypatch):
+    asked = []
+    plain = difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda m: asked.append(1) or plain(m))
+    records = overlap.Records()
+    for i in range(1000):
+        records.add(i, f"contract number {i % 7} with supplier {i:04d} of {'bolts rings plates anvils'.split()[i % 4] * 6} parts", None, (False, True, 9))
+    # 500,000 pairs, a quarter of them alike.
+    assert len(records.kept) == 4 and len(asked) < 2000
+
+
 def test_overlap_of_a_third_of_all_rows(spark):
     base = "award of contract for road repair services in the northern district phase "
     keys = [base + f"{i:03d}" for i in range(100)] + [f"{i} " * 30 + "unlike" for i in range(20)]
