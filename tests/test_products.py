@@ -169,6 +169,55 @@ def test_overlap_merge_equals_the_fold(spark, seed):
     assert sorted(tuple(r) for r in overlap.merge(frame).collect()) == plain_fold(rows)
 
 
+@pytest.mark.parametrize("carried, at_once", [(32, 50_000_000), (2, 3), (0, 50_000_000)])
+def test_correlations_by_plain_loops_without_sending_pairs(spark, monkeypatch, carried, at_once):
+    monkeypatch.setattr(correlation, "CARRIED", carried)
+    monkeypatch.setattr(correlation, "PAIRS_PER_TASK", at_once)
+    rng = random.Random(carried)
+    kinds = ["person", "organization", "committee"]
+    entities = [
+        (i, rng.choice(kinds), f"N{i % 9}", f"n{i % 9}", {k: rng.choice("xyz") for k in rng.sample(["bioguide", "lda_client_id", "other"], rng.randrange(3))},
+         [rng.choice([f"N{rng.randrange(12)}", f"Alias {rng.randrange(5)}"]) for _ in range(rng.randrange(4))])
+        for i in range(60)
+    ]
+    links = sorted({(rng.choice([1, 2, 3, None]), rng.randrange(40)) for _ in range(70)}, key=str)
+    relations = [(n, rng.randrange(20, 60), rng.randrange(20, 60), "fec") for n in range(40)]
+    group = lambda e: {"committee": "organization"}.get(e[1], e[1])
+    answers = lambda e: {e[3]: True} | {a.lower(): False for a in e[5] if a.lower() != e[3]}
+
+    def best(a, b):
+        ids = sorted((1, k, v) for k, v in a[4].items() if k != "other" and b[4].get(k) == v)
+        names = [(2, "", n) if answers(a)[n] and answers(b)[n] else (3, "", "") for n in answers(a) if group(a) == group(b) and n in answers(b)]
+        return min(ids + names, default=None)
+
+    touched = {e for r in relations for e in r[1:3]}
+    expected = []
+    for bill, left in links:
+        for right in touched - {left}:
+            reason = best(entities[left], entities[right])
+            if reason and (bill is None or (bill, right) not in links):
+                expected.append((str(bill), left, right, reason[0], reason[1:]))
+    found = correlation.correlate(
+        spark.createDataFrame(links, "bill_id long, entity_id long"),
+        spark.createDataFrame(entities, "entity_id long, entity_type string, canonical_name string, normalized_name string, external_ids map<string,string>, aliases array<string>"),
+        spark.createDataFrame(relations, "relationship_id long, source_entity_id long, target_entity_id long, source_system string"),
+    )
+    tiers = {"external_id": 1, "exact_name": 2, "alias": 3}
+
+    def told(r):
+        if r["match_basis"] == "alias":
+            return "", ""
+        said = r["evidence"].rstrip(".")
+        return tuple(said.removeprefix("Both entities share ").split("=")) if r["match_basis"] == "external_id" else ("", said.split(": ")[1])
+
+    rows = [(str(r["bill_id"]), r["left_id"], r["right_id"], tiers[r["match_basis"]], told(r)) for r in found.collect()]
+    assert sorted(rows) == sorted(expected) and len({r[3] for r in rows}) == 3
+    if carried == 32:
+        # Nothing is grouped or joined above the join that makes the pairs.
+        above = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+        assert "Aggregate" not in above and "Join" not in above
+
+
 @pytest.mark.parametrize("items_per_task", [0, 30, 10_000])
 def test_overlap_merge_is_the_same_with_and_without_pairs(spark, items_per_task):
     rng = random.Random(11)
