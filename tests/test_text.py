@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import rules as R
@@ -124,3 +125,70 @@ def test_word_search_finds_whatever_the_patterns_find(spark):
         hit = F.col("t").rlike(T.flagged(rf"\b{word}\b"))
         missed = spark.createDataFrame(rows, "t string").filter(hit & ~T.holds(T.searchable(F.col("t")), [word]))
         assert missed.collect() == []
+
+
+ODD = [
+    "", "District", "a DiStrict of ſuch", "Countywide county \U0001f600 District of X", "\U0001f600É town OF b́", None,
+    "\u0001County\u0001 of", "no word", "districtDistrict district\n.District", "  Parish \x1c\x85 ", "İCity of İ city of",
+]
+
+
+@pytest.mark.parametrize("words", [("district", "county", "parish", "city of", "town of"), ("district",)])
+def test_searches_from_the_first_word_on_find_what_whole_searches_find(spark, words):
+    pattern = T.flagged(r"\b(?:" + "|".join(words) + r")\b")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "i int, t string")
+    t = F.col("t")
+    low = T.searchable(t)
+    got = rows.select(
+        "i", T.first_match(t, pattern).alias("f"), T.first_opened(t, low, pattern, words).alias("o"),
+        T.all_matches(t, pattern).alias("a"), T.all_opened(t, low, pattern, words).alias("b"), T.all_matches(t, pattern, 1).alias("c"),
+        F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("hits"), F.split(t, pattern, -1).alias("gaps"),
+        T.strip(t).alias("s"), F.regexp_replace(t, r"(?U)^\s+|\s+$", "").alias("s2"),
+    ).collect()
+    for row in got:
+        at, want = 0, []
+        for gap, hit in zip(row["gaps"] or [], row["hits"] or []):
+            want.append((at + len(gap), at + len(gap) + len(hit), hit))
+            at += len(gap) + len(hit)
+        assert [tuple(m) for m in row["a"]] == want == [tuple(m) for m in row["b"]]
+        assert [tuple(m) for m in row["c"]] == want[:1]
+        first = want[0][:2] if want else None
+        assert (row["f"] and tuple(row["f"])) == first == (row["o"] and tuple(row["o"]))
+        assert row["s"] == row["s2"]
+
+
+@pytest.mark.parametrize("rule", [r for r in [*R.SECTION_RULES, *R.FISCAL_RULES] if r.opens], ids=lambda r: r.kind)
+def test_patterns_that_open_with_their_words_do_so(rule):
+    """Every alternative of the pattern's head starts with one of the words."""
+    words = sorted(rule.needs)
+    head = rule.pattern.removeprefix(r"\b")
+    head = head[3:head.index(")\\b")] if head.startswith("(?:") else head
+    depth, parts = 0, [""]
+    for c in head:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += c
+    for part in parts:
+        plain = part.lower().replace("(?:", "")
+        assert any(plain.startswith(w) or w.startswith(plain) for w in words), part
+
+
+def test_patterns_are_not_compiled_for_every_text(spark):
+    """A split compiles its pattern for every row; only texts that hold the mark are split by it."""
+    import time
+
+    words = [f"word{i}[a-z]{{1,9}}" for i in range(300)]
+    pattern = T.flagged(r"\b(?:" + "|".join(words) + r")\b")
+    rows = spark.range(0, 40000, 1, 1).select(F.concat(F.lit("word1abc "), F.col("id").cast("string")).alias("t"))
+    count = lambda df: df.agg(F.sum("n")).collect()
+    new = rows.select(T.first_match(F.col("t"), pattern)["end"].alias("n"))
+    old = rows.select(F.length(F.get(F.split("t", pattern, 2), F.lit(1))).alias("n"))
+    took = []
+    for df in (new, old):
+        count(df)
+        started = time.time()
+        count(df)
+        took.append(time.time() - started)
+    assert took[0] < took[1]
