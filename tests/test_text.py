@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import rules as R
 from ledgerline.functions import text as T
-from ledgerline.operators import classify, facts, scan, sections
+from ledgerline.operators import classify, entities, facts, scan, sections
 
 
 def one(spark, value, expression):
@@ -192,3 +192,17 @@ def test_patterns_are_not_compiled_for_every_text(spark):
         count(df)
         took.append(time.time() - started)
     assert took[0] < took[1]
+
+
+def test_beneficiary_classes_are_those_of_their_patterns(spark):
+    text = (
+        "Eligible recipients, an eligible recipient and ELIGIBLE entities; Tribal governments, tribal law, trade Associations; "
+        "institutions of higher education, nonprofit organizationſ, \U0001f600 small Businesses, producers' manufacturer"
+    )
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, section_text string")
+    got = {(m["k"], m["start"], m["name"]) for m in entities.section_mentions(rows, ["k"]).filter("entity_type = 'beneficiary_class'").collect()}
+    want = set()
+    for pattern in R.BENEFICIARY_PATTERNS:
+        for m in rows.select("k", F.explode(T.all_matches(F.col("section_text"), T.flagged(pattern))).alias("m")).collect():
+            want.add((m["k"], m["m"]["start"], m["m"]["text"]))
+    assert got == want and len(got) == 9
