@@ -1,5 +1,6 @@
 import difflib
 import math
+import re
 import random
 from collections import Counter, defaultdict
 
@@ -247,3 +248,29 @@ def test_scope_needs_four_sections(spark):
     )
     bills = spark.createDataFrame([(1, "x", "")], "bill_id long, title string, scope_text string")
     assert scope.scope_outliers(sections, bills).isEmpty()
+
+
+def test_scope_sends_words_once_and_deals_out_crowded_bills(spark):
+    """Two shuffles of words at most, none of them by word, and the same scores where a bill is dealt out by word."""
+    rows = [(b, b * 10 + i, str(i + 1), "h", " ".join(f"word{(i * j + b) % 23} thing{i} thing{j % 5}" for j in range(30))) for b in (1, 2, 3) for i in range(5)]
+    rows.append(rows[-1])
+    sections = spark.createDataFrame(rows, "bill_id long, section_id long, section_number string, heading string, section_text string")
+    bills = spark.createDataFrame([(1, "word1 word2", "thing1"), (2, "other", None), (2, "other word3 word4", "x")], "bill_id long, title string, scope_text string")
+    held, sizes = scope._terms(sections, bills)
+    whole = sorted(scope.similarities(held, sizes).collect())
+    assert len(whole) == 15 and whole == sorted(scope.similarities(held, sizes, words_per_task=460).collect())
+    assert sizes.filter("words > 460").count() not in (0, 3)
+    plan = scope._dealt(held, sizes)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bill_id" in plan and "term" not in "".join(re.findall(r"hashpartitioning\((.*?)\)", plan))
+
+
+def test_latest_sections_join_only_lines_of_latest_versions(spark):
+    from driver import base, corpus
+
+    sf_dir = "/root/testdata/sf0.001"
+    plain = base.view(spark, sf_dir, corpus.SECTIONS).join(base.view(spark, sf_dir, corpus.LATEST).select("version_id"), "version_id", "left_semi")
+    found = corpus.latest_sections(spark, sf_dir)
+    assert sorted(found.select(plain.columns).collect()) == sorted(plain.collect())
+    joins = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda word: max(line.index(word) for line in joins if word in line)
+    assert depth("LeftSemi") > depth("Join Inner")
