@@ -366,3 +366,25 @@ def test_rule_flags_are_patched(spark):
     )
     row = watch.patch_rules(rules, patches).first()
     assert (row["active"], row["auto_research"], row["auto_report"]) == (False, True, False)
+
+
+def test_pages_are_read_few_at_a_time():
+    import pandas as pd
+
+    from ledgerline.sources import pages
+
+    given = pd.DataFrame({"page_id": range(300), "url": "https://a.example.com/", "html": [f'<p>n{i}</p><a href="/{i}">x</a>' for i in range(300)]})
+    read = list(pages._read(iter([given, given.iloc[:0]])))
+    assert max(len(part) for part in read) <= 64
+    whole = pd.concat(read)
+    assert list(whole["page_id"]) == list(range(300)) and whole["links"].iloc[299][0]["href"] == "https://a.example.com/299"
+
+
+def test_frontier_reads_pages_once(spark):
+    from ledgerline.sources import pages
+
+    rows = spark.createDataFrame([(1, "https://a.org/x/1", '<a href="/x/2">n</a>'), (2, "https://a.org/x/2", '<a href="/x/3">n</a>')], "page_id long, url string, html string")
+    read = pages.page_texts(rows)
+    found = pages.frontier(read, read.filter("page_id = 1").select("url"), ["a.org"], ["/x/"])
+    assert {(r["url"], r["depth"], r["page_id"]) for r in found.collect()} == {("https://a.org/x/1", 0, 1), ("https://a.org/x/2", 1, 2), ("https://a.org/x/3", 2, None)}
+    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
