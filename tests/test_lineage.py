@@ -1,7 +1,8 @@
 import difflib
+import hashlib
 import math
-import re
 import random
+import re
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -274,3 +275,12 @@ def test_latest_sections_join_only_lines_of_latest_versions(spark):
     joins = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     depth = lambda word: max(line.index(word) for line in joins if word in line)
     assert depth("LeftSemi") > depth("Join Inner")
+
+
+def test_section_changes_send_hashes_as_bytes(spark):
+    sections = spark.createDataFrame([(1, "1", 0, "a"), (2, "1", 0, "b")], "version_id long, section_number string, ordinal int, section_text string")
+    pairs = spark.createDataFrame([(1, 1, None), (1, 2, 1)], "bill_id long, version_id long, from_version_id long")
+    changes = lineage.section_changes(sections, pairs)
+    found = {r["version_id"]: (r["event_type"], r["new_sha"]) for r in changes.collect()}
+    assert found == {v: (kind, hashlib.sha256(t.encode()).hexdigest()) for v, kind, t in ((1, "introduced", "a"), (2, "modified", "b"))}
+    assert "unhex(sha2" in changes._jdf.queryExecution().optimizedPlan().toString()
