@@ -265,16 +265,60 @@ def test_scope_sends_words_once_and_deals_out_crowded_bills(spark):
     assert "hashpartitioning(bill_id" in plan and "term" not in "".join(re.findall(r"hashpartitioning\((.*?)\)", plan))
 
 
-def test_latest_sections_join_only_lines_of_latest_versions(spark):
+def small_tables(spark, folder):
+    """Three bills of three versions, of which one order and one line are repeated."""
+    day = lambda n: f"DATE '1995-01-0{n}'"
+    spark.sql("SELECT 1 AS r_regionkey, 'ASIA' AS r_name").write.parquet(f"{folder}/region.parquet")
+    spark.sql("SELECT 1 AS n_nationkey, 1 AS n_regionkey").write.parquet(f"{folder}/nation.parquet")
+    spark.sql("SELECT id AS s_suppkey, 1 AS s_nationkey FROM range(2)").write.parquet(f"{folder}/supplier.parquet")
+    spark.sql("SELECT id AS p_partkey, 'part ' || id AS p_name, 'Brand' || id AS p_brand, 'LARGE' AS p_type FROM range(3)").write.parquet(f"{folder}/part.parquet")
+    orders = " UNION ALL ".join(
+        f"SELECT CAST({c * 10 + v} AS BIGINT) AS o_orderkey, CAST({c} AS BIGINT) AS o_custkey, 'F' AS o_orderstatus, '{'5-LOW' if c == v else '1-URGENT'}' AS o_orderpriority, {day(4 - v)} AS o_orderdate"
+        for c in (1, 2, 3) for v in (1, 2, 3, 3)[:4 if c == 3 else 3]
+    )
+    spark.sql(orders).write.parquet(f"{folder}/orders.parquet")
+    lines = f"""SELECT o_orderkey AS l_orderkey, n.id AS l_linenumber, n.id % 3 AS l_partkey, n.id % 2 AS l_suppkey, 10.5D AS l_extendedprice, {day(1)} AS l_shipdate,
+      'A' AS l_returnflag, 'F' AS l_linestatus, 3.0D AS l_quantity FROM (SELECT DISTINCT o_orderkey FROM ({orders})) CROSS JOIN range(3) AS n"""
+    spark.sql(f"{lines} UNION ALL SELECT * FROM ({lines}) WHERE l_orderkey = 11 AND l_linenumber = 1").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_latest_sections_and_texts_join_only_lines_of_latest_versions(spark, tmp_path):
     from driver import base, corpus
 
-    sf_dir = "/root/testdata/sf0.001"
-    plain = base.view(spark, sf_dir, corpus.SECTIONS).join(base.view(spark, sf_dir, corpus.LATEST).select("version_id"), "version_id", "left_semi")
+    sf_dir = small_tables(spark, tmp_path)
+    newest = base.view(spark, sf_dir, corpus.LATEST).select("version_id")
+    plain = base.view(spark, sf_dir, corpus.SECTIONS).join(newest, "version_id", "left_semi")
     found = corpus.latest_sections(spark, sf_dir)
-    assert sorted(found.select(plain.columns).collect()) == sorted(plain.collect())
-    joins = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    depth = lambda word: max(line.index(word) for line in joins if word in line)
-    assert depth("LeftSemi") > depth("Join Inner")
+    assert plain.count() > 9 and sorted(found.select(plain.columns).collect()) == sorted(plain.collect())
+    texts = corpus.versions(spark, sf_dir).join(newest, "version_id", "left_semi")
+    latest = corpus.latest_versions(spark, sf_dir)
+    assert sorted(latest.select("version_id", "text").collect()) == sorted(texts.select("version_id", "text").collect())
+    for rows in (found, latest):
+        joins = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        depth = lambda word: max(line.index(word) for line in joins if word in line)
+        assert depth("LeftSemi") > depth("Join Inner")
+
+
+def test_lines_are_numbered_before_their_texts_are_written_out(spark, tmp_path):
+    from driver import base, corpus
+
+    sf_dir = small_tables(spark, tmp_path)
+    plain, found = base.view(spark, sf_dir, corpus.SECTIONS), corpus.sections(spark, sf_dir)
+    assert sorted(found.collect()) == sorted(plain.collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("The department shall award") < plan.index("Window")
+
+
+def test_agenda_lines_are_numbered_first_and_stored_items_hold_no_hash(spark, tmp_path):
+    from driver import base, civic_queries
+
+    sf_dir = small_tables(spark, tmp_path)
+    plain, found = base.view(spark, sf_dir, civic_queries.CIVIC_LINES), base.view(spark, sf_dir, civic_queries.READ_LINES)
+    assert plain.count() == 28 and sorted(found.collect()) == sorted(plain.select(found.columns).collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Consent Agenda") < plan.index("Window")
+    assert "evidence_hash" not in civic_queries.stored_items(civic_queries.agendas(spark, sf_dir)).columns
 
 
 def test_section_changes_send_hashes_as_bytes(spark):
