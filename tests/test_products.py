@@ -358,6 +358,33 @@ def test_amendments_and_lineage_enter_packets(spark):
     assert head["unresolved_gaps"] == ["candidate_amendment_source_url", "section_source_url"]
 
 
+def test_texts_of_events_are_joined_to_numbered_entries(spark):
+    sections = spark.createDataFrame(
+        [(1, 30, 300, "3", "Heading", "Section text"), (2, 50, 500, "1", None, "Other")],
+        "bill_id long, version_id long, section_id long, section_number string, heading string, section_text string",
+    )
+    places = spark.createDataFrame(
+        [(1, 10, 1, "v1", "https://v1"), (1, 20, 2, "v2", None), (1, 30, 10, "v3", None), (2, 50, 1, "w", None)],
+        "bill_id long, version_id long, place int, version_code string, source_url string",
+    )
+    events = spark.createDataFrame(
+        [(1, 10, None, "3", "introduced"), (1, 20, 10, "3", "removed"), (1, 30, 20, "3", "introduced"), (1, 30, 20, "9", "introduced"), (2, 50, None, "1", "introduced")],
+        "bill_id long, version_id long, from_version_id long, section_number string, event_type string",
+    )
+    texts = spark.createDataFrame([(10, "3", "a"), (30, "3", "c"), (30, "9", "d")], "version_id long, section_number string, section_text string")
+    holder = F.expr("IF(event_type = 'removed', from_version_id, version_id)")
+    held = texts.select(F.col("version_id").alias("holder"), "section_number", F.col("section_text").alias("detail"))
+    detailed = events.withColumn("holder", holder).join(held, ["holder", "section_number"], "left").drop("holder")
+    first = packets.section_entries(sections, places)
+    old = packets.numbered([first, packets.lineage_entries(sections, detailed, places)])
+    new = packets.numbered([first], [packets.lineage_entries(sections, events, places, texts)])
+    assert set(new.columns) == set(old.columns) and new.schema["place"].dataType == old.schema["place"].dataType
+    rows = lambda df: sorted(str(r) for r in df.select(*old.columns).collect())
+    assert rows(new) == rows(old)
+    assert {(r["section_id"], r["evidence_id"]): r["evidence"] for r in new.filter("prefix = 'L'").collect()} == {
+        (300, "L1"): "a", (300, "L2"): "a", (300, "L3"): "c", (500, "L1"): ""}
+
+
 def test_rule_flags_are_patched(spark):
     rules = spark.createDataFrame([(1, True, False, False)], "rule_id long, active boolean, auto_research boolean, auto_report boolean")
     patches = spark.createDataFrame(
