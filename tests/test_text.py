@@ -206,3 +206,21 @@ def test_beneficiary_classes_are_those_of_their_patterns(spark):
         for m in rows.select("k", F.explode(T.all_matches(F.col("section_text"), T.flagged(pattern))).alias("m")).collect():
             want.add((m["k"], m["m"]["start"], m["m"]["text"]))
     assert got == want and len(got) == 9
+
+
+def test_texts_of_ascii_characters_are_searched_without_unicode_classes(spark):
+    """Characters that Unicode and ASCII classes tell apart do not occur in them; other texts keep the wide classes."""
+    import re
+
+    texts = [
+        "The Small business of O'Neil-Smith, not_a_word 9lives ab abc's x-ray THE", "Ein Größe-Test: naïve cafés, the KELVIN \u212aelvin \u0130stanbul small business",
+        "", None, "a\x1cb small\x0bbusiness small business\x85producers", "the the The word Word wOrd", "\u00a0small businesses\u2003producers",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for pattern, needs in zip(R.BENEFICIARY_PATTERNS, R.BENEFICIARY_NEEDS, strict=True):
+        found = T.let(T.searchable(F.col("t")), lambda low: T.all_opened(F.col("t"), low, T.flagged(pattern), needs))  # noqa: B023
+        for r in rows.select(found.alias("a"), T.all_matches(F.col("t"), T.flagged(pattern)).alias("b")).filter("t IS NOT NULL").collect():
+            assert r["a"] == r["b"]
+    assert all(re.match(r"\(\?i?s?d\)", T._plain(T.flagged(rule.pattern, rule.flags))) for rule in [*R.SECTION_RULES, *R.FISCAL_RULES])
+    shown = str(T.all_opened(F.col("t"), F.lower("t"), T.flagged("small"), ("small",)))
+    assert "(?id)small" in shown and "(?iUd)small" in shown
