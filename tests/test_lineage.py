@@ -328,3 +328,26 @@ def test_section_changes_send_hashes_as_bytes(spark):
     found = {r["version_id"]: (r["event_type"], r["new_sha"]) for r in changes.collect()}
     assert found == {v: (kind, hashlib.sha256(t.encode()).hexdigest()) for v, kind, t in ((1, "introduced", "a"), (2, "modified", "b"))}
     assert "unhex(sha2" in changes._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overlaps_are_worked_out_once_to_choose_candidates(spark):
+    """A filter repeats an expression as often as it names it, pair by pair."""
+    side = "bill_id long, words array<long>, "
+    left = spark.createDataFrame([(1, [1, 2, 3, 4], 7, None, None, 4)], side + "event_id long, from_day date, to_day date, left_size int")
+    right = spark.createDataFrame([(1, [4, 5], 8, None, 2), (1, [9], 9, None, 1)], side + "amendment_id long, amendment_day date, right_size int")
+    met = lineage._met_by_bill(left, right, ["bill_id"])
+    assert [(r["event_id"], r["amendment_id"], r["shared"]) for r in met.collect()] == [(7, 8, 1)]
+    # Once to choose a pair, once to show it.
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("array_intersect(") == 2
+
+
+def test_documents_are_scanned_on_all_cores(spark, tmp_path):
+    """Orders come in one file; the rows are spread before their texts are written out and scanned."""
+    from driver import base, corpus
+
+    spark.range(40).selectExpr(
+        "id AS o_orderkey", "id % 3 AS o_custkey", "'F' AS o_orderstatus", "1.0D AS o_totalprice", "TIMESTAMP'2000-01-01' AS o_orderdate", "'2-HIGH' AS o_orderpriority"
+    ).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    rows = base.view(spark, str(tmp_path), corpus.DOCUMENTS, slow="orders")
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert rows.count() == 40 and sorted(rows.columns) == sorted(base.view(spark, str(tmp_path), corpus.DOCUMENTS).columns)
